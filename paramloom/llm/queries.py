@@ -2,7 +2,14 @@
 
 from __future__ import annotations
 
+from . import mixing, urlrules
+from .mixing import op8_mix_sources
 from .simhash import op10_simhash_near_dedup
+from .urlrules import op7_url_filters
 
-QUERIES = {"op10_simhash_near_dedup": op10_simhash_near_dedup}
-SQL: dict[str, str] = {}
+QUERIES = {
+    "op7_url_filters": op7_url_filters,
+    "op8_mix_sources": op8_mix_sources,
+    "op10_simhash_near_dedup": op10_simhash_near_dedup,
+}
+SQL: dict[str, str] = {"op7_url_filters": urlrules.SQL, "op8_mix_sources": mixing.SQL}
