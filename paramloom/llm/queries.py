@@ -4,12 +4,16 @@ from __future__ import annotations
 
 from . import mixing, urlrules
 from .mixing import op8_mix_sources
+from .piecewise import op2_document_fingerprints
 from .simhash import op10_simhash_near_dedup
 from .urlrules import op7_url_filters
+from .warc import op9_warc
 
 QUERIES = {
+    "op2_document_fingerprints": op2_document_fingerprints,
     "op7_url_filters": op7_url_filters,
     "op8_mix_sources": op8_mix_sources,
+    "op9_warc": op9_warc,
     "op10_simhash_near_dedup": op10_simhash_near_dedup,
 }
 SQL: dict[str, str] = {"op7_url_filters": urlrules.SQL, "op8_mix_sources": mixing.SQL}
