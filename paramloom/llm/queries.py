@@ -4,13 +4,17 @@ from __future__ import annotations
 
 from . import mixing, urlrules
 from .mixing import op8_mix_sources
+from .packing import op4_packing
 from .piecewise import op2_document_fingerprints
 from .simhash import op10_simhash_near_dedup
 from .urlrules import op7_url_filters
+from .vectors import op3_embedding_range_join
 from .warc import op9_warc
 
 QUERIES = {
     "op2_document_fingerprints": op2_document_fingerprints,
+    "op3_embedding_range_join": op3_embedding_range_join,
+    "op4_packing": op4_packing,
     "op7_url_filters": op7_url_filters,
     "op8_mix_sources": op8_mix_sources,
     "op9_warc": op9_warc,
