@@ -15,7 +15,9 @@ doc_id are documents of their own; a document longer than a sequence is cut like
 
 from __future__ import annotations
 
+import json
 import os
+import unicodedata
 import zlib
 from collections.abc import Callable, Iterable, Iterator
 
@@ -33,7 +35,8 @@ LEAST_QUOTA = 32
 END_ID = 2
 #: documents of a bucket within a queue, on average
 BUCKET_ROWS = 2000
-_CACHE = 300_000
+#: words that a task keeps the ids of
+_CACHE = 500_000
 
 
 def default_vocabulary() -> str:
@@ -42,10 +45,111 @@ def default_vocabulary() -> str:
     return public_tokenizers.path("word_bpe_49k.json")
 
 
+class Merges:
+    """Byte-pair merging of many words at once.
+
+    Words of like length are rows of a matrix of symbols; each step merges the first lowest-ranked pair of every
+    row that still has one, which is the order in which the tokenizers library merges.
+    """
+
+    def __init__(self, vocab: dict[str, int], merges: list) -> None:
+        pairs = [m if isinstance(m, (list, tuple)) else m.split(" ") for m in merges]
+        key = np.array([vocab[a] << 16 | vocab[b] for a, b in pairs], np.uint32)
+        order = np.argsort(key, kind="stable")
+        self.key = key[order]
+        self.rank = np.append(order.astype(np.int32), 0)
+        self.made = np.array([vocab[a + b] for a, b in pairs], np.uint16)
+        printable = [*range(33, 127), *range(161, 173), *range(174, 256)]
+        letters = {b: chr(b) for b in printable} | {b: chr(256 + i) for i, b in enumerate(x for x in range(256) if x not in set(printable))}
+        self.inner = np.array([vocab[letters[b]] for b in range(256)], np.uint16)
+        self.last = np.array([vocab[letters[b] + "</w>"] for b in range(256)], np.uint16)
+
+    def ranks(self, left: np.ndarray, right: np.ndarray) -> np.ndarray:
+        want = left.astype(np.uint32) << np.uint32(16) | right
+        at = np.minimum(np.searchsorted(self.key, want), len(self.key) - 1)
+        return np.where(self.key[at] == want, self.rank[at], np.int32(1 << 30))
+
+    def run(self, words: list[bytes]) -> list[bytes]:
+        """The ids of each word (UTF-8, not empty) as 16-bit integers."""
+        out: list = [None] * len(words)
+        size = np.fromiter(map(len, words), np.int64, len(words))
+        for low, high in ((1, 4), (4, 6), (6, 8), (8, 10), (10, 12), (12, 16), (16, 24), (24, 48), (48, 1 << 40)):
+            group = np.nonzero((size >= low) & (size < high))[0]
+            step = max(1, min(65_536, (1 << 22) // int(size[group].max(initial=1))))
+            for at in range(0, len(group), step):
+                pick = group[at : at + step]
+                ids, n = self._rows([words[i] for i in pick], size[pick])
+                flat = ids[np.arange(ids.shape[1])[None, :] < n[:, None]]
+                all_, ends = flat.tobytes(), (2 * np.cumsum(n)).tolist()
+                for i, s, e in zip(pick.tolist(), [0, *ends], ends):
+                    out[i] = all_[s:e]
+        return out
+
+    def _rows(self, words: list[bytes], size: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        width = int(size.max())
+        data = np.frombuffer(b"".join(words), np.uint8)
+        filled = np.arange(width)[None, :] < size[:, None]
+        ids = np.zeros((len(words), width), np.uint16)
+        ids[filled] = self.inner[data]
+        ends = np.cumsum(size) - 1
+        ids[np.arange(len(words)), size - 1] = self.last[data[ends]]
+        n = size.copy()
+        if width == 1:
+            return ids, n
+        none = np.int32(1 << 30)
+        rank = self.ranks(ids[:, :-1], ids[:, 1:])
+        rank[~filled[:, 1:]] = none
+        live = np.arange(len(words))
+        rows, ranks = ids, rank
+        spots = np.arange(width)
+        while True:
+            best = ranks.argmin(1)
+            low = ranks[np.arange(len(ranks)), best]
+            more = low < none
+            if not more.all():
+                ids[live] = rows
+                live, rows, ranks, best, low = live[more], rows[more], ranks[more], best[more], low[more]
+                if not len(live):
+                    return ids, n
+            every = np.arange(len(live))
+            # close the gap: columns after the pair move one to the left
+            source = np.minimum(spots[None, :] + (spots[None, :] > best[:, None]), width - 1)
+            rows = np.take_along_axis(rows, source, 1)
+            rows[every, best] = self.made[low]
+            source = np.minimum(spots[None, :-1] + (spots[None, :-1] >= best[:, None]), width - 2)
+            ranks = np.take_along_axis(ranks, source, 1)
+            n[live] -= 1
+            count = n[live]
+            ranks[every, np.maximum(count - 1, 0)] = none
+            ranks[:, -1] = none
+            before = np.nonzero(best > 0)[0]
+            ranks[before, best[before] - 1] = self.ranks(rows[before, best[before] - 1], rows[before, best[before]])
+            after = np.nonzero(best < count - 1)[0]
+            ranks[after, best[after]] = self.ranks(rows[after, best[after]], rows[after, best[after] + 1])
+
+
+def _classes() -> np.ndarray:
+    """Of code points below U+0280: 0 white space, 1 letter, 2 number, 3 other, 4 text end."""
+    kinds = {"L": 1, "N": 2}
+    found = np.array([0 if chr(c).isspace() else kinds.get(unicodedata.category(chr(c))[0], 3) for c in range(0x280)], np.uint8)
+    found[0] = 4
+    return found
+
+
+_CLASS = _classes()
+_LEAD = np.arange(256) >= 0xCA
+_ODD_BYTE = _LEAD.copy()
+_ODD_BYTE[[0, 0x1C, 0x1D, 0x1E, 0x1F]] = True
+#: second bytes after C2, C4, C8 of characters that the fast path leaves to the library
+_ODD_PAIRS = ((0xC2, (0x85, 0xA0)), (0xC4, (0xB0,)), (0xC8, (0xBA, 0xBE)), (0x3C, (0x7C,)))
+
+
 class Encoder:
-    """Whole texts to ids, through a cache of white-space-separated chunks.
+    """Whole texts to ids, many at a time.
 
-    No token of this vocabulary spans white space, so a text's ids are its chunks' ids in order.
+    The vocabulary's rule for words (letters, single numbers, runs of other marks, English contractions; no word
+    spans white space) is applied to all texts at once as changes of character class; distinct words are merged
+    together and cached. Texts with characters from U+0280 on, or with other rare ones, go through the library.
     """
 
     def __init__(self, vocabulary: str) -> None:
@@ -53,46 +157,83 @@ class Encoder:
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(vocabulary)
-        self.cache: dict[str, np.ndarray] = {}
-
-    def _chunks(self, found: list[str]) -> list[np.ndarray]:
-        keys = [w.lower() if w.isascii() and "<|" not in w else w for w in found]
-        new = [w for w in dict.fromkeys(keys) if w not in self.cache]
-        fresh: dict[str, np.ndarray] = {}
-        for at in range(0, len(new), 10_000):
-            part = new[at : at + 10_000]
-            for w, e in zip(part, self.tokenizer.encode_batch_fast(part, add_special_tokens=False)):
-                fresh[w] = np.array(e.ids, np.uint32)
-        out = [fresh[k] if k in fresh else self.cache[k] for k in keys]
-        if len(self.cache) + len(fresh) > _CACHE:
-            self.cache = {}
-        if len(fresh) <= _CACHE:
-            self.cache.update(fresh)
-        return out
+        with open(vocabulary, encoding="utf-8") as f:
+            model = json.load(f)["model"]
+        self.merges = Merges(model["vocab"], model["merges"])
+        self.cache: dict[bytes, bytes] = {}
+
+    @staticmethod
+    def odd(data: np.ndarray) -> np.ndarray:
+        """Positions of bytes that the fast path does not take."""
+        hits = [np.nonzero(_ODD_BYTE[data])[0]]
+        for lead, nexts in _ODD_PAIRS:
+            at = np.nonzero(data[:-1] == lead)[0]
+            hits.append(at[np.isin(data[at + 1], nexts)])
+        return np.concatenate(hits)
+
+    @staticmethod
+    def words(data: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Where words begin and end in lower-cased UTF-8, text ends (byte 0) included; and their bytes."""
+        kind = _CLASS[data]
+        lead = np.nonzero(data >= 0xC2)[0]
+        kind[lead] = kind[lead + 1] = _CLASS[(data[lead].astype(np.int64) & 31) << 6 | data[lead + 1] & 63]
+        change = np.ones(len(data), bool)
+        change[1:] = (kind[1:] != kind[:-1]) | (kind[1:] == 4)
+        single = np.nonzero(kind == 2)[0]
+        change[single[(data[single] & 0xC0) != 0x80]] = True
+        quote = np.nonzero((data == 0x27) & change)[0]
+        quote = quote[quote + 2 < len(data)]
+        one = np.isin(data[quote + 1], np.frombuffer(b"stmd", np.uint8))
+        pair = data[quote + 1].astype(np.int64) << 8 | data[quote + 2]
+        two = np.isin(pair, [int.from_bytes(x, "big") for x in (b"re", b"ve", b"ll")])
+        for at, length in ((quote[one], 2), (quote[two], 3)):
+            change[at + 1] = False
+            change[at + length] = True
+        starts = np.nonzero(change)[0]
+        ends = np.append(starts[1:], len(data))
+        full = kind[starts] != 0
+        return starts[full], ends[full], data[kind != 0]
 
     def encode(self, texts: pa.Array, end: int) -> tuple[np.ndarray, np.ndarray]:
         """Ids of all texts behind each other, each closed by end; and where each one begins (and the last ends)."""
-        lists = pc.ascii_split_whitespace(pc.fill_null(texts, ""))
-        lists = lists.combine_chunks() if isinstance(lists, pa.ChunkedArray) else lists
-        per_text = np.diff(lists.offsets.to_numpy())
-        words = lists.flatten().dictionary_encode()
-        table = self._chunks(words.dictionary.to_pylist()) if len(words) else []
-        size = np.array([len(x) for x in table], np.int64)
-        begin = np.cumsum(size) - size
-        flat = np.concatenate(table) if table else np.zeros(0, np.uint32)
-        index = words.indices.to_numpy() if len(words) else np.zeros(0, np.int64)
-        # one more entry closes each text
-        size, begin, flat = np.append(size, 1), np.append(begin, len(flat)), np.append(flat, np.uint32(end))
-        closes = np.cumsum(per_text + 1) - 1
-        order = np.full(len(index) + len(per_text), len(size) - 1, np.int64)
-        inner = np.ones(len(order), bool)
-        inner[closes] = False
-        order[inner] = index
-        n = size[order]
-        starts = np.cumsum(n) - n
-        ids = flat[np.repeat(begin[order] - starts, n) + np.arange(n.sum())]
-        bounds = np.append(0, (starts + n)[closes])
-        return ids, bounds
+        strings = [t or "" for t in texts.to_pylist()]
+        raw = [t.encode("utf-8", "surrogatepass") for t in strings]
+        bounds = np.cumsum([0, *(len(t) + 1 for t in raw)])
+        data = np.frombuffer(b" ".join([*raw, b""]), np.uint8)
+        odd = sorted(set((np.searchsorted(bounds, self.odd(data), side="right") - 1).tolist())) if len(data) else []
+        for i in odd:
+            strings[i] = ""
+        data = np.frombuffer("\0".join([*strings, ""]).lower().encode(), np.uint8)
+        starts, ends, body = self.words(data)
+        offsets = np.zeros(len(starts) + 1, np.int32)
+        np.cumsum(ends - starts, out=offsets[1:])
+        words = pa.Array.from_buffers(pa.binary(), len(starts), [None, pa.py_buffer(offsets), pa.py_buffer(body)]).dictionary_encode()
+        flat, table = self._table(words.dictionary.to_pylist(), end)
+        ids = pa.ListArray.from_arrays(pa.array(table, pa.int32()), pa.array(flat)).take(words.indices)
+        at = ids.offsets.to_numpy()
+        ids = ids.flatten().to_numpy()
+        closes = at[1:][data[starts] == 0]
+        bounds = np.append(0, closes)
+        if not odd:
+            return ids.astype(np.uint32), bounds
+        parts = [ids[s:e] for s, e in zip(bounds[:-1], bounds[1:])]
+        for i, e in zip(odd, self.tokenizer.encode_batch([texts[i].as_py() for i in odd], add_special_tokens=False)):
+            parts[i] = np.array([*e.ids, end], np.uint16)
+        return np.concatenate(parts).astype(np.uint32), np.cumsum([0, *map(len, parts)])
+
+    def _table(self, found: list[bytes], end: int) -> tuple[np.ndarray, np.ndarray]:
+        """Ids of the distinct words behind each other, and where each begins."""
+        each = list(map(self.cache.get, found))
+        new = [i for i, x in enumerate(each) if x is None]
+        made = self.merges.run([found[i] for i in new])
+        if len(self.cache) + len(new) > _CACHE:
+            self.cache = {}
+        if len(new) <= _CACHE:
+            self.cache.update(zip((found[i] for i in new), made))
+        for i, x in zip(new, made):
+            each[i] = x if found[i] != b"\0" else np.uint16(end).tobytes()
+        self.cache.pop(b"\0", None)
+        return np.frombuffer(b"".join(each), np.uint16), np.cumsum([0, *map(len, each)]) // 2
 
 
 def tokenize(docs: DataFrame, vocabulary: str, end: int = END_ID) -> DataFrame:
