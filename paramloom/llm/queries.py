@@ -7,11 +7,13 @@ from .mixing import op8_mix_sources
 from .packing import op4_packing
 from .piecewise import op2_document_fingerprints
 from .simhash import op10_simhash_near_dedup
+from .toxicity import op1_toxicity
 from .urlrules import op7_url_filters
 from .vectors import op3_embedding_range_join
 from .warc import op9_warc
 
 QUERIES = {
+    "op1_toxicity": op1_toxicity,
     "op2_document_fingerprints": op2_document_fingerprints,
     "op3_embedding_range_join": op3_embedding_range_join,
     "op4_packing": op4_packing,
