@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from . import mixing, urlrules
 from .html import op6_html_extraction
+from .lines import op5_line_dedup
 from .mixing import op8_mix_sources
 from .packing import op4_packing
 from .piecewise import op2_document_fingerprints
@@ -18,6 +19,7 @@ QUERIES = {
     "op2_document_fingerprints": op2_document_fingerprints,
     "op3_embedding_range_join": op3_embedding_range_join,
     "op4_packing": op4_packing,
+    "op5_line_dedup": op5_line_dedup,
     "op6_html_extraction": op6_html_extraction,
     "op7_url_filters": op7_url_filters,
     "op8_mix_sources": op8_mix_sources,
