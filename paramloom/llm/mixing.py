@@ -58,7 +58,7 @@ def targets(sizes: DataFrame, weights=WEIGHTS, share: float = SHARE, most: float
     )
     level = (F.col("total") - F.col("cap_before")) / F.col("w_left")
     s = s.withColumn("level", F.when(level * F.col("weight") <= F.col("cap"), level))
-    s = s.withColumn("level", F.min("level").over(everything))
+    s = s.withColumn("level", F.max("level").over(everything))
     goal = F.when(F.col("level").isNull(), F.col("cap")).otherwise(F.least(F.col("cap"), F.col("level") * F.col("weight")))
     return s.select("source", goal.alias("target"))
 
@@ -123,7 +123,7 @@ w AS (SELECT *, CASE (row_number() OVER (ORDER BY source NULLS LAST) - 1) % 3 WH
 l AS (SELECT *, CAST(sum(source_size) OVER () AS DOUBLE) * 1.5::DOUBLE AS total,
     sum(weight) OVER () - coalesce(sum(weight) OVER b, 0.0) AS w_left, coalesce(sum(cap) OVER b, 0.0) AS cap_before
     FROM w WINDOW b AS (ORDER BY cap / weight, source NULLS LAST ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING)),
-v AS (SELECT *, min(CASE WHEN (total - cap_before) / w_left * weight <= cap THEN (total - cap_before) / w_left END) OVER () AS level FROM l),
+v AS (SELECT *, max(CASE WHEN (total - cap_before) / w_left * weight <= cap THEN (total - cap_before) / w_left END) OVER () AS level FROM l),
 t AS (SELECT source, source_size, CASE WHEN level IS NULL THEN cap ELSE least(cap, level * weight) END AS target FROM v),
 r AS (SELECT d.*, t.source_size, t.target, CASE WHEN t.source_size > 0 THEN CAST(floor(t.target / t.source_size) AS BIGINT) ELSE 0 END AS whole
     FROM d JOIN t ON d.source IS NOT DISTINCT FROM t.source),
