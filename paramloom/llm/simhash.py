@@ -110,7 +110,7 @@ def planes(fp: np.ndarray) -> np.ndarray:
     padded = np.zeros(lanes, np.uint64)
     padded[: len(fp)] = fp
     bits = np.unpackbits(padded.view(np.uint8).reshape(-1, 8), axis=1, bitorder="little")
-    return np.packbits(bits.T, axis=1, bitorder="little").view(np.uint64)
+    return np.ascontiguousarray(np.packbits(bits.T, axis=1, bitorder="little")).view(np.uint64)
 
 
 def within(query: np.ndarray, table: np.ndarray, n: int, radius: int, step: int = 8) -> Iterator[tuple[int, np.ndarray]]:
