@@ -317,7 +317,7 @@ def lay_out(tokens: DataFrame, length: int = LENGTH, least_quota: int = LEAST_QU
     sources = materialize(tokens.groupBy("source").agg(F.sum("n").alias("total"), F.count(F.lit(1)).alias("rows")), "shares")
     total, rows = sources.agg(F.coalesce(F.sum("total"), F.lit(0)), F.coalesce(F.sum("rows"), F.lit(0))).first()
     # at most length / least_quota sources hold that share of a window: a proven bound for what is collected and sent
-    own = sources.where(F.col("total") * F.lit(length) >= F.lit(least_quota) * F.lit(int(total))).orderBy(F.col("source").asc_nulls_last()).collect() if total else []
+    own = sources.where(F.col("total") >= F.lit(float(total) * least_quota / length)).orderBy(F.col("source").asc_nulls_last()).collect() if total else []
     totals = [int(x["total"]) for x in own] + [int(total) - sum(int(x["total"]) for x in own)]
     spark = tokens.sparkSession
     queues = spark.createDataFrame([(x["source"], i) for i, x in enumerate(own)], "s string, queue int")
