@@ -4,14 +4,13 @@ A line is the set of its lower-cased words. Lines stand in the order of doc_id (
 where a doc_id repeats, then of their place; a line is removed if an earlier line of the whole table has a Jaccard
 similarity of 0.8 or more to it, whether or not that one is removed as well.
 
-Equal lines are one class (grouped with map-side combining), and so are lines of equal word sets. For the others,
+Lines of equal word sets are one class (grouped with map-side combining, by a 128-bit hash). For the others,
 tokens are ordered by rarity: by how often their hash slot (65,536 of them, a fixed bound) occurs in all distinct lines,
 then by the token. Two lines of similarity t share one of their first n - ceil(t n) + 1 tokens; postings of those are
 joined under the length and the positional filter and the survivors' overlaps are counted. Tokens with many postings
 first meet their earliest line only (a star, not all pairs); lines which that removes need no more partners.
 
-Words stand as 32-bit hashes in the join (two words of one pair of lines share one about once in a million pairs);
-classes use 128 bits.
+Words stand as 32-bit hashes (two words of one pair of lines share one about once in a million pairs).
 
 Defined cases: null and empty texts have no lines to remove and stay as they are; lines without words stay; rows equal
 in doc_id and text are one document and keep the same lines; a text whose lines all go becomes empty.
@@ -27,12 +26,14 @@ from .scratch import few, materialize
 SLOTS = 1 << 16
 #: postings of a token up to which its lines are simply joined
 FEW = 64
+#: rows of a few longs up to which a side is broadcast after counting it; beyond, both sides are shuffled
+BROADCAST_ROWS = 1_000_000
 
 
 def tokens(line: Column) -> Column:
-    """Distinct words of a line as 32-bit hashes."""
-    words = F.split(F.lower(line), r"[\x20\x09-\x0D]+")
-    return F.array_distinct(F.transform(F.filter(words, lambda w: w != ""), lambda w: F.hash(w)))
+    """Distinct words of a line as 32-bit hashes, in order."""
+    words = F.array_remove(F.split(F.translate(F.lower(line), "\t\x0b\f\r", "    "), " "), "")
+    return F.array_sort(F.array_distinct(F.transform(words, lambda w: F.hash(w))))
 
 
 def _numbered(docs: DataFrame) -> tuple[DataFrame, Column, int]:
@@ -64,18 +65,16 @@ def removed_lines(docs: DataFrame) -> DataFrame:
     split = F.posexplode(F.split(F.col("text").cast("string"), "\n"))
     lines = numbered.where("text is not null").select("_doc", split.alias("place", "line"))
     lines = lines.select((F.shiftleft("_doc", bits).bitwiseOR(F.col("place"))).alias("id"), "line").where(F.col("line").rlike(r"[^\x20\x09-\x0D]"))
-    lines = lines.select("id", "line", F.xxhash64("line").alias("h1"), F.xxhash64(F.lit(5), "line").alias("h2"))
-    # distinct lines, then distinct word sets
-    classes = lines.groupBy("h1", "h2").agg(F.min("id").alias("id"), F.count(F.lit(1)).alias("copies"), F.first("line").alias("line"))
-    sets = classes.select("id", "h1", "h2", "copies", F.array_sort(tokens(F.col("line"))).alias("t"))
-    sets = materialize(sets.select("*", F.size("t").alias("n"), F.xxhash64("t").alias("s1"), F.xxhash64(F.lit(5), "t").alias("s2")), "lines")
-    repeated = materialize(sets.where("copies > 1").select("h1", "h2", F.col("id").alias("first")), "repeated")
-    copies = lines.select("id", "h1", "h2").join(repeated, ["h1", "h2"]).where("id <> first").select("id")
-    same = materialize(sets.groupBy("s1", "s2").agg(F.min("id").alias("first"), F.count(F.lit(1)).alias("k")).where("k > 1").drop("k"), "samesets")
-    again = sets.select("id", "s1", "s2").join(same, ["s1", "s2"]).where("id <> first").select("id")
-    again = materialize(again, "sameset")
-    near = _near(sets.select("id", "n", "t").where("n >= 4").join(again, "id", "left_anti"))
-    gone = copies.unionByName(again).unionByName(near)
+    sets = lines.select("id", tokens(F.col("line")).alias("t"))
+    sets = materialize(sets.select("id", "t", F.size("t").cast("int").alias("n"), F.xxhash64("t").alias("s1"), F.xxhash64(F.lit(5), "t").alias("s2")), "lines")
+    # lines of equal word sets: all but the first go
+    firsts = sets.groupBy("s1", "s2").agg(F.min("id").alias("first"), F.count(F.lit(1)).alias("k")).where("k > 1").select("s1", "s2", "first")
+    firsts = materialize(firsts, "firsts")
+    hint = F.broadcast(firsts) if few(firsts, BROADCAST_ROWS) else firsts
+    same = materialize(sets.select("id", "s1", "s2").join(hint, ["s1", "s2"]).where("id <> first").select("id"), "same")
+    hint = F.broadcast(same) if few(same, BROADCAST_ROWS) else same
+    near = _near(sets.select("id", "n", "t").where("n >= 4").join(hint, "id", "left_anti"))
+    gone = same.unionByName(near)
     return gone.select(F.shiftright("id", bits).alias("_doc"), F.col("id").bitwiseAND(F.lit((1 << bits) - 1)).cast("int").alias("place"))
 
 
@@ -91,22 +90,18 @@ def _near(sets: DataFrame) -> DataFrame:
     # prefix: n - ceil(0.8 n) + 1
     length = F.col("n") - F.floor((4 * F.col("n") + 4) / 5).cast("int") + 1
     posts = sets.select("id", "n", F.posexplode(F.slice(rare, 1, length)).alias("i", "token"))
-    posts = materialize(posts, "postings")
-    sizes = posts.groupBy("token").agg(F.count(F.lit(1)).alias("k"), F.min("id").alias("first")).where("k > 1")
-    sizes = materialize(sizes, "tokens")
-    cold = sizes.where(F.col("k") <= FEW).select("token")
-    hot = sizes.where(F.col("k") > FEW).select("token", "first")
-    hot_ = F.broadcast(hot) if few(hot, 100_000) else hot
-    light = posts.join(cold, "token", "left_semi")
+    posts = materialize(posts.select(F.col("token").bitwiseAND(F.lit(0xFFFFFFFF)).cast("bigint").alias("token"), "id", "n", "i"), "postings")
+    sizes = posts.groupBy("token").agg(F.count(F.lit(1)).alias("k"), F.min("id").alias("first"))
+    hot = materialize(sizes.where(F.col("k") > FEW).select("token", "first"), "hot")
+    hot_ = F.broadcast(hot) if few(hot, BROADCAST_ROWS) else hot
+    light = posts.join(hot_, "token", "left_anti")
     heavy = materialize(posts.join(hot_, "token"), "heavy")
-    pairs = _candidates(light, light)
     star = heavy.where("id = first").select("token", "id", "n", "i")
-    star_ = F.broadcast(star) if few(star, 100_000) else star
-    found = _verified(_candidates(heavy, star_).unionByName(pairs).distinct(), sets)
+    star_ = F.broadcast(star) if few(star, BROADCAST_ROWS) else star
+    found = _verified(_candidates(heavy, star_).unionByName(_candidates(light, light)).distinct(), sets)
     found = materialize(found, "found")
-    open_ = heavy.join(found, "id", "left_anti")
-    rest = _verified(_candidates(open_, heavy).distinct(), sets)
-    return found.unionByName(rest).distinct()
+    rest = _candidates(heavy.join(F.broadcast(found) if few(found, BROADCAST_ROWS) else found, "id", "left_anti"), heavy)
+    return found.unionByName(_verified(rest.distinct(), sets)).distinct()
 
 
 def _candidates(later: DataFrame, earlier: DataFrame) -> DataFrame:
@@ -121,8 +116,9 @@ def _candidates(later: DataFrame, earlier: DataFrame) -> DataFrame:
 def _verified(pairs: DataFrame, sets: DataFrame) -> DataFrame:
     """Distinct ids of pairs whose Jaccard similarity is at least 0.8: 9 * overlap >= 4 * (n + m)."""
     pairs = materialize(pairs, "pairs")
-    wanted = pairs.select("id").unionByName(pairs.select(F.col("partner").alias("id"))).distinct()
-    some = materialize(sets.select("id", "t").join(wanted, "id", "left_semi"), "sets")
+    wanted = materialize(pairs.select(F.explode(F.array("id", "partner")).alias("id")).distinct(), "wanted")
+    some = sets.select("id", "t").join(F.broadcast(wanted) if few(wanted, BROADCAST_ROWS) else wanted, "id", "left_semi")
+    some = materialize(some, "sets")
     a, b = some.select("id", "t"), some.select(F.col("id").alias("partner"), F.col("t").alias("u"))
     overlap = F.size(F.array_intersect("t", "u"))
     return pairs.join(a, "id").join(b, "partner").where(9 * overlap >= 4 * (F.size("t") + F.size("u"))).select("id").distinct()
@@ -131,9 +127,10 @@ def _verified(pairs: DataFrame, sets: DataFrame) -> DataFrame:
 def line_dedup(docs: DataFrame) -> DataFrame:
     """The rows of docs with their texts' kept lines, and lines, removed: how many lines there were and went."""
     numbered, bits = _numbered(docs)
-    gone = removed_lines((numbered, bits)).groupBy("_doc").agg(F.collect_set("place").alias("_gone"))
-    gone = materialize(gone, "gone")
-    out = numbered.join(gone, "_doc", "left")
+    lost = materialize(removed_lines((numbered, bits)), "removed")
+    small = few(lost, BROADCAST_ROWS)
+    gone = materialize(lost.groupBy("_doc").agg(F.collect_set("place").alias("_gone")), "gone")
+    out = numbered.join(F.broadcast(gone) if small else gone, "_doc", "left")
     all_ = F.split(F.col("text").cast("string"), "\n")
     kept = F.filter(all_, lambda x, i: ~F.array_contains(F.col("_gone"), i))
     text = F.when(F.col("_gone").isNull(), F.col("text")).otherwise(F.array_join(kept, "\n"))
