@@ -25,14 +25,14 @@ from .scratch import few, materialize
 
 SLOTS = 1 << 16
 #: postings of a token up to which its lines are simply joined
-FEW = 64
+FEW = 4
 #: rows of a few longs up to which a side is broadcast after counting it; beyond, both sides are shuffled
 BROADCAST_ROWS = 1_000_000
 
 
 def tokens(line: Column) -> Column:
-    """Distinct words of a line as 32-bit hashes, in order."""
-    words = F.array_remove(F.split(F.translate(F.lower(line), "\t\x0b\f\r", "    "), " "), "")
+    """Distinct words of a line, whose white space is spaces, as 32-bit hashes, in order."""
+    words = F.array_remove(F.split(F.lower(line), " "), "")
     return F.array_sort(F.array_distinct(F.transform(words, lambda w: F.hash(w))))
 
 
@@ -62,10 +62,13 @@ def _numbered(docs: DataFrame) -> tuple[DataFrame, Column, int]:
 def removed_lines(docs: DataFrame) -> DataFrame:
     """(_doc, place) of every line that goes; docs: _doc, text, and bits as by _numbered."""
     numbered, bits = docs
-    split = F.posexplode(F.split(F.col("text").cast("string"), "\n"))
-    lines = numbered.where("text is not null").select("_doc", split.alias("place", "line"))
-    lines = lines.select((F.shiftleft("_doc", bits).bitwiseOR(F.col("place"))).alias("id"), "line").where(F.col("line").rlike(r"[^\x20\x09-\x0D]"))
+    text = F.col("text").cast("string")
+    other = text.contains("\t") | text.contains("\r") | text.contains("\x0b") | text.contains("\f")
+    plain = F.when(other, F.translate(text, "\t\x0b\f\r", "    ")).otherwise(text)
+    lines = numbered.where("text is not null").select("_doc", F.posexplode(F.split(plain, "\n")).alias("place", "line"))
+    lines = lines.select(F.shiftleft("_doc", bits).bitwiseOR(F.col("place")).alias("id"), "line")
     sets = lines.select("id", tokens(F.col("line")).alias("t"))
+    sets = sets.where(F.size("t") > 0)
     sets = materialize(sets.select("id", "t", F.size("t").cast("int").alias("n"), F.xxhash64("t").alias("s1"), F.xxhash64(F.lit(5), "t").alias("s2")), "lines")
     # lines of equal word sets: all but the first go
     firsts = sets.groupBy("s1", "s2").agg(F.min("id").alias("first"), F.count(F.lit(1)).alias("k")).where("k > 1").select("s1", "s2", "first")
