@@ -7,7 +7,7 @@ similarity of 0.8 or more to it, whether or not that one is removed as well.
 Lines of equal word sets are one class (grouped with map-side combining, by a 128-bit hash). For the others,
 tokens are ordered by rarity: by how often their hash slot (65,536 of them, a fixed bound) occurs in all distinct lines,
 then by the token. Two lines of similarity t share one of their first n - ceil(t n) + 1 tokens; postings of those are
-joined under the length and the positional filter and the survivors' overlaps are counted. Tokens with many postings
+joined under the length, the positional and a 64-bit parity filter (all exact) and the survivors' overlaps counted. Tokens with many postings
 first meet their earliest line only (a star, not all pairs); lines which that removes need no more partners.
 
 Words stand as 32-bit hashes (two words of one pair of lines share one about once in a million pairs).
@@ -25,7 +25,7 @@ from .scratch import few, materialize
 
 SLOTS = 1 << 16
 #: postings of a token up to which its lines are simply joined
-FEW = 4
+FEW = 16
 #: rows of a few longs up to which a side is broadcast after counting it; beyond, both sides are shuffled
 BROADCAST_ROWS = 1_000_000
 
@@ -92,14 +92,16 @@ def _near(sets: DataFrame) -> DataFrame:
     rare = F.array_sort(F.transform("t", lambda x: F.shiftleft(F.get(table, F.pmod(x, F.lit(SLOTS))), 32).bitwiseOR(x.cast("long").bitwiseAND(F.lit(0xFFFFFFFF)))))
     # prefix: n - ceil(0.8 n) + 1
     length = F.col("n") - F.floor((4 * F.col("n") + 4) / 5).cast("int") + 1
-    posts = sets.select("id", "n", F.posexplode(F.slice(rare, 1, length)).alias("i", "token"))
-    posts = materialize(posts.select(F.col("token").bitwiseAND(F.lit(0xFFFFFFFF)).cast("bigint").alias("token"), "id", "n", "i"), "postings")
+    # parities of the tokens' counts by 64 hash slots: they differ in no more slots than the sets in tokens
+    parity = F.aggregate("t", F.lit(0).cast("bigint"), lambda a, x: a.bitwiseXOR(F.call_function("shiftleft", F.lit(1).cast("bigint"), x.bitwiseAND(F.lit(63)))))
+    posts = sets.select("id", "n", parity.alias("map"), F.posexplode(F.slice(rare, 1, length)).alias("i", "token"))
+    posts = materialize(posts.select(F.col("token").bitwiseAND(F.lit(0xFFFFFFFF)).cast("bigint").alias("token"), "id", "n", "i", "map"), "postings")
     sizes = posts.groupBy("token").agg(F.count(F.lit(1)).alias("k"), F.min("id").alias("first"))
     hot = materialize(sizes.where(F.col("k") > FEW).select("token", "first"), "hot")
     hot_ = F.broadcast(hot) if few(hot, BROADCAST_ROWS) else hot
     light = posts.join(hot_, "token", "left_anti")
     heavy = materialize(posts.join(hot_, "token"), "heavy")
-    star = heavy.where("id = first").select("token", "id", "n", "i")
+    star = heavy.where("id = first").select("token", "id", "n", "i", "map")
     star_ = F.broadcast(star) if few(star, BROADCAST_ROWS) else star
     found = _verified(_candidates(heavy, star_).unionByName(_candidates(light, light)).distinct(), sets)
     found = materialize(found, "found")
@@ -108,12 +110,14 @@ def _near(sets: DataFrame) -> DataFrame:
 
 
 def _candidates(later: DataFrame, earlier: DataFrame) -> DataFrame:
-    """Pairs (id, partner), partner < id, that share a prefix token and pass the length and positional filters."""
-    b = earlier.select("token", F.col("id").alias("partner"), F.col("n").alias("m"), F.col("i").alias("j"))
+    """Pairs (id, partner), partner < id, that share a prefix token and pass the length, positional and parity filters."""
+    b = earlier.select("token", F.col("id").alias("partner"), F.col("n").alias("m"), F.col("i").alias("j"), F.col("map").alias("map2"))
     low, high = F.least("n", "m"), F.greatest("n", "m")
     # overlap needed: 4/9 (n + m); at most what both have from this token on, and what both have before it
     fits = (5 * low >= 4 * high) & (9 * (F.least(F.col("n") - F.col("i"), F.col("m") - F.col("j")) + F.least("i", "j")) >= 4 * (F.col("n") + F.col("m")))
-    return later.select("token", "id", "n", "i").join(b, "token").where((F.col("partner") < F.col("id")) & fits).select("id", "partner")
+    # n + m - 2 * overlap >= slots that differ
+    apart = 9 * (F.col("n") + F.col("m") - F.bit_count(F.col("map").bitwiseXOR(F.col("map2")))) >= 8 * (F.col("n") + F.col("m"))
+    return later.select("token", "id", "n", "i", "map").join(b, "token").where((F.col("partner") < F.col("id")) & fits & apart).select("id", "partner")
 
 
 def _verified(pairs: DataFrame, sets: DataFrame) -> DataFrame:
