@@ -33,7 +33,7 @@ BROADCAST_ROWS = 1_000_000
 def tokens(line: Column) -> Column:
     """Distinct words of a line, whose white space is spaces, as 32-bit hashes, in order."""
     words = F.array_remove(F.split(F.lower(line), " "), "")
-    return F.array_sort(F.array_distinct(F.transform(words, lambda w: F.hash(w))))
+    return F.sort_array(F.array_distinct(F.transform(words, lambda w: F.hash(w))))
 
 
 def _numbered(docs: DataFrame) -> tuple[DataFrame, Column, int]:
@@ -89,7 +89,7 @@ def _near(sets: DataFrame) -> DataFrame:
     for r in counts.collect():  # SLOTS rows at most
         count[r["slot"]] = min(r["count"], (1 << 31) - 1)
     table = F.expr(f"cast(split('{','.join(map(str, count))}', ',') as array<bigint>)")
-    rare = F.array_sort(F.transform("t", lambda x: F.shiftleft(F.get(table, F.pmod(x, F.lit(SLOTS))), 32).bitwiseOR(x.cast("long").bitwiseAND(F.lit(0xFFFFFFFF)))))
+    rare = F.sort_array(F.transform("t", lambda x: F.shiftleft(F.get(table, F.pmod(x, F.lit(SLOTS))), 32).bitwiseOR(x.cast("long").bitwiseAND(F.lit(0xFFFFFFFF)))))
     # prefix: n - ceil(0.8 n) + 1
     length = F.col("n") - F.floor((4 * F.col("n") + 4) / 5).cast("int") + 1
     # parities of the tokens' counts by 64 hash slots: they differ in no more slots than the sets in tokens
