@@ -65,10 +65,10 @@ def removed_lines(docs: DataFrame) -> DataFrame:
     text = F.col("text").cast("string")
     other = text.contains("\t") | text.contains("\r") | text.contains("\x0b") | text.contains("\f")
     plain = F.when(other, F.translate(text, "\t\x0b\f\r", "    ")).otherwise(text)
-    lines = numbered.where("text is not null").select("_doc", F.posexplode(F.split(plain, "\n")).alias("place", "line"))
+    # outer: else the optimizer adds a filter that splits each text again; split never gives an empty array
+    lines = numbered.where("text is not null").select("_doc", F.posexplode_outer(F.split(plain, "\n")).alias("place", "line"))
     lines = lines.select(F.shiftleft("_doc", bits).bitwiseOR(F.col("place")).alias("id"), "line")
-    sets = lines.select("id", tokens(F.col("line")).alias("t"))
-    sets = sets.where(F.size("t") > 0)
+    sets = lines.where(F.ltrim("line") != "").select("id", tokens(F.col("line")).alias("t"))  # a filter on t would build it twice
     sets = materialize(sets.select("id", "t", F.size("t").cast("int").alias("n"), F.xxhash64("t").alias("s1"), F.xxhash64(F.lit(5), "t").alias("s2")), "lines")
     # lines of equal word sets: all but the first go
     firsts = sets.groupBy("s1", "s2").agg(F.min("id").alias("first"), F.count(F.lit(1)).alias("k")).where("k > 1").select("s1", "s2", "first")
@@ -84,7 +84,7 @@ def removed_lines(docs: DataFrame) -> DataFrame:
 def _near(sets: DataFrame) -> DataFrame:
     """id of each set that an earlier one (smaller id) is similar to."""
     slot = F.pmod(F.col("x"), F.lit(SLOTS))
-    counts = sets.select(F.explode("t").alias("x")).groupBy(slot.alias("slot")).count()
+    counts = sets.select(F.explode_outer("t").alias("x")).groupBy(slot.alias("slot")).count()
     count = [0] * SLOTS
     for r in counts.collect():  # SLOTS rows at most
         count[r["slot"]] = min(r["count"], (1 << 31) - 1)
@@ -94,7 +94,8 @@ def _near(sets: DataFrame) -> DataFrame:
     length = F.col("n") - F.floor((4 * F.col("n") + 4) / 5).cast("int") + 1
     # parities of the tokens' counts by 64 hash slots: they differ in no more slots than the sets in tokens
     parity = F.aggregate("t", F.lit(0).cast("bigint"), lambda a, x: a.bitwiseXOR(F.call_function("shiftleft", F.lit(1).cast("bigint"), x.bitwiseAND(F.lit(63)))))
-    posts = sets.select("id", "n", parity.alias("map"), F.posexplode(F.slice(rare, 1, length)).alias("i", "token"))
+    # outer, as above: no prefix is empty
+    posts = sets.select("id", "n", parity.alias("map"), F.posexplode_outer(F.slice(rare, 1, length)).alias("i", "token"))
     posts = materialize(posts.select(F.col("token").bitwiseAND(F.lit(0xFFFFFFFF)).cast("bigint").alias("token"), "id", "n", "i", "map"), "postings")
     sizes = posts.groupBy("token").agg(F.count(F.lit(1)).alias("k"), F.min("id").alias("first"))
     hot = materialize(sizes.where(F.col("k") > FEW).select("token", "first"), "hot")
