@@ -94,8 +94,9 @@ def _near(sets: DataFrame) -> DataFrame:
     length = F.col("n") - F.floor((4 * F.col("n") + 4) / 5).cast("int") + 1
     # parities of the tokens' counts by 64 hash slots: they differ in no more slots than the sets in tokens
     parity = F.aggregate("t", F.lit(0).cast("bigint"), lambda a, x: a.bitwiseXOR(F.call_function("shiftleft", F.lit(1).cast("bigint"), x.bitwiseAND(F.lit(63)))))
-    # outer, as above: no prefix is empty
-    posts = sets.select("id", "n", parity.alias("map"), F.posexplode_outer(F.slice(rare, 1, length)).alias("i", "token"))
+    # parities are made before rows are multiplied; outer, as above: no prefix is empty
+    posts = sets.select("id", "n", parity.alias("map"), F.slice(rare, 1, length).alias("prefix"))
+    posts = posts.select("id", "n", "map", F.posexplode_outer("prefix").alias("i", "token"))
     posts = materialize(posts.select(F.col("token").bitwiseAND(F.lit(0xFFFFFFFF)).cast("bigint").alias("token"), "id", "n", "i", "map"), "postings")
     sizes = posts.groupBy("token").agg(F.count(F.lit(1)).alias("k"), F.min("id").alias("first"))
     hot = materialize(sizes.where(F.col("k") > FEW).select("token", "first"), "hot")
