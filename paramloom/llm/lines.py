@@ -93,7 +93,7 @@ def _near(sets: DataFrame) -> DataFrame:
     # prefix: n - ceil(0.8 n) + 1
     length = F.col("n") - F.floor((4 * F.col("n") + 4) / 5).cast("int") + 1
     # parities of the tokens' counts by 64 hash slots: they differ in no more slots than the sets in tokens
-    parity = F.aggregate("t", F.lit(0).cast("bigint"), lambda a, x: a.bitwiseXOR(F.call_function("shiftleft", F.lit(1).cast("bigint"), x.bitwiseAND(F.lit(63)))))
+    parity = _parity("t")
     # parities are made before rows are multiplied; outer, as above: no prefix is empty
     posts = sets.select("id", "n", parity.alias("map"), F.slice(rare, 1, length).alias("prefix"))
     posts = posts.select("id", "n", "map", F.posexplode_outer("prefix").alias("i", "token"))
@@ -111,6 +111,16 @@ def _near(sets: DataFrame) -> DataFrame:
     return found.unionByName(_verified(rest.distinct(), sets)).distinct()
 
 
+def _parity(hashes: Column | str) -> Column:
+    """Parities of the hashes' counts by 64 slots."""
+    return F.aggregate(hashes, F.lit(0).cast("bigint"), lambda a, x: a.bitwiseXOR(F.call_function("shiftleft", F.lit(1).cast("bigint"), x.bitwiseAND(F.lit(63)))))
+
+
+def _quarter(hashes: Column | str, q: int) -> Column:
+    """The hashes whose bits 6 and 7 are q."""
+    return F.filter(hashes, lambda x: F.shiftright(x, 6).bitwiseAND(F.lit(3)) == q)
+
+
 def _candidates(later: DataFrame, earlier: DataFrame) -> DataFrame:
     """Pairs (id, partner), partner < id, that share a prefix token and pass the length, positional and parity filters."""
     b = earlier.select("token", F.col("id").alias("partner"), F.col("n").alias("m"), F.col("i").alias("j"), F.col("map").alias("map2"))
@@ -128,6 +138,15 @@ def _verified(pairs: DataFrame, sets: DataFrame) -> DataFrame:
     wanted = materialize(pairs.select(F.explode(F.array("id", "partner")).alias("id")).distinct(), "wanted")
     some = sets.select("id", "t").join(F.broadcast(wanted) if few(wanted, BROADCAST_ROWS) else wanted, "id", "left_semi")
     some = materialize(some, "sets")
+    # long sets differ in most of 64 slots anyway: 256 slots decide about them before their tokens are shuffled
+    maps = [_parity(_quarter("t", q)) for q in range(4)]
+    marks = some.select("id", F.size("t").alias("n"), *[m.alias(f"m{q}") for q, m in enumerate(maps)])
+    marks = materialize(marks, "marks")
+    small = few(marks, BROADCAST_ROWS)
+    other = marks.select(F.col("id").alias("partner"), F.col("n").alias("m"), *[F.col(f"m{q}").alias(f"o{q}") for q in range(4)])
+    apart = sum((F.bit_count(F.col(f"m{q}").bitwiseXOR(F.col(f"o{q}"))) for q in range(4)), F.lit(0))
+    pairs = pairs.join(F.broadcast(marks) if small else marks, "id").join(F.broadcast(other) if small else other, "partner")
+    pairs = materialize(pairs.where(9 * apart <= F.col("n") + F.col("m")).select("id", "partner"), "close")
     a, b = some.select("id", "t"), some.select(F.col("id").alias("partner"), F.col("t").alias("u"))
     overlap = F.size(F.array_intersect("t", "u"))
     return pairs.join(a, "id").join(b, "partner").where(9 * overlap >= 4 * (F.size("t") + F.size("u"))).select("id").distinct()
