@@ -107,7 +107,12 @@ def _near(sets: DataFrame) -> DataFrame:
     star_ = F.broadcast(star) if few(star, BROADCAST_ROWS) else star
     found = _verified(_candidates(heavy, star_).unionByName(_candidates(light, light)).distinct(), sets)
     found = materialize(found, "found")
-    rest = _candidates(heavy.join(F.broadcast(found) if few(found, BROADCAST_ROWS) else found, "id", "left_anti"), heavy)
+    if few(found, BROADCAST_ROWS):  # both sides of the join read one shuffle: an anti-join would move below it, this filter doesn't
+        dealt = heavy.select("token", "id", "n", "i", "map").repartition("token")
+        lost = found.select("id", F.lit(True).alias("lost"))
+        rest = _candidates(dealt.join(F.broadcast(lost), "id", "left").where("lost is null"), dealt)
+    else:
+        rest = _candidates(heavy.join(found, "id", "left_anti"), heavy)
     return found.unionByName(_verified(rest.distinct(), sets)).distinct()
 
 
