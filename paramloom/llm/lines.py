@@ -7,7 +7,8 @@ similarity of 0.8 or more to it, whether or not that one is removed as well.
 Lines of equal word sets are one class (grouped with map-side combining, by a 128-bit hash). For the others,
 tokens are ordered by rarity: by how often their hash slot (65,536 of them, a fixed bound) occurs in all distinct lines,
 then by the token. Two lines of similarity t share one of their first n - ceil(t n) + 1 tokens; postings of those are
-joined under the length, the positional and a 64-bit parity filter (all exact) and the survivors' overlaps counted. Tokens with many postings
+joined under the length, the positional and a 64-bit parity filter, a 256-bit one follows (all exact), and the survivors'
+overlaps are counted. Tokens with many postings
 first meet their earliest line only (a star, not all pairs); lines which that removes need no more partners.
 
 Words stand as 32-bit hashes (two words of one pair of lines share one about once in a million pairs).
