@@ -7,7 +7,7 @@ similarity of 0.8 or more to it, whether or not that one is removed as well.
 Lines of equal word sets are one class (grouped with map-side combining, by a 128-bit hash). For the others,
 tokens are ordered by rarity: by how often their hash slot (65,536 of them, a fixed bound) occurs in all distinct lines,
 then by the token. Two lines of similarity t share one of their first n - ceil(t n) + 1 tokens; postings of those are
-joined under the length, the positional and a 64-bit parity filter, a 256-bit one follows (all exact), and the survivors'
+joined under the length, the positional and a 128-bit parity filter, a 256-bit one follows (all exact), and the survivors'
 overlaps are counted. Tokens with many postings
 first meet their earliest line only (a star, not all pairs); lines which that removes need no more partners.
 
@@ -93,28 +93,28 @@ def _near(sets: DataFrame) -> DataFrame:
     rare = F.sort_array(F.transform("t", lambda x: F.shiftleft(F.get(table, F.pmod(x, F.lit(SLOTS))), 32).bitwiseOR(x.cast("long").bitwiseAND(F.lit(0xFFFFFFFF)))))
     # prefix: n - ceil(0.8 n) + 1
     length = F.col("n") - F.floor((4 * F.col("n") + 4) / 5).cast("int") + 1
-    # parities of the tokens' counts by 64 hash slots: they differ in no more slots than the sets in tokens
-    parity = _parity("t")
+    # parities of the tokens' counts by 128 hash slots: they differ in no more slots than the sets in tokens
+    maps = [_parity(_share("t", 1, q)).alias(f"map{q}") for q in range(2)]
     # parities are made before rows are multiplied; outer, as above: no prefix is empty
-    posts = sets.select("id", "n", parity.alias("map"), F.slice(rare, 1, length).alias("prefix"))
-    posts = posts.select("id", "n", "map", F.posexplode_outer("prefix").alias("i", "token"))
-    posts = materialize(posts.select(F.col("token").bitwiseAND(F.lit(0xFFFFFFFF)).cast("bigint").alias("token"), "id", "n", "i", "map"), "postings")
+    posts = sets.select("id", "n", *maps, F.slice(rare, 1, length).alias("prefix"))
+    posts = posts.select("id", "n", "map0", "map1", F.posexplode_outer("prefix").alias("i", "token"))
+    posts = materialize(posts.select(F.col("token").bitwiseAND(F.lit(0xFFFFFFFF)).cast("bigint").alias("token"), "id", "n", "i", "map0", "map1"), "postings")
     sizes = posts.groupBy("token").agg(F.count(F.lit(1)).alias("k"), F.min("id").alias("first"))
     hot = materialize(sizes.where(F.col("k") > FEW).select("token", "first"), "hot")
     hot_ = F.broadcast(hot) if few(hot, BROADCAST_ROWS) else hot
     light = posts.join(hot_, "token", "left_anti")
     heavy = materialize(posts.join(hot_, "token"), "heavy")
-    star = heavy.where("id = first").select("token", "id", "n", "i", "map")
+    star = heavy.where("id = first").drop("first")
     star_ = F.broadcast(star) if few(star, BROADCAST_ROWS) else star
     found = _verified(_candidates(heavy, star_).unionByName(_candidates(light, light)).distinct(), sets)
-    found = materialize(found, "found")
     if few(found, BROADCAST_ROWS):  # both sides of the join read one shuffle: an anti-join would move below it, this filter doesn't
-        dealt = heavy.select("token", "id", "n", "i", "map").repartition("token")
+        dealt = heavy.drop("first").repartition("token")
         lost = found.select("id", F.lit(True).alias("lost"))
         rest = _candidates(dealt.join(F.broadcast(lost), "id", "left").where("lost is null"), dealt)
     else:
         rest = _candidates(heavy.join(found, "id", "left_anti"), heavy)
-    return found.unionByName(_verified(rest.distinct(), sets)).distinct()
+    more = _verified(rest.distinct(), sets)
+    return found.unionByName(more).distinct()
 
 
 def _parity(hashes: Column | str) -> Column:
@@ -122,40 +122,43 @@ def _parity(hashes: Column | str) -> Column:
     return F.aggregate(hashes, F.lit(0).cast("bigint"), lambda a, x: a.bitwiseXOR(F.call_function("shiftleft", F.lit(1).cast("bigint"), x.bitwiseAND(F.lit(63)))))
 
 
-def _quarter(hashes: Column | str, q: int) -> Column:
-    """The hashes whose bits 6 and 7 are q."""
-    return F.filter(hashes, lambda x: F.shiftright(x, 6).bitwiseAND(F.lit(3)) == q)
+def _share(hashes: Column | str, bits: int, q: int) -> Column:
+    """The hashes whose bits from the sixth on are q, as many of them as `bits`."""
+    return F.filter(hashes, lambda x: F.shiftright(x, 6).bitwiseAND(F.lit((1 << bits) - 1)) == q)
 
 
 def _candidates(later: DataFrame, earlier: DataFrame) -> DataFrame:
     """Pairs (id, partner), partner < id, that share a prefix token and pass the length, positional and parity filters."""
-    b = earlier.select("token", F.col("id").alias("partner"), F.col("n").alias("m"), F.col("i").alias("j"), F.col("map").alias("map2"))
+    b = earlier.select("token", F.col("id").alias("partner"), F.col("n").alias("m"), F.col("i").alias("j"), F.col("map0").alias("other0"), F.col("map1").alias("other1"))
     low, high = F.least("n", "m"), F.greatest("n", "m")
     # overlap needed: 4/9 (n + m); at most what both have from this token on, and what both have before it
     fits = (5 * low >= 4 * high) & (9 * (F.least(F.col("n") - F.col("i"), F.col("m") - F.col("j")) + F.least("i", "j")) >= 4 * (F.col("n") + F.col("m")))
     # n + m - 2 * overlap >= slots that differ
-    apart = 9 * (F.col("n") + F.col("m") - F.bit_count(F.col("map").bitwiseXOR(F.col("map2")))) >= 8 * (F.col("n") + F.col("m"))
-    return later.select("token", "id", "n", "i", "map").join(b, "token").where((F.col("partner") < F.col("id")) & fits & apart).select("id", "partner")
+    slots = sum((F.bit_count(F.col(f"map{q}").bitwiseXOR(F.col(f"other{q}"))) for q in range(2)), F.lit(0))
+    apart = 9 * slots <= F.col("n") + F.col("m")
+    return later.select("token", "id", "n", "i", "map0", "map1").join(b, "token").where((F.col("partner") < F.col("id")) & fits & apart).select("id", "partner")
 
 
 def _verified(pairs: DataFrame, sets: DataFrame) -> DataFrame:
     """Distinct ids of pairs whose Jaccard similarity is at least 0.8: 9 * overlap >= 4 * (n + m)."""
-    pairs = materialize(pairs, "pairs")
+    given = pairs = materialize(pairs, "pairs")
     wanted = materialize(pairs.select(F.explode(F.array("id", "partner")).alias("id")).distinct(), "wanted")
     some = sets.select("id", "t").join(F.broadcast(wanted) if few(wanted, BROADCAST_ROWS) else wanted, "id", "left_semi")
     some = materialize(some, "sets")
-    # long sets differ in most of 64 slots anyway: 256 slots decide about them before their tokens are shuffled
-    maps = [_parity(_quarter("t", q)) for q in range(4)]
+    # long sets differ in most of 128 slots anyway: 256 slots decide about them before their tokens are shuffled
+    maps = [_parity(_share("t", 2, q)) for q in range(4)]
     marks = some.select("id", F.size("t").alias("n"), *[m.alias(f"m{q}") for q, m in enumerate(maps)])
     marks = materialize(marks, "marks")
     small = few(marks, BROADCAST_ROWS)
     other = marks.select(F.col("id").alias("partner"), F.col("n").alias("m"), *[F.col(f"m{q}").alias(f"o{q}") for q in range(4)])
     apart = sum((F.bit_count(F.col(f"m{q}").bitwiseXOR(F.col(f"o{q}"))) for q in range(4)), F.lit(0))
     pairs = pairs.join(F.broadcast(marks) if small else marks, "id").join(F.broadcast(other) if small else other, "partner")
-    pairs = materialize(pairs.where(9 * apart <= F.col("n") + F.col("m")).select("id", "partner"), "close")
+    close = materialize(pairs.where(9 * apart <= F.col("n") + F.col("m")).select("id", "partner"), "close")
     a, b = some.select("id", "t"), some.select(F.col("id").alias("partner"), F.col("t").alias("u"))
     overlap = F.size(F.array_intersect("t", "u"))
-    return pairs.join(a, "id").join(b, "partner").where(9 * overlap >= 4 * (F.size("t") + F.size("u"))).select("id").distinct()
+    found = close.join(a, "id").join(b, "partner").where(9 * overlap >= 4 * (F.size("t") + F.size("u"))).select("id").distinct()
+    found = materialize(found, "found")
+    return found
 
 
 def line_dedup(docs: DataFrame) -> DataFrame:
