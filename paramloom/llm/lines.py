@@ -22,7 +22,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .scratch import few, materialize
+from .scratch import discard, few, materialize
 
 SLOTS = 1 << 16
 #: postings of a token up to which its lines are simply joined
@@ -78,6 +78,7 @@ def removed_lines(docs: DataFrame) -> DataFrame:
     same = materialize(sets.select("id", "s1", "s2").join(hint, ["s1", "s2"]).where("id <> first").select("id"), "same")
     hint = F.broadcast(same) if few(same, BROADCAST_ROWS) else same
     near = _near(sets.select("id", "n", "t").where("n >= 4").join(hint, "id", "left_anti"))
+    discard(sets, firsts)
     gone = same.unionByName(near)
     return gone.select(F.shiftright("id", bits).alias("_doc"), F.col("id").bitwiseAND(F.lit((1 << bits) - 1)).cast("int").alias("place"))
 
@@ -107,6 +108,7 @@ def _near(sets: DataFrame) -> DataFrame:
     star = heavy.where("id = first").drop("first")
     star_ = F.broadcast(star) if few(star, BROADCAST_ROWS) else star
     found = _verified(_candidates(heavy, star_).unionByName(_candidates(light, light)).distinct(), sets)
+    discard(posts, hot)
     if few(found, BROADCAST_ROWS):  # both sides of the join read one shuffle: an anti-join would move below it, this filter doesn't
         dealt = heavy.drop("first").repartition("token")
         lost = found.select("id", F.lit(True).alias("lost"))
@@ -114,6 +116,7 @@ def _near(sets: DataFrame) -> DataFrame:
     else:
         rest = _candidates(heavy.join(found, "id", "left_anti"), heavy)
     more = _verified(rest.distinct(), sets)
+    discard(heavy)
     return found.unionByName(more).distinct()
 
 
@@ -158,6 +161,7 @@ def _verified(pairs: DataFrame, sets: DataFrame) -> DataFrame:
     overlap = F.size(F.array_intersect("t", "u"))
     found = close.join(a, "id").join(b, "partner").where(9 * overlap >= 4 * (F.size("t") + F.size("u"))).select("id").distinct()
     found = materialize(found, "found")
+    discard(given, wanted, some, marks, close)
     return found
 
 

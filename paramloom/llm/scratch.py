@@ -5,10 +5,12 @@ from __future__ import annotations
 import atexit
 import tempfile
 import uuid
+import weakref
 
 from pyspark.sql import DataFrame, SparkSession
 
 _written: list[tuple[SparkSession, str]] = []
+_tables: weakref.WeakKeyDictionary[DataFrame, tuple[SparkSession, str]] = weakref.WeakKeyDictionary()
 
 
 def root(spark: SparkSession) -> str:
@@ -27,7 +29,17 @@ def materialize(df: DataFrame, label: str) -> DataFrame:
     """Write df as Parquet in the shared folder and read it back: later stages restart from the files."""
     path = new_path(df.sparkSession, label)
     df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    table = df.sparkSession.read.schema(df.schema).parquet(path)
+    _tables[table] = (df.sparkSession, path)
+    return table
+
+
+def discard(*tables: DataFrame) -> None:
+    """Delete tables that materialize() gave, once everything made from them is itself materialized."""
+    for table in tables:
+        entry = _tables.pop(table)
+        _written.remove(entry)
+        _delete(*entry)
 
 
 def _delete(spark: SparkSession, path: str) -> None:
