@@ -40,9 +40,8 @@ def tokens(line: Column) -> Column:
 def _numbered(docs: DataFrame) -> tuple[DataFrame, Column, int]:
     """docs with the order number _doc of each row, and the bits that places take in a line's id."""
     text = F.coalesce(F.col("text").cast("string"), F.lit(""))
-    lines = F.length(text) - F.length(F.replace(text, F.lit("\n"), F.lit("")))
-    low, high, most, rows, ids = docs.agg(F.min("doc_id"), F.max("doc_id"), F.max(lines), F.count(F.lit(1)), F.count("doc_id")).first()
-    bits = max(1, int(most or 0).bit_length())
+    low, high, most, rows, ids = docs.agg(F.min("doc_id"), F.max("doc_id"), F.max(F.octet_length(text)), F.count(F.lit(1)), F.count("doc_id")).first()
+    bits = max(1, int(most or 0).bit_length())  # a text has no more line breaks than bytes
     if rows == ids and (rows == 0 or high - low < 1 << (62 - bits)):
         repeats = docs.groupBy("doc_id").count().where("count > 1").limit(1).count()
         if not repeats:
@@ -91,11 +90,14 @@ def _near(sets: DataFrame) -> DataFrame:
     for r in counts.collect():  # SLOTS rows at most
         count[r["slot"]] = min(r["count"], (1 << 31) - 1)
     table = F.expr(f"cast(split('{','.join(map(str, count))}', ',') as array<bigint>)")
-    rare = F.sort_array(F.transform("t", lambda x: F.shiftleft(F.get(table, F.pmod(x, F.lit(SLOTS))), 32).bitwiseOR(x.cast("long").bitwiseAND(F.lit(0xFFFFFFFF)))))
+    ranked = lambda x: F.shiftleft(F.get(table, F.pmod(x, F.lit(SLOTS))), 32).bitwiseOR(x.cast("long").bitwiseAND(F.lit(0xFFFFFFFF)))
+    rare = F.sort_array(F.transform("t", lambda x: F.coalesce(ranked(x), F.lit(0).cast("bigint"))))  # never null: sorted as primitives
     # prefix: n - ceil(0.8 n) + 1
     length = F.col("n") - F.floor((4 * F.col("n") + 4) / 5).cast("int") + 1
-    # parities of the tokens' counts by 128 hash slots: they differ in no more slots than the sets in tokens
-    maps = [_parity(_share("t", 1, q)).alias(f"map{q}") for q in range(2)]
+    # parities of the tokens' counts by 128 hash slots, even and odd ones together and odd ones alone: they differ in
+    # no more slots than the sets in tokens
+    odd = F.aggregate("t", F.lit(0).cast("bigint"), lambda a, x: a.bitwiseXOR(F.call_function("shiftleft", F.shiftright(x, 6).bitwiseAND(F.lit(1)).cast("bigint"), x)))
+    maps = [_parity("t").alias("map0"), odd.alias("map1")]
     # parities are made before rows are multiplied; outer, as above: no prefix is empty
     posts = sets.select("id", "n", *maps, F.slice(rare, 1, length).alias("prefix"))
     posts = posts.select("id", "n", "map0", "map1", F.posexplode_outer("prefix").alias("i", "token"))
@@ -121,8 +123,8 @@ def _near(sets: DataFrame) -> DataFrame:
 
 
 def _parity(hashes: Column | str) -> Column:
-    """Parities of the hashes' counts by 64 slots."""
-    return F.aggregate(hashes, F.lit(0).cast("bigint"), lambda a, x: a.bitwiseXOR(F.call_function("shiftleft", F.lit(1).cast("bigint"), x.bitwiseAND(F.lit(63)))))
+    """Parities of the hashes' counts by 64 slots (a long is shifted by the lowest six bits)."""
+    return F.aggregate(hashes, F.lit(0).cast("bigint"), lambda a, x: a.bitwiseXOR(F.call_function("shiftleft", F.lit(1).cast("bigint"), x)))
 
 
 def _share(hashes: Column | str, bits: int, q: int) -> Column:
@@ -137,8 +139,8 @@ def _candidates(later: DataFrame, earlier: DataFrame) -> DataFrame:
     # overlap needed: 4/9 (n + m); at most what both have from this token on, and what both have before it
     fits = (5 * low >= 4 * high) & (9 * (F.least(F.col("n") - F.col("i"), F.col("m") - F.col("j")) + F.least("i", "j")) >= 4 * (F.col("n") + F.col("m")))
     # n + m - 2 * overlap >= slots that differ
-    slots = sum((F.bit_count(F.col(f"map{q}").bitwiseXOR(F.col(f"other{q}"))) for q in range(2)), F.lit(0))
-    apart = 9 * slots <= F.col("n") + F.col("m")
+    whole, odd = F.col("map0").bitwiseXOR(F.col("other0")), F.col("map1").bitwiseXOR(F.col("other1"))
+    apart = 9 * (F.bit_count(odd) + F.bit_count(whole.bitwiseXOR(odd))) <= F.col("n") + F.col("m")
     return later.select("token", "id", "n", "i", "map0", "map1").join(b, "token").where((F.col("partner") < F.col("id")) & fits & apart).select("id", "partner")
 
 
