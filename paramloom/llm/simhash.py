@@ -12,33 +12,20 @@ repeated rows keep their multiplicity; a null doc_id never becomes a component u
 from __future__ import annotations
 
 from collections.abc import Iterable, Iterator
-from itertools import combinations, repeat
+from itertools import combinations
 from math import comb
 
 import numpy as np
 import pyarrow as pa
-import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .components import Forest, connected_components
 from .scratch import few, materialize
+from .shingles import near_copies, shingle_hashes
 
 BITS = 64
 CELL = 2048
-SEED = 42
-
-
-def shingle_hashes(text: str | None, width: int) -> list[int]:
-    """XXH64 of every word shingle of a whole text, repeats included (A-Z lower-cased, ASCII white space)."""
-    words = (text or "").encode("utf-8", "surrogatepass").lower().split()
-    if len(words) <= width:
-        return [xxhash.xxh64_intdigest(b" ".join(words), SEED)] if words else []
-    flat = b" ".join(words)
-    gaps = np.nonzero(np.frombuffer(flat, np.uint8) == 32)[0]
-    starts = [0, *(gaps[: len(words) - width] + 1).tolist()]
-    ends = [*gaps[width - 1 :].tolist(), len(flat)]
-    return list(map(xxhash.xxh64_intdigest, [flat[s:e] for s, e in zip(starts, ends)], repeat(SEED)))
 
 
 def majority(hashes: np.ndarray, sizes: np.ndarray) -> np.ndarray:
@@ -245,13 +232,13 @@ def near_duplicates(docs: DataFrame, width: int = 3, radius: int = 3) -> DataFra
     return marks.join(table, "fp").select("doc_id", "fp", "component_id")
 
 
-def dedup(docs: DataFrame, width: int = 5, radius: int = 9) -> DataFrame:
+def dedup(docs: DataFrame, width: int = 5) -> DataFrame:
     """The rows of docs that stay: of each group the row with the smallest doc_id (of repeated rows, one).
 
-    Five-word shingles; 9 of 64 bits is the expected SimHash distance at a Jaccard similarity of 0.8.
-    Rows without a doc_id stay.
+    Groups are the components of an exact Jaccard similarity of 0.8 or more of five-word shingles, not of SimHash
+    distances. Rows without a doc_id stay.
     """
-    kept = near_duplicates(docs.where("doc_id is not null"), width, radius).where("doc_id = component_id").select("doc_id").distinct()
+    kept = near_copies(docs, width).where("doc_id = component_id").select("doc_id").distinct()
     first = docs.where("doc_id is not null").dropDuplicates(["doc_id"])
     return first.join(kept, "doc_id", "left_semi").select(*docs.columns).unionByName(docs.where("doc_id is null"))
 
