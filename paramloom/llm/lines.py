@@ -4,14 +4,15 @@ A line is the set of its lower-cased words. Lines stand in the order of doc_id (
 where a doc_id repeats, then of their place; a line is removed if an earlier line of the whole table has a Jaccard
 similarity of 0.8 or more to it, whether or not that one is removed as well.
 
-Lines of equal word sets are one class (grouped with map-side combining, by a 128-bit hash). For the others,
+Lines of equal word sets are one class (grouped with map-side combining, by a 128-bit hash of the sorted words). For the others,
 tokens are ordered by rarity: by how often their hash slot (65,536 of them, a fixed bound) occurs in all distinct lines,
 then by the token. Two lines of similarity t share one of their first n - ceil(t n) + 1 tokens; postings of those are
 joined under the length, the positional and a 128-bit parity filter, a 256-bit one follows (all exact), and the survivors'
 overlaps are counted. Tokens with many postings
 first meet their earliest line only (a star, not all pairs); lines which that removes need no more partners.
 
-Words stand as 32-bit hashes (two words of one pair of lines share one about once in a million pairs).
+Words stand as 64-bit hashes where overlaps are counted, so that a false equal needs two words of one pair of lines
+that share all 64 bits; no birthday effect over all lines arises from it.
 
 Defined cases: null and empty texts have no lines to remove and stay as they are; lines without words stay; rows equal
 in doc_id and text are one document and keep the same lines; a text whose lines all go becomes empty.
@@ -31,10 +32,9 @@ FEW = 16
 BROADCAST_ROWS = 1_000_000
 
 
-def tokens(line: Column) -> Column:
-    """Distinct words of a line, whose white space is spaces, as 32-bit hashes, in order."""
-    words = F.array_remove(F.split(F.lower(line), " "), "")
-    return F.sort_array(F.array_distinct(F.transform(words, lambda w: F.hash(w))))
+def words(line: Column) -> Column:
+    """Distinct words of a line, whose white space is spaces, in order."""
+    return F.sort_array(F.array_distinct(F.array_remove(F.split(F.lower(line), " "), "")))
 
 
 def _numbered(docs: DataFrame) -> tuple[DataFrame, Column, int]:
@@ -68,8 +68,10 @@ def removed_lines(docs: DataFrame) -> DataFrame:
     # outer: else the optimizer adds a filter that splits each text again; split never gives an empty array
     lines = numbered.where("text is not null").select("_doc", F.posexplode_outer(F.split(plain, "\n")).alias("place", "line"))
     lines = lines.select(F.shiftleft("_doc", bits).bitwiseOR(F.col("place")).alias("id"), "line")
-    sets = lines.where(F.ltrim("line") != "").select("id", tokens(F.col("line")).alias("t"))  # a filter on t would build it twice
-    sets = materialize(sets.select("id", "t", F.size("t").cast("int").alias("n"), F.xxhash64("t").alias("s1"), F.xxhash64(F.lit(5), "t").alias("s2")), "lines")
+    sets = lines.where(F.ltrim("line") != "").select("id", words(F.col("line")).alias("w"))  # a filter on w would build it twice
+    # equal sets are told by the words themselves; hashes of single words serve the join and the overlap
+    sets = sets.select("id", F.transform("w", lambda w: F.xxhash64(w)).alias("t"), F.size("w").cast("int").alias("n"), F.xxhash64("w").alias("s1"), F.xxhash64(F.lit(5), "w").alias("s2"))
+    sets = materialize(sets, "lines")
     # lines of equal word sets: all but the first go
     firsts = sets.groupBy("s1", "s2").agg(F.min("id").alias("first"), F.count(F.lit(1)).alias("k")).where("k > 1").select("s1", "s2", "first")
     firsts = materialize(firsts, "firsts")
@@ -84,19 +86,20 @@ def removed_lines(docs: DataFrame) -> DataFrame:
 
 def _near(sets: DataFrame) -> DataFrame:
     """id of each set that an earlier one (smaller id) is similar to."""
-    slot = F.pmod(F.col("x"), F.lit(SLOTS))
+    # postings are told apart by the lower half of a word's hash: words that share it only add pairs to verify
+    slot = F.col("x").bitwiseAND(F.lit(SLOTS - 1))
     counts = sets.select(F.explode_outer("t").alias("x")).groupBy(slot.alias("slot")).count()
     count = [0] * SLOTS
     for r in counts.collect():  # SLOTS rows at most
         count[r["slot"]] = min(r["count"], (1 << 31) - 1)
     table = F.expr(f"cast(split('{','.join(map(str, count))}', ',') as array<bigint>)")
-    ranked = lambda x: F.shiftleft(F.get(table, F.pmod(x, F.lit(SLOTS))), 32).bitwiseOR(x.cast("long").bitwiseAND(F.lit(0xFFFFFFFF)))
+    ranked = lambda x: F.shiftleft(F.get(table, x.bitwiseAND(F.lit(SLOTS - 1)).cast("int")), 32).bitwiseOR(x.bitwiseAND(F.lit(0xFFFFFFFF)))
     rare = F.sort_array(F.transform("t", lambda x: F.coalesce(ranked(x), F.lit(0).cast("bigint"))))  # never null: sorted as primitives
     # prefix: n - ceil(0.8 n) + 1
     length = F.col("n") - F.floor((4 * F.col("n") + 4) / 5).cast("int") + 1
     # parities of the tokens' counts by 128 hash slots, even and odd ones together and odd ones alone: they differ in
     # no more slots than the sets in tokens
-    odd = F.aggregate("t", F.lit(0).cast("bigint"), lambda a, x: a.bitwiseXOR(F.call_function("shiftleft", F.shiftright(x, 6).bitwiseAND(F.lit(1)).cast("bigint"), x)))
+    odd = F.aggregate("t", F.lit(0).cast("bigint"), lambda a, x: a.bitwiseXOR(F.call_function("shiftleft", F.shiftright(x, 6).bitwiseAND(F.lit(1)), x.bitwiseAND(F.lit(63)).cast("int"))))
     maps = [_parity("t").alias("map0"), odd.alias("map1")]
     # parities are made before rows are multiplied; outer, as above: no prefix is empty
     posts = sets.select("id", "n", *maps, F.slice(rare, 1, length).alias("prefix"))
@@ -123,8 +126,8 @@ def _near(sets: DataFrame) -> DataFrame:
 
 
 def _parity(hashes: Column | str) -> Column:
-    """Parities of the hashes' counts by 64 slots (a long is shifted by the lowest six bits)."""
-    return F.aggregate(hashes, F.lit(0).cast("bigint"), lambda a, x: a.bitwiseXOR(F.call_function("shiftleft", F.lit(1).cast("bigint"), x)))
+    """Parities of the hashes' counts by 64 slots (the lowest six bits)."""
+    return F.aggregate(hashes, F.lit(0).cast("bigint"), lambda a, x: a.bitwiseXOR(F.call_function("shiftleft", F.lit(1).cast("bigint"), x.bitwiseAND(F.lit(63)).cast("int"))))
 
 
 def _share(hashes: Column | str, bits: int, q: int) -> Column:
