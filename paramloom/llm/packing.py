@@ -7,7 +7,10 @@ that the next one starts with. So any task can place its own documents without s
 and partitions. Windows follow each other without gaps and are cut into sequences, which are all full but the last.
 
 A source whose share is below `least_quota` tokens a window has no queue of its own: such sources are one queue
-together. So there are at most length / least_quota + 1 queues, whatever the number of sources.
+together. So there are at most length / least_quota + 1 queues, whatever the number of sources. Within that queue each
+source still has its schedule: its tokens go in stretches of `least_quota`, in the order of the share of the source
+that has gone by then (plus a phase by the source's name, so that they don't all come at once). So a long document of
+one small source doesn't hold up the others, and each is at any time within about two stretches of its proportion.
 
 Defined cases: null and empty texts are the closing id alone; null is a source of its own; rows that repeat a
 doc_id are documents of their own; a document longer than a sequence is cut like any other; no rows, no pieces.
@@ -313,6 +316,28 @@ def pack(docs: DataFrame, vocabulary: str | None = None, end: int = END_ID, leng
     return lay_out(tokens, length, least_quota)
 
 
+def _interleaved(tail: DataFrame, sources: DataFrame, total: int, stretch: int) -> DataFrame:
+    """(s, b, runs): for each document of the shared queue, by source and begin, its stretches (start, place in the queue).
+
+    A stretch's key is the share of its source's tokens that has gone by then; buckets are ranges of the key, which
+    hold about equal numbers of tokens whatever the sources are.
+    """
+    sums = sources.select(F.col("source").alias("s"), F.col("total").alias("all"))
+    cut = tail.select("source", "begin", "n", F.explode(F.sequence(F.lit(0).cast("long"), F.col("n") - 1, F.lit(stretch).cast("long"))).alias("start"))
+    cut = cut.join(sums, F.col("source").eqNullSafe(F.col("s"))).withColumn("size", F.least(F.lit(stretch), F.col("n") - F.col("start")))
+    phase = F.pmod(F.xxhash64("source", F.lit(3)), F.lit(1 << 20)) / F.lit(1 << 20)
+    key = (F.col("begin") + F.col("start") + F.col("size") * phase) / F.col("all")
+    ranges = max(16, total // (stretch * BUCKET_ROWS))
+    cut = cut.select("source", "begin", "start", "size", key.alias("key"))
+    cut = cut.withColumn("range", F.least(F.floor(F.col("key") * ranges), F.lit(ranges - 1)))
+    before = Window.orderBy("range").rowsBetween(Window.unboundedPreceding, -1)  # one row a range
+    base = cut.groupBy("range").agg(F.sum("size").alias("sum")).select("range", F.coalesce(F.sum("sum").over(before), F.lit(0)).alias("base"))
+    inside = Window.partitionBy("range").orderBy("key", "source", "begin", "start").rowsBetween(Window.unboundedPreceding, -1)
+    put = cut.withColumn("within", F.coalesce(F.sum("size").over(inside), F.lit(0))).join(materialize(base, "ranges"), "range")
+    run = F.struct("start", (F.col("base") + F.col("within")).alias("at"))
+    return put.groupBy(F.col("source").alias("s"), F.col("begin").alias("b")).agg(F.array_sort(F.collect_list(run)).alias("runs"))
+
+
 def lay_out(tokens: DataFrame, length: int = LENGTH, least_quota: int = LEAST_QUOTA, emit: Callable | None = None) -> DataFrame:
     sources = materialize(tokens.groupBy("source").agg(F.sum("n").alias("total"), F.count(F.lit(1)).alias("rows")), "shares")
     total, rows = sources.agg(F.coalesce(F.sum("total"), F.lit(0)), F.coalesce(F.sum("rows"), F.lit(0))).first()
@@ -324,13 +349,24 @@ def lay_out(tokens: DataFrame, length: int = LENGTH, least_quota: int = LEAST_QU
     buckets = max(16, int(rows) // BUCKET_ROWS)
     dealt = tokens.join(F.broadcast(queues), F.col("source").eqNullSafe(F.col("s")), "left").drop("s")
     dealt = dealt.withColumns({"queue": F.coalesce("queue", F.lit(len(own))), "bucket": F.pmod(F.xxhash64("doc_id", "tie"), F.lit(buckets))})
-    before = Window.partitionBy("queue").orderBy("bucket").rowsBetween(Window.unboundedPreceding, -1)
-    base = dealt.groupBy("queue", "bucket").agg(F.sum("n").alias("sum")).withColumn("base", F.coalesce(F.sum("sum").over(before), F.lit(0)))
-    base = materialize(base.select("queue", "bucket", "base"), "buckets")
-    inside = Window.partitionBy("queue", "bucket").orderBy(F.col("doc_id").asc_nulls_last(), "tie").rowsBetween(Window.unboundedPreceding, -1)
+    # where each document begins in its source
+    before = Window.partitionBy("source").orderBy("bucket").rowsBetween(Window.unboundedPreceding, -1)
+    base = dealt.groupBy("source", "bucket").agg(F.sum("n").alias("sum")).withColumn("base", F.coalesce(F.sum("sum").over(before), F.lit(0)))
+    base = materialize(base.select(F.col("source").alias("s"), F.col("bucket").alias("b"), "base"), "buckets")
+    inside = Window.partitionBy("source", "bucket").orderBy(F.col("doc_id").asc_nulls_last(), "tie").rowsBetween(Window.unboundedPreceding, -1)
     small = base.limit(200_001).count() <= 200_000
-    placed = dealt.withColumn("within", F.coalesce(F.sum("n").over(inside), F.lit(0))).join(F.broadcast(base) if small else base, ["queue", "bucket"])
+    match = F.col("source").eqNullSafe(F.col("s")) & (F.col("bucket") == F.col("b"))
+    placed = dealt.withColumn("within", F.coalesce(F.sum("n").over(inside), F.lit(0))).join(F.broadcast(base) if small else base, match)
     placed = placed.select("doc_id", "source", "n", "ids", "queue", (F.col("base") + F.col("within")).alias("begin"))
+    alone = F.array(F.struct(F.lit(0).cast("long").alias("start"), F.col("begin").alias("at")))
+    if totals[-1]:
+        placed = materialize(placed, "placed")
+        laid = _interleaved(placed.where(F.col("queue") == len(own)), sources, totals[-1], least_quota)
+        tail = placed.where(F.col("queue") == len(own)).join(laid, F.col("source").eqNullSafe(F.col("s")) & (F.col("begin") == F.col("b")))
+        placed = placed.where(F.col("queue") != len(own)).withColumn("runs", alone).unionByName(tail.drop("s", "b"))
+    else:
+        placed = placed.withColumn("runs", alone)
+    placed = placed.select("doc_id", "source", "n", "ids", "queue", "runs")
     schedule = Schedule(totals, length)
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -339,15 +375,17 @@ def lay_out(tokens: DataFrame, length: int = LENGTH, least_quota: int = LEAST_QU
         for whole in batches:
             for at in range(0, whole.num_rows, 512):
                 out: list[tuple] = []
-                for i, source, n, packed, queue, begin in zip(*(c.to_pylist() for c in whole.slice(at, 512).columns)):
+                for i, source, n, packed, queue, runs in zip(*(c.to_pylist() for c in whole.slice(at, 512).columns)):
                     data = _unplanes(unpress.decompress(packed))
-                    starts, places = schedule.pieces(queue, begin, begin + n)
-                    ends = np.append(starts[1:], begin + n)
-                    for s, e, p in zip((starts - begin).tolist(), (ends - begin).tolist(), places.tolist()):
-                        while s < e:  # a run may cross from one sequence into the next
-                            take = min(e - s, length - p % length)
-                            out.append((i, s, take, zlib.crc32(data[4 * s : 4 * (s + take)]), n, p // length, p % length, source))
-                            s, p = s + take, p + take
+                    stops = [r["start"] for r in runs[1:]] + [n]
+                    for first, begin, stop in ((r["start"], r["at"], x) for r, x in zip(runs, stops)):
+                        starts, places = schedule.pieces(queue, begin, begin + stop - first)
+                        ends = np.append(starts[1:], begin + stop - first)
+                        for s, e, p in zip((starts - begin + first).tolist(), (ends - begin + first).tolist(), places.tolist()):
+                            while s < e:  # a run may cross from one sequence into the next
+                                take = min(e - s, length - p % length)
+                                out.append((i, s, take, zlib.crc32(data[4 * s : 4 * (s + take)]), n, p // length, p % length, source))
+                                s, p = s + take, p + take
                 kinds = [pa.int64()] * 7 + [pa.string()]
                 yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(list(zip(*out)) or [()] * 8, kinds)], names)
 
