@@ -37,9 +37,9 @@ LENGTH = 4096
 LEAST_QUOTA = 32
 END_ID = 2
 #: documents of a bucket within a queue, on average
-BUCKET_ROWS = 2000
-#: words that a task keeps the ids of
-_CACHE = 500_000
+BUCKET_ROWS = 500
+#: bytes of text that are encoded together (a longer text stands alone), and words that a task keeps the ids of
+BATCH_BYTES, _CACHE = 4 << 20, 300_000
 
 
 def default_vocabulary() -> str:
@@ -78,7 +78,7 @@ class Merges:
         size = np.fromiter(map(len, words), np.int64, len(words))
         for low, high in ((1, 4), (4, 6), (6, 8), (8, 10), (10, 12), (12, 16), (16, 24), (24, 48), (48, 1 << 40)):
             group = np.nonzero((size >= low) & (size < high))[0]
-            step = max(1, min(65_536, (1 << 22) // int(size[group].max(initial=1))))
+            step = max(1, min(32_768, (1 << 21) // int(size[group].max(initial=1))))
             for at in range(0, len(group), step):
                 pick = group[at : at + step]
                 ids, n = self._rows([words[i] for i in pick], size[pick])
@@ -246,9 +246,9 @@ def tokenize(docs: DataFrame, vocabulary: str, end: int = END_ID) -> DataFrame:
         encoder, press = Encoder(vocabulary), zstandard.ZstdCompressor(level=1)
         for whole in batches:
             at = 0
-            while at < whole.num_rows:  # about 16 MB of text at a time
+            while at < whole.num_rows:
                 sizes = np.cumsum(pc.fill_null(pc.binary_length(whole.column(2).slice(at)), 0).to_numpy(zero_copy_only=False))
-                b = whole.slice(at, max(1, int(np.searchsorted(sizes, 16 << 20, side="right"))))
+                b = whole.slice(at, max(1, int(np.searchsorted(sizes, BATCH_BYTES, side="right"))))
                 at += b.num_rows
                 ids, bounds = encoder.encode(b.column(2), end)
                 each = [ids[s:e].tobytes() for s, e in zip(bounds[:-1], bounds[1:])]
