@@ -3,19 +3,23 @@
 Voters are lexicons, text patterns, and word stems mined from a bounded sample of labelled rows. A generative label
 model is fitted to how often voters fire, and fire together, over ALL documents: under a hidden class the covariance
 of independent voters is a product a_i * a_j, so a rank-one fit gives each voter's accuracies and what it leaves
-gives the pairs that are correlated beyond the class; those are discounted. Posterior labels of the sample then train
-a linear classifier on words and word prefixes, which scores every whole text.
+gives the pairs that are correlated beyond the class; those are discounted. A given label is one more voter: its
+accuracy comes from the same fit (over the labelled rows of the sample), and it abstains elsewhere. The posterior
+labels of a bounded sample of labelled and unlabelled documents outside the held-out fold then train a linear
+classifier on words and word prefixes that tell the posteriors apart; it scores every whole text. Without labels the
+path is the same, with lexicons and patterns as the only voters.
 
 Defined cases: null text is the empty text and gets the classifier's base score; documents without labels are scored
-like all others; without labelled rows the lexicons alone carry the classifier; rows that repeat a doc_id are scored
-each; a doc_id with contrary labels counts once with each; an empty table gives no rows.
+like all others; where no voter fires the lexicons' words keep a weight of their own; rows that repeat a doc_id are
+scored each; a doc_id with contrary labels counts once with each; other columns, of whatever name, play no part; an
+empty table gives no rows.
 """
 
 from __future__ import annotations
 
 import re
 import zlib
-from collections.abc import Iterable, Iterator
+from collections.abc import Callable, Container, Iterable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -24,12 +28,14 @@ from pyspark.sql import functions as F
 
 from .scratch import materialize
 
-#: Bound of the sample of labelled rows that stems are mined from and that the classifier is trained on.
-SAMPLE_ROWS = 20_000
+#: Bounds of the training sample: labelled rows (stems are mined from them as well), and other documents.
+SAMPLE_ROWS, OTHER_ROWS = 20_000, 10_000
 #: Feature slots, the most features kept, and the evidence (nats) a feature needs against chance.
 SLOTS, MOST_FEATURES, EVIDENCE = 1 << 22, 3000, 10.0
+#: the strongest stems mined from labelled rows, each a voter
 MINED_VOTERS = 40
-LABEL_ACCURACY = 0.98
+#: share of the class where no labels tell it
+PRIOR = 0.1
 FOLDS, HELD_OUT = 5, 0
 
 LEXICONS = {
@@ -48,6 +54,8 @@ _PATTERNS = (
     re.compile(r"\b(?:kill|hurt|find) (?:you|yourself|them all)\b"),
     re.compile(r"!{3,}"),
 )
+#: strings that a text needs for the first two patterns to match
+_NEEDED = (("idiot", "moron", "stupid", "pathetic", "loser", "trash", "scum", "clown", "worthless", "disgusting"), ("kill ", "hurt ", "find "))
 _LETTERS = re.compile(r"[^\W\d_]+")
 PREFIXES = (3, 4, 5, 6, 7, 8)
 
@@ -65,78 +73,87 @@ def remainder() -> Column:
 
 
 class _Words(dict):
-    """Word -> what a table of slots says of it: (bit mask or weights), remembered for frequent words."""
+    """Word -> its slots that a table knows, remembered for frequent words."""
 
-    def __init__(self, table: dict[int, int | float], lexicon: bool) -> None:
+    def __init__(self, table: Container[int]) -> None:
         super().__init__()
-        self.table, self.lexicon = table, lexicon
+        self.table = table
 
-    def __missing__(self, word: str):
-        found = tuple(s for s in slots(word) if s in self.table)
-        if self.lexicon and (k := _OF_WORD.get(word)) is not None:
-            found = (*found, -1 - k)
+    def look(self, word: str) -> tuple[int, ...]:
+        return tuple(s for s in slots(word) if s in self.table)
+
+    def __missing__(self, word: str) -> tuple[int, ...]:
+        found = self.look(word)
         if len(self) > 500_000:
             self.clear()
         self[word] = found
         return found
 
-    def of(self, text: str) -> set[int]:
-        """The slots of a text that the table knows; -1 - k for a word of lexicon k."""
+    def of(self, low: str) -> set[int]:
+        """What the words of a lower-case text have in the table."""
         hits: set[int] = set()
-        for x in filter(None, map(self.__getitem__, set(_LETTERS.findall(text.lower())))):
+        for x in filter(None, map(self.__getitem__, set(_LETTERS.findall(low)))):
             hits.update(x)
         return hits
 
 
-def _mine(sample: DataFrame) -> tuple[list[int], dict[int, tuple[int, int]], int, int]:
-    """Slots with clear evidence for the toxic class in the sample, strongest first."""
+class _Votes(_Words):
+    """Word -> the voters it makes fire: its lexicon, and the mined stems it has (slot -> voter)."""
+
+    def look(self, word: str) -> tuple[int, ...]:
+        found = tuple(self.table[s] for s in super(_Votes, self).look(word))
+        return found if (k := _OF_WORD.get(word)) is None else (*found, k)
+
+    def mask(self, low: str) -> int:
+        """Bit mask of the voters that fire on a lower-case text."""
+        mask = sum(1 << k for k in self.of(low))
+        for k, pattern in enumerate(_PATTERNS):
+            if "!!!" in low if k == 2 else any(map(low.__contains__, _NEEDED[k])):
+                if pattern.search(low):
+                    mask |= 1 << (len(LEXICONS) + k)
+        return mask
+
+
+def _mine(sample: DataFrame, weigh: Callable[[str, bool | None], float]) -> tuple[list[int], float, float]:
+    """Slots with clear evidence for the class, strongest first, and the rows' weights for and against it."""
 
     def count(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         known: dict[str, list[int]] = {}
-        sums, n = np.zeros((2, SLOTS), np.int32), [0, 0]
+        sums, n = np.zeros((2, SLOTS), np.float32), [0.0, 0.0]
         for b in batches:
-            for text, toxic in zip(b.column(1).to_pylist(), b.column(2).to_pylist()):
+            for text, toxic in zip(b.column(0).to_pylist(), b.column(1).to_pylist()):
                 own: set[int] = set()
-                for w in set(_LETTERS.findall((text or "").lower())):
+                low = text.lower()
+                for w in set(_LETTERS.findall(low)):
                     if w not in known:
                         if len(known) > 300_000:
                             known.clear()
                         known[w] = slots(w)
                     own.update(known[w])
-                sums[int(bool(toxic)), np.fromiter(own, np.int64, len(own))] += 1
-                n[int(bool(toxic))] += 1
+                share = weigh(low, toxic)
+                at = np.fromiter(own, np.int64, len(own))
+                sums[1, at] += share
+                sums[0, at] += 1 - share
+                n[1] += share
+                n[0] += 1 - share
         at = np.nonzero(sums.any(0))[0]
-        yield pa.RecordBatch.from_arrays([pa.array(np.append(at, -1), pa.int64()), pa.array(np.append(sums[1, at], n[1]), pa.int64()), pa.array(np.append(sums[0, at], n[0]), pa.int64())], ["slot", "bad", "good"])
+        yield pa.RecordBatch.from_arrays([pa.array(np.append(at, -1), pa.int64()), pa.array(np.append(sums[1, at], n[1]).astype(float)), pa.array(np.append(sums[0, at], n[0]).astype(float))], ["slot", "bad", "good"])
 
-    sums = sample.select("doc_id", "text", "toxic").mapInArrow(count, "slot long, bad long, good long").groupBy("slot").agg(F.sum("bad").alias("bad"), F.sum("good").alias("good"))
+    # rounded before they are added: sums of any order agree
+    exact = lambda c: F.sum(F.round(F.col(c) * 1024).cast("long")).cast("double") / 1024
+    sums = sample.select("text", "toxic").mapInArrow(count, "slot long, bad double, good double").groupBy("slot").agg(exact("bad").alias("bad"), exact("good").alias("good"))
     sums = materialize(sums, "slots")
     whole = sums.where("slot = -1").first()
-    bad, good = (int(whole["bad"]), int(whole["good"])) if whole else (0, 0)
-    if not bad or not good:
-        return [], {}, bad, good
+    bad, good = (float(whole["bad"]), float(whole["good"])) if whole else (0.0, 0.0)
+    if bad < 1e-6 or good < 1e-6:
+        return [], bad, good
     base = bad / (bad + good)
     n, share = F.col("bad") + F.col("good"), F.col("bad") / (F.col("bad") + F.col("good"))
-    left = F.when(share < 1, (1 - share) * F.log((1 - share) / F.lit(1 - base))).otherwise(0.0)
-    gain = n * (share * F.log(share / F.lit(base)) + left)
-    rows = sums.where((F.col("slot") >= 0) & (F.col("bad") >= 3)).withColumn("gain", gain).where((share > min(0.5, 3 * base)) & (F.col("gain") > EVIDENCE))
+    some = lambda x: F.when(x > 1e-9, x * F.log(F.greatest(x, F.lit(1e-9)))).otherwise(0.0)
+    gain = n * (some(share) + some(1 - share) - share * float(np.log(base)) - (1 - share) * float(np.log(1 - base)))
+    rows = sums.where((F.col("slot") >= 0) & (F.col("bad") >= 2.5)).withColumn("gain", gain).where((share > min(0.5, 3 * base)) & (F.col("gain") > EVIDENCE))
     rows = rows.orderBy(F.desc("gain"), "slot").limit(MOST_FEATURES).collect()  # bounded
-    return [r["slot"] for r in rows], {r["slot"]: (r["bad"], r["good"]) for r in rows}, bad, good
-
-
-def voters(text: str, words: _Words, mined: dict[int, int]) -> int:
-    """Bit mask of the voters that fire."""
-    hits = words.of(text)
-    mask = 0
-    for x in hits:
-        mask |= 1 << (-1 - x) if x < 0 else 1 << mined[x] if x in mined else 0
-    at = len(LEXICONS)
-    low = None
-    for k, pattern in enumerate(_PATTERNS):
-        if (k == 2 and "!!!" in text) or (k < 2 and mask):
-            low = text.lower() if low is None else low
-            if pattern.search(low):
-                mask |= 1 << (at + k)
-    return mask
+    return [r["slot"] for r in rows], bad, good
 
 
 class LabelModel:
@@ -151,26 +168,54 @@ class LabelModel:
         rho = cov / np.outer(scale, scale)
         apart = ~np.eye(size, dtype=bool)
         fired = mean > 0
-        a = np.where(fired, 0.5, 0.0)
-        for _ in range(3):  # fit, set pairs aside that are correlated beyond the class, fit again
+        limit = max(0.15, 4 / np.sqrt(max(n, 1)))
+        # a_i^2 = rho_ij rho_ik / rho_jk: the median over all (j, k) withstands some correlated pairs
+        a = np.zeros(size)
+        for i in np.nonzero(fired)[0]:
+            others = np.nonzero(fired & (np.arange(size) != i))[0]
+            with np.errstate(divide="ignore", invalid="ignore"):
+                square = np.outer(rho[i, others], rho[i, others]) / rho[np.ix_(others, others)]
+            square = square[(np.abs(rho[np.ix_(others, others)]) > 0.02) & apart[np.ix_(others, others)]]
+            a[i] = np.sqrt(np.clip(np.median(square), 0, 1)) if len(square) else 0.5
+        for _ in range(3):  # set pairs aside that are correlated beyond the class, fit the others
+            apart = ~np.eye(size, dtype=bool) & (np.abs(rho - np.outer(a, a)) < limit)
             use = apart & np.outer(fired, fired)
             for _ in range(200):
                 top, low = (use * rho * a[None, :]).sum(1), (use * a[None, :] ** 2).sum(1)
                 a = np.clip(0.5 * a + 0.5 * np.where(low > 0, top / np.maximum(low, 1e-9), 0), 0, 1)
             rest = rho - np.outer(a, a)
-            limit = max(0.15, 4 / np.sqrt(max(n, 1)))
-            apart = ~np.eye(size, dtype=bool) & (np.abs(rest) < limit)
+        apart = ~np.eye(size, dtype=bool) & (np.abs(rest) < limit)
         self.correlation = np.where(~apart & ~np.eye(size, dtype=bool) & np.outer(fired, fired), np.clip(rest, 0, 1), 0)
         spread = a * scale
         self.fires_bad = np.clip(mean + np.sqrt((1 - prior) / prior) * spread, 1e-6, 1 - 1e-6)
         self.fires_good = np.clip(mean - np.sqrt(prior / (1 - prior)) * spread, 1e-6, 1 - 1e-6)
         # a voter's say is shared with those that merely repeat it
         self.say = np.where(fired, 1 / (1 + self.correlation.sum(1)), 0)
+        self.accuracy = a
+        self.gold = (0.0, 0.0)
+
+    def bits(self, masks: np.ndarray) -> np.ndarray:
+        return np.stack([(masks >> np.uint64(k) & np.uint64(1)).astype(float) for k in range(len(self.say))], 1)
+
+    def add_labels(self, masks: np.ndarray, toxic: np.ndarray) -> None:
+        """The given labels of some rows as a voter: its accuracy is what makes its correlations products a * a_j."""
+        bits, mean = self.bits(masks), float(toxic.mean())
+        scale = np.sqrt(max(mean * (1 - mean), 1e-12))
+        spread = bits.std(0)
+        rho = np.where(spread > 0, ((bits - bits.mean(0)) * (toxic - mean)[:, None]).mean(0) / np.maximum(spread * scale, 1e-9), 0)
+        weight = self.say * self.accuracy
+        self.gold_accuracy = float(np.clip((weight * rho).sum() / max((weight * self.accuracy).sum(), 1e-9), 0.0, 0.98))
+        bad = np.clip(mean + np.sqrt((1 - self.prior) / self.prior) * self.gold_accuracy * scale, 1e-3, 1 - 1e-3)
+        good = np.clip(mean - np.sqrt(self.prior / (1 - self.prior)) * self.gold_accuracy * scale, 1e-3, 1 - 1e-3)
+        self.gold = (float(np.log((1 - bad) / (1 - good))), float(np.log(bad / good)))
+
+    def posterior(self, masks: np.ndarray, toxic: np.ndarray) -> np.ndarray:
+        """toxic: 1, 0, or -1 where no label is given."""
+        return _sigmoid(self.logit(masks) + np.where(toxic < 0, 0.0, np.where(toxic > 0, self.gold[1], self.gold[0])))
 
     def logit(self, masks: np.ndarray) -> np.ndarray:
-        bits = np.stack([(masks >> np.uint64(k) & np.uint64(1)).astype(float) for k in range(len(self.say))], 1)
-        yes, no = np.log(self.fires_bad / self.fires_good), np.log((1 - self.fires_bad) / (1 - self.fires_good))
-        return np.log(self.prior / (1 - self.prior)) + bits @ (self.say * (yes - no)) + (self.say * no).sum()
+        """Log odds of the class; a voter that doesn't fire abstains."""
+        return np.log(self.prior / (1 - self.prior)) + self.bits(masks) @ (self.say * np.log(self.fires_bad / self.fires_good))
 
 
 def _sigmoid(x):
@@ -190,20 +235,24 @@ def train_linear(rows: np.ndarray, columns: np.ndarray, soft: np.ndarray, width:
     return bias, w
 
 
-def fit(docs: DataFrame, labels: DataFrame, sample_rows: int = SAMPLE_ROWS) -> tuple[float, dict[int, float]]:
+def fit(docs: DataFrame, labels: DataFrame, sample_rows: int = SAMPLE_ROWS, other_rows: int = OTHER_ROWS) -> tuple[float, dict[int, float]]:
     """Bias and slot weights of the classifier. labels: (doc_id, toxic); only rows outside the held-out fold count."""
     texts = docs.select(F.col("doc_id").cast("long"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"))
     known = labels.select(F.col("doc_id").cast("long"), (F.col("toxic") > 0).alias("toxic")).where(F.col("toxic").isNotNull() & (remainder() != HELD_OUT))
-    known = known.orderBy(F.xxhash64("doc_id"), "doc_id").limit(sample_rows)  # bounded by sample_rows
-    sample = materialize(texts.join(F.broadcast(known), "doc_id").select("doc_id", "text", "toxic").repartition(24), "sample")
-    slots_, _, bad, good = _mine(sample)
-    mined = {s: len(LEXICONS) + len(_PATTERNS) + i for i, s in enumerate(slots_[:MINED_VOTERS])}
+    known = materialize(known.orderBy(F.xxhash64("doc_id"), "doc_id", "toxic").limit(sample_rows), "known")  # bounded by sample_rows
+    labelled = texts.join(F.broadcast(known), "doc_id").select("doc_id", "text", "toxic")
+    others = texts.where(remainder() != HELD_OUT).join(F.broadcast(known.select("doc_id")), "doc_id", "left_anti").select("doc_id").orderBy(F.xxhash64("doc_id", F.lit(7)), "doc_id").limit(other_rows)
+    others = materialize(others.distinct(), "others")  # bounded by other_rows
+    others = texts.join(F.broadcast(others), "doc_id", "left_semi").dropDuplicates(["doc_id"]).select("doc_id", "text", F.lit(None).cast("boolean").alias("toxic"))
+    sample = materialize(labelled.unionByName(others).repartition(24), "sample")
+    stems, bad, good = _mine(sample.where("toxic is not null"), lambda _, toxic: float(toxic))
+    mined = {s: len(LEXICONS) + len(_PATTERNS) + i for i, s in enumerate(stems[:MINED_VOTERS])}
     count = len(LEXICONS) + len(_PATTERNS) + len(mined)
 
     def moments(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        words, sums, n = _Words(dict.fromkeys(mined, 1), True), np.zeros((count, count), np.int64), 0
+        words, sums, n = _Votes(mined), np.zeros((count, count), np.int64), 0
         for b in batches:
-            masks = np.array([voters(t.as_py(), words, mined) for t in b.column(0)], np.uint64)
+            masks = np.array([words.mask(t.as_py().lower()) for t in b.column(0)], np.uint64)
             n += len(masks)
             masks = masks[masks > 0]
             bits = np.stack([(masks >> np.uint64(k) & np.uint64(1)).astype(np.int64) for k in range(count)], 1)
@@ -218,34 +267,45 @@ def fit(docs: DataFrame, labels: DataFrame, sample_rows: int = SAMPLE_ROWS) -> t
             n = r["n"]
         else:
             joint[divmod(r["at"], count)] = r["n"]
-    prior = float(np.clip(bad / (bad + good) if bad and good else 0.1, 0.01, 0.5))
-    model = LabelModel(joint, n, prior)
+    model = LabelModel(joint, n, float(np.clip(bad / (bad + good) if bad and good else PRIOR, 0.01, 0.5)))
+
+    def told(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        words = _Votes(mined)
+        for b in batches:
+            masks = np.array([words.mask(t.as_py().lower()) for t in b.column(0)], np.uint64)
+            yield pa.RecordBatch.from_arrays([pa.array(masks.view(np.int64)), b.column(1)], ["mask", "toxic"])
+
+    if bad and good:  # sample_rows numbers at most
+        got = sample.where("toxic is not null").select("text", "toxic").mapInArrow(told, "mask long, toxic boolean").toArrow()
+        model.add_labels(got.column("mask").to_numpy().view(np.uint64), got.column("toxic").to_numpy(zero_copy_only=False).astype(float))
+
+    def weigh() -> Callable[[str, bool | None], float]:
+        words = _Votes(mined)
+        return lambda low, toxic: float(model.posterior(np.array([words.mask(low)], np.uint64), np.array([-1 if toxic is None else int(toxic)]))[0])
+
+    found, _, _ = _mine(sample, weigh())
     lexicon_slots = {slots(w)[0] for w in _OF_WORD}
-    features = {s: i for i, s in enumerate(dict.fromkeys([*slots_, *sorted(lexicon_slots)]))}
+    features = {s: i for i, s in enumerate(dict.fromkeys([*found, *sorted(lexicon_slots)]))}
 
     def vectors(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        words, vote = _Words(features, False), _Words(dict.fromkeys(mined, 1), True)
+        words, share = _Words(features), weigh()
         for b in batches:
-            hits = [sorted(features[s] for s in words.of(t.as_py())) for t in b.column(1)]
-            masks = [voters(t.as_py(), vote, mined) for t in b.column(1)]
-            yield pa.RecordBatch.from_arrays([pa.array(hits, pa.list_(pa.int32())), pa.array(np.array(masks, np.uint64).view(np.int64), pa.int64()), b.column(2)], ["hits", "mask", "toxic"])
+            lows = [t.as_py().lower() for t in b.column(0)]
+            hits = [sorted(features[s] for s in words.of(t)) for t in lows]
+            soft = [share(t, x) for t, x in zip(lows, b.column(1).to_pylist())]
+            yield pa.RecordBatch.from_arrays([pa.array(hits, pa.list_(pa.int32())), pa.array(soft, pa.float64())], ["hits", "soft"])
 
-    # at most sample_rows short lists
-    got = sample.select("doc_id", "text", "toxic").mapInArrow(vectors, "hits array<int>, mask long, toxic boolean").toArrow()
+    # at most sample_rows + other_rows short lists; in an order of their own, so that reruns agree
+    got = sample.select("text", "toxic").mapInArrow(vectors, "hits array<int>, soft double").orderBy("hits", "soft").toArrow()
     weights = np.zeros(len(features))
-    if not len(got) or not bad or not good:
-        for s in lexicon_slots:
-            weights[features[s]] = 4.0
-        return -3.0, dict(zip(features, weights.tolist()))
-    hits = got.column("hits").combine_chunks()
-    rows = np.repeat(np.arange(len(hits)), np.diff(hits.offsets.to_numpy()))
-    columns = hits.flatten().to_numpy()
-    masks = got.column("mask").to_numpy().view(np.uint64)
-    label = got.column("toxic").to_numpy(zero_copy_only=False).astype(float)
-    say = np.log(LABEL_ACCURACY / (1 - LABEL_ACCURACY))
-    soft = _sigmoid(np.clip(model.logit(masks), -2.5, 2.5) + (2 * label - 1) * say)
+    bias = float(np.log(model.prior / (1 - model.prior)))
+    columns = np.zeros(0, np.int64)
+    if len(got):
+        hits = got.column("hits").combine_chunks()
+        rows = np.repeat(np.arange(len(hits)), np.diff(hits.offsets.to_numpy()))
+        columns = hits.flatten().to_numpy()
+        bias, weights = train_linear(rows, columns, got.column("soft").to_numpy(), len(features))
     # lexicon words that the sample does not show keep a prior weight of their own
-    bias, weights = train_linear(rows, columns, soft, len(features))
     unseen = np.bincount(columns, minlength=len(features)) == 0
     for s in lexicon_slots:
         if unseen[features[s]]:
@@ -259,9 +319,9 @@ def score(docs: DataFrame, bias: float, weights: dict[int, float], *keep: str) -
     schema = docs.select(*keep).withColumn("score", F.lit(0.0)).schema
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        words = _Words(weights, False)
+        words = _Words(weights)
         for b in batches:
-            sums = np.array([bias + sum(map(weights.__getitem__, words.of(t.as_py()))) for t in b.column(len(keep))])
+            sums = np.array([bias + sum(map(weights.__getitem__, words.of(t.as_py().lower()))) for t in b.column(len(keep))])
             yield pa.RecordBatch.from_arrays([*b.columns[: len(keep)], pa.array(_sigmoid(sums), pa.float64())], [*keep, "score"])
 
     return kept.mapInArrow(run, schema)
