@@ -484,15 +484,11 @@ def trial_elements(s, d):
     return lifecycle.trial_elements(e, links)
 
 
-_PLUGS = "WITH p AS (SELECT c_custkey AS plug, ['seg:' || c_mktsegment, 'r:' || (c_nationkey % 3)] AS facets FROM customer WHERE c_custkey <= 300), k AS (SELECT s_suppkey AS socket, ['r:' || (s_nationkey % 3), 'seg:BUILDING', CASE WHEN s_suppkey % 2 = 0 THEN 'seg:MACHINERY' ELSE 'seg:NONE' END] AS facets FROM supplier), f AS (SELECT plug, socket FROM p, k WHERE list_has_all(k.facets, p.facets)) "
+_PLUGS = "WITH p AS (SELECT c_custkey AS plug, ['seg:' || c_mktsegment, 'r:' || (c_nationkey % 3)] AS facets FROM customer), k AS (SELECT s_suppkey AS socket, ['r:' || (s_nationkey % 3), 'seg:BUILDING', CASE WHEN s_suppkey % 2 = 0 THEN 'seg:MACHINERY' ELSE 'seg:NONE' END] AS facets FROM supplier), f AS (SELECT plug, socket FROM p, k WHERE list_has_all(k.facets, p.facets)) "
 
 
-#: the same over all customers; wiring_match and wiring_classify keep to what their SQL states
-_ALL_PLUGS = _PLUGS.replace(" WHERE c_custkey <= 300", "")
-
-
-def _ports(s, d, customers="c_custkey <= 300"):
-    c, k = V.table(s, d, "customer").where(customers), V.table(s, d, "supplier")
+def _ports(s, d):
+    c, k = V.table(s, d, "customer"), V.table(s, d, "supplier")
     plugs = c.select(F.col("c_custkey").alias("plug"), F.array(F.concat(F.lit("seg:"), "c_mktsegment"), F.concat(F.lit("r:"), F.col("c_nationkey") % 3)).alias("facets"))
     sockets = k.select(F.col("s_suppkey").alias("socket"), F.array(F.concat(F.lit("r:"), F.col("s_nationkey") % 3), F.lit("seg:BUILDING"), F.when(F.col("s_suppkey") % 2 == 0, "seg:MACHINERY").otherwise("seg:NONE")).alias("facets"))
     return plugs, sockets
@@ -508,14 +504,14 @@ def wiring_classify(s, d):
     return wiring.classify(*_ports(s, d))
 
 
-@query("wiring_match_all", _ALL_PLUGS + "SELECT plug, socket FROM f", views=False)
+@query("wiring_match_all", _PLUGS + "SELECT plug, socket FROM f", views=False)
 def wiring_match_all(s, d):
-    return wiring.fits(*_ports(s, d, "true"))
+    return wiring.fits(*_ports(s, d))
 
 
-@query("wiring_classify_all", _ALL_PLUGS + ", n AS (SELECT p.plug, count(f.socket) AS sockets FROM p LEFT JOIN f USING (plug) GROUP BY 1) SELECT plug, sockets, CASE sockets WHEN 0 THEN 'none' WHEN 1 THEN 'one' ELSE 'many' END AS match FROM n", views=False)
+@query("wiring_classify_all", _PLUGS + ", n AS (SELECT p.plug, count(f.socket) AS sockets FROM p LEFT JOIN f USING (plug) GROUP BY 1) SELECT plug, sockets, CASE sockets WHEN 0 THEN 'none' WHEN 1 THEN 'one' ELSE 'many' END AS match FROM n", views=False)
 def wiring_classify_all(s, d):
-    return wiring.classify(*_ports(s, d, "true"))
+    return wiring.classify(*_ports(s, d))
 
 
 def _queue(s, d):
@@ -551,3 +547,6 @@ def backoff_delays(s, d):
 def fingerprints(s, d):
     a = V.assignments(s, d)
     return a.select("trial_id", F.sha2(F.concat_ws("|", F.concat_ws(".", "element", "parameter"), "value"), 256).alias("fingerprint"))
+
+
+from . import catalog_records  # noqa: E402,F401 - registers further queries here

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
 from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -73,8 +74,9 @@ class Domain:
         items = sorted(set(self.values)) if self.kind == "integer" else list(dict.fromkeys(self.values))
         return spark.range(1).select(F.posexplode(F.array(*[F.lit(x) for x in items])).alias("i", "value"))
 
-    def sample(self, draw: Column) -> Column:
-        """A value for a uniform draw in [0, 1); selections take one item. Strings cannot be sampled."""
+    def sample(self, draw: Column, key: Column | None = None) -> Column:
+        """A value for a uniform draw in [0, 1). A selection takes k items, k from 1 to its cap by the draw, in the order
+        of their hashes with key (text; default: the draw). Strings cannot be sampled."""
         if self.kind == "boolean":
             return draw >= 0.5
         if self.kind == "integer":
@@ -83,9 +85,37 @@ class Domain:
         if self.kind == "double":
             return F.lit(self.low) + draw * F.lit(self.high - self.low)
         if self.kind == "selection" and not self.external:
-            return F.array(F.get(F.array(*[F.lit(v) for v in self.values]), F.floor(draw * len(self.values)).cast("int")))
+            items = list(dict.fromkeys(self.values))
+            cap = max(1, min(len(items), self.most if self.most is not None else len(items)))
+            seed = draw.cast("string") if key is None else key
+            dealt = F.array_sort(F.array(*[F.struct(F.md5(F.concat(seed, F.lit(":" + v))).alias("h"), F.lit(v).alias("v")) for v in items]))
+            return F.transform(F.slice(dealt, 1, (F.floor(draw * cap) + 1).cast("int")), lambda x: x["v"])
         raise NotEnumerable(self.kind)
 
+    def boundary(self, draw: Column) -> Column:
+        """One of the boundary values, for a uniform draw."""
+        ends = self.boundaries()
+        return F.get(F.array(*[F.lit(v) for v in ends]), F.floor(draw * len(ends)).cast("int"))
+
+    def generate(self, default: Column, draw: Column, key: Column | None = None) -> Column:
+        """The default where there is one, else a sample."""
+        return F.coalesce(default, self.sample(draw, key))
+
+
+class Resolvers:
+    """Sources of external selections by name: each gives a table (value, label)."""
+
+    def __init__(self) -> None:
+        self._of: dict[str, Callable[[SparkSession], DataFrame]] = {}
+
+    def register(self, name: str, source: Callable[[SparkSession], DataFrame]) -> None:
+        self._of[name] = source
+
+    def values(self, spark: SparkSession, name: str) -> DataFrame:
+        if name not in self._of:
+            raise KeyError(f"no resolver {name!r}")
+        return self._of[name](spark).select("value", "label").distinct()
+
 
 def satisfiable(domain: Domain, constraint: Constraint, spark: SparkSession) -> bool:
     """Whether a boundary value or one of eight fixed samples satisfies the constraint (a heuristic probe)."""

@@ -176,8 +176,19 @@ def saturate(x: Column) -> Column:
     )
 
 
+def _negative_zero(x: Column) -> Column:
+    return (x == 0) & (x.cast("string") == "-0.0")
+
+
 def _divide(a: Column, b: Column) -> Column:
-    return F.when(b == 0, F.when(F.isnan(a) | (a == 0), F.lit(NAN)).when(a > 0, F.lit(float("inf"))).otherwise(F.lit(float("-inf")))).otherwise(F.try_divide(a, b))
+    up, down = F.lit(float("inf")), F.lit(float("-inf"))
+    by_zero = F.when(F.isnan(a) | (a == 0), F.lit(NAN)).when((a > 0) != _negative_zero(b), up).otherwise(down)
+    return F.when(b == 0, by_zero).otherwise(F.try_divide(a, b))
+
+
+def _less(a: Column, b: Column) -> Column:
+    """Total order of doubles: -0.0 before 0.0, NaN (of which there is one) last."""
+    return (a < b) | ((a == 0) & (b == 0) & _negative_zero(a) & ~_negative_zero(b))
 
 
 def _extreme(function, args: list[Column]) -> Column:
@@ -215,6 +226,8 @@ def compile_expr(e: Expr, schema: dict[str, str], columns: dict[str, Column] | N
             if e.op in ("==", "!=") and of == "double":
                 same = (a == b) & ~F.isnan(a)
                 return same if e.op == "==" else ~same
+            if of == "double" and e.op in ("<", "<=", ">", ">="):
+                return {"<": lambda: _less(a, b), "<=": lambda: ~_less(b, a), ">": lambda: _less(b, a), ">=": lambda: ~_less(a, b)}[e.op]()
             table = {"+": a + b, "-": a - b, "*": a * b} if of == "double" and e.op in "+-*" else {}
             if e.op in table:
                 return table[e.op]

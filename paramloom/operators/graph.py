@@ -7,15 +7,19 @@ from __future__ import annotations
 
 import tempfile
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 
 def _cut(df: DataFrame) -> DataFrame:
-    """Cut lineage with checkpoint() in the shared folder (one of our own only where none is set)."""
-    sc = df.sparkSession.sparkContext
+    """Cut lineage with checkpoint() in the shared folder; a folder of our own only on a local master without one."""
+    spark = df.sparkSession
+    sc = spark.sparkContext
     if sc.getCheckpointDir() is None:
-        sc.setCheckpointDir(df.sparkSession.conf.get("spark.checkpoint.dir", None) or f"file://{tempfile.gettempdir()}/checkpoints/paramloom-graph")
+        named = spark.conf.get("spark.checkpoint.dir", None)
+        if named is None and not sc.master.startswith("local[") and sc.master != "local":
+            raise RuntimeError("spark.checkpoint.dir names no folder that all machines share")
+        sc.setCheckpointDir(named or f"file://{tempfile.gettempdir()}/checkpoints/paramloom-graph")
     return df.checkpoint()
 
 
@@ -80,6 +84,29 @@ def critical_path(nodes: DataFrame, edges: DataFrame) -> list:
     return path[::-1]
 
 
+def neighbours(edges: DataFrame, nodes: DataFrame) -> DataFrame:
+    """(node, relation, other): direct dependencies and dependents of each node."""
+    on = nodes.select("node").distinct()
+    before = edges.select(F.col("dst").alias("node"), F.lit("dependency").alias("relation"), F.col("src").alias("other"))
+    after = edges.select(F.col("src").alias("node"), F.lit("dependent").alias("relation"), F.col("dst").alias("other"))
+    return before.unionByName(after).distinct().join(on, "node", "left_semi")
+
+
+def subgraph(nodes: DataFrame, edges: DataFrame, keep: Column) -> tuple[DataFrame, DataFrame]:
+    """The nodes that fit and the edges between them."""
+    kept = nodes.where(keep)
+    ids = kept.select("node").distinct()
+    inner = edges.join(ids.withColumnRenamed("node", "src"), "src", "left_semi").join(ids.withColumnRenamed("node", "dst"), "dst", "left_semi")
+    return kept, inner.select("src", "dst")
+
+
+def fingerprint(nodes: DataFrame, edges: DataFrame) -> DataFrame:
+    """One row: counts and the sum of the rows' SHA-256 (first 60 bits each), which no order of rows changes."""
+    row = lambda *c: F.conv(F.substring(F.sha2(F.concat_ws("|", *c), 256), 1, 15), 16, 10).cast("decimal(38,0)")
+    rows = nodes.select(F.lit("node").alias("kind"), row(F.lit("node"), "node").alias("h")).unionByName(edges.select(F.lit("edge").alias("kind"), row(F.lit("edge"), "src", "dst").alias("h")))
+    return rows.agg(F.count_if(F.col("kind") == "node").alias("nodes"), F.count_if(F.col("kind") == "edge").alias("edges"), F.sum("h").cast("string").alias("fingerprint"))
+
+
 def reduction(edges: DataFrame) -> DataFrame:
     """Edges that no other path implies."""
     edges = edges.select("src", "dst").distinct()

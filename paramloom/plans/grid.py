@@ -8,6 +8,8 @@ from math import prod
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from ..operators.graph import closure
+
 
 @dataclass(frozen=True)
 class Axis:
@@ -19,6 +21,30 @@ class Axis:
     def boundaries(self) -> tuple:
         return self.edges if self.edges is not None else tuple(dict.fromkeys((self.values[0], self.values[-1])))
 
+    def index_of(self, value: Column) -> Column:
+        """Place of a value on the axis, or null."""
+        return F.nullif(F.array_position(F.array(*[F.lit(v) for v in self.values]), value), F.lit(0).cast("bigint")) - 1
+
+    def contains(self, value: Column) -> Column:
+        return F.coalesce(self.index_of(value).isNotNull(), F.lit(False))
+
+
+def reordered(axes: list[Axis], order: list[tuple[str, str]]) -> list[Axis]:
+    """The axes in another order, which must name each of them once."""
+    of = {(a.element, a.parameter): a for a in axes}
+    if len(order) != len(axes) or set(order) != set(of):
+        raise ValueError("not an order of these axes")
+    return [of[t] for t in order]
+
+
+def resolve_tokens(values: DataFrame, tokens: DataFrame, column: str = "value") -> DataFrame:
+    """values with single-key tokens `${key}` replaced by tokens (key, text); unknown keys and richer texts give null
+    where they are tokens, other values stay."""
+    key = F.regexp_extract(column, r"^\$\{([^${}]+)\}$", 1)
+    is_token = F.startswith(F.col(column), F.lit("${")) & F.endswith(F.col(column), F.lit("}"))
+    out = values.withColumn("_key", key).join(tokens.select(F.col("key").alias("_key"), F.col("text").alias("_text")), "_key", "left")
+    return out.withColumn(column, F.when(is_token, F.col("_text")).otherwise(F.col(column))).select(*values.columns)
+
 
 def validate(axes: list[Axis], bound: set[tuple[str, str]] = frozenset()) -> list[str]:
     """Everything that is wrong with the axes."""
@@ -109,15 +135,9 @@ def binding_levels(elements: DataFrame, links: DataFrame) -> DataFrame:
     own = elements.withColumn("own", F.sum("axes").over(Window.orderBy("pos").rowsBetween(Window.unboundedPreceding, 0)))
     level = own.select("element", F.col("own").alias("level"))
     carry = links.where(F.col("kind").isin("shared", "exclusive", "linear")).select(F.col("src").alias("element"), "dst")
-    while True:  # levels only rise and are bounded by the number of axes
-        from_ = level.select(F.col("element").alias("dst"), F.col("level").alias("up"))
-        up = carry.join(from_, "dst").groupBy(F.col("element").alias("e")).agg(F.max("up").alias("up"))
-        new = level.join(up, F.col("element") == F.col("e"), "left").select("element", F.greatest("level", F.coalesce("up", "level")).alias("level"))
-        new = new.sparkSession.createDataFrame(new.collect(), new.schema)  # one row per plan element
-        if new.exceptAll(level).limit(1).count() == 0:
-            break
-        level = new
-    return own.join(level, "element").select("element", "own", F.col("level").alias("effective"))
+    # the largest own level among all that an element needs, directly or not
+    up = closure(carry.select(F.col("element").alias("src"), "dst")).join(level.withColumnRenamed("element", "dst"), "dst").groupBy(F.col("src").alias("element")).agg(F.max("level").alias("up"))
+    return own.join(up, "element", "left").select("element", "own", F.greatest("own", F.coalesce("up", "own")).alias("effective"))
 
 
 def resolve(needed: DataFrame, axis: DataFrame, bindings: DataFrame, configs: DataFrame, defaults: DataFrame) -> DataFrame:

@@ -28,6 +28,22 @@ def last_event(journal: DataFrame) -> DataFrame:
     return latest(journal, ["execution_id"], "sequence")
 
 
+def last_overall(journal: DataFrame) -> DataFrame:
+    """The event with the largest sequence of all executions (of equals the largest execution)."""
+    return journal.orderBy(F.desc("sequence"), F.desc("execution_id")).limit(1)
+
+
+def delete_all(journal: DataFrame, executions: DataFrame) -> DataFrame:
+    """The journal without the given executions."""
+    return journal.join(executions.select("execution_id").distinct(), "execution_id", "left_anti")
+
+
+def is_completed(journal: DataFrame, steps: DataFrame) -> DataFrame:
+    """steps (execution_id, step_id) with `completed`: whether any such event is in the journal."""
+    done = journal.where("kind = 'step_completed'").select("execution_id", "step_id").distinct().withColumn("_done", F.lit(True))
+    return steps.join(done, ["execution_id", "step_id"], "left").select(*steps.columns, F.coalesce("_done", F.lit(False)).alias("completed"))
+
+
 def latest_sequence(journal: DataFrame, executions: DataFrame) -> DataFrame:
     top = journal.groupBy("execution_id").agg(F.max("sequence").alias("s"))
     return executions.select("execution_id").distinct().join(top, "execution_id", "left").select("execution_id", F.coalesce("s", F.lit(0)).alias("sequence"))
