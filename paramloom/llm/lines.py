@@ -4,7 +4,8 @@ A line is the set of its lower-cased words. Lines stand in the order of doc_id (
 where a doc_id repeats, then of their place; a line is removed if an earlier line of the whole table has a Jaccard
 similarity of 0.8 or more to it, whether or not that one is removed as well.
 
-Lines of equal word sets are one class (grouped with map-side combining, by a 128-bit hash of the sorted words). For the others,
+Lines of equal word sets are one class (grouped with map-side combining, by a 64-bit hash of
+the sorted words and one of their 32-bit hashes). For the others,
 tokens are ordered by rarity: by how often their hash slot (65,536 of them, a fixed bound) occurs in all distinct lines,
 then by the token. Two lines of similarity t share one of their first n - ceil(t n) + 1 tokens, and of the shorter one's
 first m - ceil(2t / (1 + t) m) + 1; postings of those are joined under the length, the positional and a 128-bit parity
@@ -75,7 +76,8 @@ def removed_lines(docs: DataFrame) -> DataFrame:
     lines = _lines(numbered, bits)
     sets = lines.where(F.ltrim("line") != "").select("id", words(F.col("line")).alias("w"))  # a filter on w would build it twice
     # equal sets are told by the words themselves; hashes of single words serve the search
-    sets = sets.select("id", F.transform("w", lambda w: F.hash(w)).alias("t"), F.size("w").cast("int").alias("n"), F.xxhash64("w").alias("s1"), F.xxhash64(F.lit(5), "w").alias("s2"))
+    sets = sets.select("id", "w", F.transform("w", lambda w: F.hash(w)).alias("t"))
+    sets = sets.select("id", "t", F.size("t").cast("int").alias("n"), F.xxhash64("w").alias("s1"), F.xxhash64(F.lit(5), "t").alias("s2"))
     sets = materialize(sets, "lines")
     # lines of equal word sets: all but the first go
     firsts = sets.groupBy("s1", "s2").agg(F.min("id").alias("first"), F.count(F.lit(1)).alias("k")).where("k > 1").select("s1", "s2", "first")
@@ -140,7 +142,9 @@ def _crossed(heavy: DataFrame, found: DataFrame, parts: Column | None = None) ->
     # shorter lines: m - ceil(8/9 m) + 1 tokens
     least = F.col("n") - F.floor((8 * F.col("n") + 8) / 9).cast("int") + 1
     if parts is None:
-        dealt = heavy.select(*columns).repartition("token").join(lost, "id", "left")  # both sides read one shuffle
+        # both sides read one shuffle: the conditions that the join infers for either stand here for both
+        whole = " and ".join(f"{c} is not null" for c in columns)
+        dealt = heavy.select(*columns).where(whole).repartition("token").join(lost, "id", "left")
         longer = dealt.withColumn("part", F.lit(0))
         # zero keeps this filter above the shuffle that both sides read
         shorter = dealt.where(F.col("i") + F.coalesce("zero", F.lit(0)) < least).withColumn("part", F.lit(0))
