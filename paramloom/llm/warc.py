@@ -6,12 +6,15 @@ of a digest is the response and the others become revisit records. Spark's own t
 
 Reading: Spark's text reader splits the files at the record magic wherever it stands, payloads included. Each
 piece that starts like a record header is a candidate; tasks emit candidate offset -> successor offset, the end
-that its Content-Length claims. Pointer jumping from offset 0 of every file then keeps the reachable records
-only. Jumps are first contracted within blocks of a file, so the joined table has a few rows per block.
+that its Content-Length claims. A plain file is read in several splits: their lengths, one row a split, give every
+split's offset, so chains go on from task to task. Pointer jumping from offset 0 of every file then keeps the reachable
+records only. Jumps are first contracted within blocks of a file, so the joined table has a few rows per block. Payloads
+that go on in another split are read again and put together in order.
 
 Defined cases: null html is the empty payload; equal payloads shorter than `least` bytes are all responses;
 among rows with a digest's smallest page_id one is the response (the first in the archive's order) and rows that
-repeat it are responses too; a null page_id is the largest; an empty table gives empty archives and no rows.
+repeat it are responses too; a null page_id is the largest; an empty table gives empty archives and no rows; a record
+that the file's end cuts off, and one whose payload doesn't fit its digest, are read with `whole` false.
 """
 
 from __future__ import annotations
@@ -20,7 +23,7 @@ import hashlib
 from collections.abc import Iterable, Iterator
 
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from .scratch import few, materialize, new_path
@@ -38,8 +41,8 @@ def base32_sha1(data: Column) -> Column:
     return F.translate(F.concat(*groups), "0123456789ABCDEFGHIJKLMNOPQRSTUV", "ABCDEFGHIJKLMNOPQRSTUVWXYZ234567")
 
 
-def write(pages: DataFrame, path: str, least: int = 0) -> None:
-    """Write a record per row of pages (page_id, url, html) to gzip files in path."""
+def write(pages: DataFrame, path: str, least: int = 0, compression: str = "gzip") -> None:
+    """Write a record per row of pages (page_id, url, html) to files in path."""
     html = F.coalesce(F.col("html").cast("string"), F.lit(""))
     base = pages.select(F.col("page_id").cast("long"), F.coalesce(F.col("url").cast("string"), F.lit("")).alias("url"), html.alias("html"))
     base = base.withColumns({"digest": base32_sha1(F.col("html").cast("binary")), "size": F.octet_length("html").cast("long")})
@@ -67,7 +70,7 @@ def write(pages: DataFrame, path: str, least: int = 0) -> None:
             (F.lit("X-Payload-Length: "), F.col("size").cast("string")), (F.lit("X-Refers-To-Page: "), F.coalesce(F.col("first").cast("string"), F.lit(""))), (F.lit("Content-Length: 0"),),
         )
     )
-    rows.select(F.when(again, revisit).otherwise(response).alias("value")).write.option("lineSep", CLOSE).option("compression", "gzip").text(path)
+    rows.select(F.when(again, revisit).otherwise(response).alias("value")).write.option("lineSep", CLOSE).option("compression", compression).text(path)
 
 
 def _headers(piece: bytes) -> tuple[dict[bytes, bytes], int] | None:
@@ -85,59 +88,111 @@ def _headers(piece: bytes) -> tuple[dict[bytes, bytes], int] | None:
     return fields, end + 4
 
 
+class _Body:
+    """SHA-1 and size of a payload that comes in parts; an HTTP block's head is left out."""
+
+    def __init__(self, length: int, http: bool) -> None:
+        self.left, self.size, self.sha, self.head = length, 0, hashlib.sha1(), b"" if http else None
+
+    def feed(self, data: bytes) -> None:
+        part = data[: self.left]
+        self.left -= len(part)
+        if self.head is not None:
+            self.head += part
+            cut = self.head.find(b"\r\n\r\n")
+            if cut < 0 and self.left:
+                return
+            part, self.head = self.head[cut + 4 if cut >= 0 else 0 :], None
+        self.sha.update(part)
+        self.size += len(part)
+
+
+_KINDS = {"file": pa.string(), "block": pa.int64(), "at": pa.int64(), "next": pa.int64(), "kind": pa.string(), "page": pa.string(), "refers": pa.string(), "size": pa.int64(), "said": pa.string(), "sha1": pa.binary(), "body_at": pa.int64(), "http": pa.bool_()}
+_FOUND = "file string, block long, at long, next long, kind string, page string, refers string, size long, said string, sha1 binary, body_at long, http boolean"
+
+
+def _table(rows: list[tuple]) -> pa.RecordBatch:
+    columns = list(zip(*rows)) or [()] * len(_KINDS)
+    return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, _KINDS.values())], list(_KINDS))
+
+
 def _candidates(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Rows (file, piece) in file order -> every candidate with its successor and what its payload holds."""
+    """Rows (file, split, piece) in file order -> every candidate with its successor and what its payload holds, by
+    offsets within the split; without sha1 where the payload goes on. And a row a split: kind null, `next` its length."""
     magic = len(MAGIC)
-    kinds = {"file": pa.string(), "at": pa.int64(), "next": pa.int64(), "kind": pa.string(), "page": pa.string(), "refers": pa.string(), "size": pa.int64(), "said": pa.string(), "sha1": pa.binary()}
-    file, at, open_ = None, 0, []
-
-    def feed(x: dict, data: bytes) -> None:
-        part = data[: x["left"]]
-        x["left"] -= len(part)
-        if x["body"] is None:
-            x["lead"] += part
-            cut = x["lead"].find(b"\r\n\r\n") if x["http"] else -4
-            if cut >= 0 or not x["http"]:
-                x["body"], part = hashlib.sha1(), x["lead"][cut + 4 :]
-                x["lead"] = b""
-            else:
-                return
-        x["body"].update(part)
-        x["size"] += len(part)
+    now, at, open_ = None, 0, []
 
-    def close(x: dict) -> tuple:
-        f, body = x["fields"], x["body"] or hashlib.sha1(x["lead"])
-        size = f.get(b"x-payload-length", b"%d" % x["size"])
-        return (x["file"], x["at"], x["next"], f[b"warc-type"].decode("latin1"), f.get(b"x-page-id", b"").decode("latin1"), f.get(b"x-refers-to-page", b"").decode("latin1"), int(size) if size.isdigit() else 0, f.get(b"warc-payload-digest", b"").decode("latin1"), body.digest())
+    def row(x: dict) -> tuple:
+        f, body = x["fields"], x["body"]
+        size = f.get(b"x-payload-length", b"%d" % body.size)
+        text = lambda name: f.get(name, b"").decode("latin1")
+        done = body.left == 0
+        return (*now, x["at"], x["next"], f[b"warc-type"].decode("latin1"), text(b"x-page-id"), text(b"x-refers-to-page"), (int(size) if size.isdigit() else 0) if done else None, text(b"warc-payload-digest"), body.sha.digest() if done else None, x["body_at"], x["http"])
 
-    def table(rows: list[tuple]) -> pa.RecordBatch:
-        columns = list(zip(*rows)) or [()] * len(kinds)
-        return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, kinds.values())], list(kinds))
+    def close() -> list[tuple]:
+        return [] if now is None else [*map(row, open_), (*now, 0, at, *[None] * 8)]
 
     for b in batches:
         rows = []
-        for name, piece in zip(b.column(0).to_pylist(), b.column(1).to_pylist()):
-            if name != file:
-                file, at, open_ = name, -magic, []  # what an earlier file left open is cut off: no record
+        for name, split, piece in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), b.column(2).to_pylist()):
+            if (name, split) != now:
+                rows += close()
+                now, at, open_ = (name, split), 0, []
+            led = split > 0 or at > 0  # the record magic stands before this piece
+            if led:
+                for x in open_:
+                    x["body"].feed(MAGIC.encode())
             for x in open_:
-                feed(x, MAGIC.encode() if at >= 0 else b"")
-            start = at
-            body_at = at + magic
-            if start >= 0 and (found := _headers(piece)):
+                x["body"].feed(piece)
+            if led and (found := _headers(piece)):
                 fields, skip = found
                 length = int(fields[b"content-length"])
-                x = {"file": file, "at": start, "next": body_at + skip + length + 4, "fields": fields, "left": length, "http": fields.get(b"content-type", b"").startswith(b"application/http") and length > 0, "lead": b"", "body": None, "size": 0}
-                for y in open_:
-                    feed(y, piece)
-                feed(x, piece[skip:])
+                http = fields.get(b"content-type", b"").startswith(b"application/http") and length > 0
+                x = {"at": at - magic, "next": at + skip + length + 4, "fields": fields, "body": _Body(length, http), "body_at": at + skip, "http": http}
+                x["body"].feed(piece[skip:])
                 open_.append(x)
-            else:
-                for y in open_:
-                    feed(y, piece)
-            at = body_at + len(piece)
-            rows += [close(x) for x in open_ if x["left"] == 0]
-            open_ = [x for x in open_ if x["left"]]
-        yield table(rows)
+            at += len(piece) + magic
+            rows += [row(x) for x in open_ if x["body"].left == 0]
+            open_ = [x for x in open_ if x["body"].left]
+        yield _table(rows)
+    yield _table(close())
+
+
+def _placed(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """(file, split, piece) -> (file, block, start, data): the bytes of a split with their offsets in it, magic included."""
+    now, at = None, 0
+    for b in batches:
+        starts, data = [], []
+        for name, split, piece in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), b.column(2).to_pylist()):
+            if (name, split) != now:
+                now, at = (name, split), 0
+            led = split > 0 or at > 0
+            starts.append(at - len(MAGIC) if led else at)
+            data.append(MAGIC.encode() + piece if led else piece)
+            at += len(piece) + len(MAGIC)
+        yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(starts, pa.int64()), pa.array(data, pa.binary())], ["file", "block", "start", "data"])
+
+
+def _joined_bodies(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Rows (file, at, length, http, data) sorted by (file, at, offset) -> (file, at, full_size, full_sha1), whole payloads only."""
+    key, body = None, None
+
+    def out() -> list[tuple]:
+        return [(*key, body.size, body.sha.digest())] if body is not None and not body.left else []
+
+    def batch(rows: list[tuple]) -> pa.RecordBatch:
+        kinds = [pa.string(), pa.int64(), pa.int64(), pa.binary()]
+        return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(list(zip(*rows)) or [()] * 4, kinds)], ["file", "at", "full_size", "full_sha1"])
+
+    for b in batches:
+        rows = []
+        for f, a, length, http, data in zip(*(c.to_pylist() for c in b.columns)):
+            if (f, a) != key:
+                rows += out()
+                key, body = (f, a), _Body(length, http)
+            body.feed(data)
+        yield batch(rows)
+    yield batch(out())
 
 
 def _contract(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -172,9 +227,16 @@ def _walk(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 def read(spark: SparkSession, path: str) -> DataFrame:
     """The records of all files in path: file, at, kind, page, refers, size, digest, whole (the digest fits the payload)."""
     text = spark.read.option("lineSep", MAGIC).text(path)
-    pieces = text.select(F.col("_metadata.file_path").alias("file"), F.col("value").cast("binary").alias("piece"))
-    schema = "file string, at long, next long, kind string, page string, refers string, size long, said string, sha1 binary"
-    found = materialize(pieces.mapInArrow(_candidates, schema), "candidates")
+    pieces = text.select(F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_block_start").alias("block"), F.col("value").cast("binary").alias("piece"))
+    told = materialize(pieces.mapInArrow(_candidates, _FOUND), "told")
+    # where each split's first piece stands: one row a split
+    before = Window.partitionBy("file").orderBy("block").rowsBetween(Window.unboundedPreceding, -1)
+    splits = told.where("kind is null").select("file", "block", F.col("next").alias("length"), F.coalesce(F.sum("next").over(before), F.lit(0)).alias("base"))
+    splits = materialize(splits, "splits")
+    hint = F.broadcast(splits) if few(splits, 100_000) else splits
+    found = told.where("kind is not null").join(hint.select("file", "block", "base"), ["file", "block"])
+    found = found.withColumns({c: F.col(c) + F.col("base") for c in ("at", "next", "body_at")}).drop("base", "block")
+    found = materialize(found, "candidates")
     by_block = F.floor(F.col("at") / BLOCK).cast("long")
     exits = found.select("file", "at", "next").repartition("file", by_block).sortWithinPartitions("file", F.desc("at")).mapInArrow(_contract, "file string, block long, at long, exit long")
     exits = materialize(exits, "exits")
@@ -195,11 +257,25 @@ def read(spark: SparkSession, path: str) -> DataFrame:
         reach = new
     entries = reach.select("file", F.floor(F.col("at") / BLOCK).cast("long").alias("block"), F.col("at").alias("entry"))
     told = found.withColumn("block", by_block).join(entries, ["file", "block"])
-    on_chain = told.select("file", "block", "at", "next", "entry", "kind", "page", "refers", "size", "said", "sha1").repartition("file", "block").sortWithinPartitions("file", "at")
+    on_chain = told.select("file", "block", "at", "next", "entry", "kind", "page", "refers", "size", "said", "sha1", "body_at", "http").repartition("file", "block").sortWithinPartitions("file", "at")
     on_chain = on_chain.mapInArrow(_walk, on_chain.schema)
+    on_chain = materialize(on_chain, "chain")
+    split = on_chain.where("sha1 is null").select("file", "at", "body_at", (F.col("next") - 4).alias("body_end"), "http")
+    if split.limit(1).count():  # payloads that go on in other splits; a split holds parts of two of them at most
+        wanted = split.join(splits, "file").where((F.col("body_at") < F.col("base") + F.col("length")) & (F.col("body_end") > F.col("base") - len(MAGIC)))
+        wanted = materialize(wanted, "wanted")
+        hint = F.broadcast(wanted) if few(wanted, 100_000) else wanted
+        parts = pieces.mapInArrow(_placed, "file string, block long, start long, data binary").join(hint, ["file", "block"])
+        start = F.col("start") + F.col("base")
+        low, high = F.greatest(start, F.col("body_at")), F.least(start + F.octet_length("data"), F.col("body_end"))
+        cut = F.substring(F.col("data"), (low - start + 1).cast("int"), (high - low).cast("int"))
+        parts = parts.where(high > low).select("file", "at", low.alias("low"), (F.col("body_end") - F.col("body_at")).cast("int").alias("left"), "http", cut.alias("data"))
+        parts = parts.repartition("file", "at").sortWithinPartitions("file", "at", "low").select("file", "at", "left", "http", "data")
+        whole = parts.mapInArrow(_joined_bodies, "file string, at long, full_size long, full_sha1 binary")
+        on_chain = on_chain.join(whole, ["file", "at"], "left").withColumns({"size": F.coalesce("size", "full_size"), "sha1": F.coalesce("sha1", "full_sha1")})
     digest = F.regexp_extract("said", r"^sha1:([A-Z2-7]{32})$", 1)
-    actual = _base32_of_binary(F.col("sha1"))
-    return on_chain.select("file", "at", "kind", "page", "refers", "size", digest.alias("digest"), ((F.col("kind") != "response") | (digest == actual)).alias("whole"))
+    fits = F.coalesce((F.col("kind") != "response") | (digest == _base32_of_binary(F.col("sha1"))), F.lit(False)) & F.col("sha1").isNotNull()
+    return on_chain.select("file", "at", "kind", "page", "refers", F.coalesce("size", F.lit(0)).alias("size"), digest.alias("digest"), fits.alias("whole"))
 
 
 def _base32_of_binary(value: Column) -> Column:
@@ -212,6 +288,7 @@ def op9_warc(spark, sf_dir: str) -> DataFrame:
     path = new_path(spark, "warc")
     write(spark.read.parquet(f"{sf_dir}/pages.parquet"), path)
     number = lambda c: F.when(F.col(c) != "", F.col(c)).cast("long")
-    return read(spark, path).where("whole").select(
+    sound = lambda c: F.when(F.col("whole"), F.col(c)).otherwise(F.raise_error(F.concat(F.lit("damaged record in "), F.col("file"))).cast("string"))
+    return read(spark, path).withColumn("page", sound("page")).select(
         number("page").alias("page_id"), F.col("size").alias("payload_bytes"), F.col("digest").alias("payload_digest"), F.col("kind").alias("record_type"), number("refers").alias("refers_to")
     )
