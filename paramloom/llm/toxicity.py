@@ -132,8 +132,9 @@ def _mine(sample: DataFrame, weigh: Callable[[str, bool | None], float]) -> tupl
                     own.update(known[w])
                 share = weigh(low, toxic)
                 at = np.fromiter(own, np.int64, len(own))
-                sums[1, at] += share
-                sums[0, at] += 1 - share
+                for side, part in ((1, share), (0, 1 - share)):
+                    if part:
+                        sums[side, at] += part
                 n[1] += share
                 n[0] += 1 - share
         at = np.nonzero(sums.any(0))[0]
@@ -281,7 +282,15 @@ def fit(docs: DataFrame, labels: DataFrame, sample_rows: int = SAMPLE_ROWS, othe
 
     def weigh() -> Callable[[str, bool | None], float]:
         words = _Votes(mined)
-        return lambda low, toxic: float(model.posterior(np.array([words.mask(low)], np.uint64), np.array([-1 if toxic is None else int(toxic)]))[0])
+        known: dict[tuple, float] = {}  # as many as there are different sets of votes
+
+        def of(low: str, toxic: bool | None) -> float:
+            key = (words.mask(low), toxic)
+            if key not in known:
+                known[key] = float(model.posterior(np.array([key[0]], np.uint64), np.array([-1 if toxic is None else int(toxic)]))[0])
+            return known[key]
+
+        return of
 
     found, _, _ = _mine(sample, weigh())
     lexicon_slots = {slots(w)[0] for w in _OF_WORD}
@@ -296,15 +305,14 @@ def fit(docs: DataFrame, labels: DataFrame, sample_rows: int = SAMPLE_ROWS, othe
             yield pa.RecordBatch.from_arrays([pa.array(hits, pa.list_(pa.int32())), pa.array(soft, pa.float64())], ["hits", "soft"])
 
     # at most sample_rows + other_rows short lists; in an order of their own, so that reruns agree
-    got = sample.select("text", "toxic").mapInArrow(vectors, "hits array<int>, soft double").orderBy("hits", "soft").toArrow()
+    got = sorted((tuple(r["hits"]), r["soft"]) for r in sample.select("text", "toxic").mapInArrow(vectors, "hits array<int>, soft double").collect())
     weights = np.zeros(len(features))
     bias = float(np.log(model.prior / (1 - model.prior)))
     columns = np.zeros(0, np.int64)
     if len(got):
-        hits = got.column("hits").combine_chunks()
-        rows = np.repeat(np.arange(len(hits)), np.diff(hits.offsets.to_numpy()))
-        columns = hits.flatten().to_numpy()
-        bias, weights = train_linear(rows, columns, got.column("soft").to_numpy(), len(features))
+        rows = np.repeat(np.arange(len(got)), [len(h) for h, _ in got])
+        columns = np.array([x for h, _ in got for x in h], np.int64)
+        bias, weights = train_linear(rows, columns, np.array([p for _, p in got]), len(features))
     # lexicon words that the sample does not show keep a prior weight of their own
     unseen = np.bincount(columns, minlength=len(features)) == 0
     for s in lexicon_slots:
