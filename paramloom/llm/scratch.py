@@ -14,8 +14,11 @@ _tables: weakref.WeakKeyDictionary[DataFrame, tuple[SparkSession, str]] = weakre
 
 
 def root(spark: SparkSession) -> str:
-    """The folder that the cluster names in spark.checkpoint.dir; one of our own only where it is unset."""
+    """The folder that the cluster names in spark.checkpoint.dir; one of our own only on a local master without one."""
     named = spark.conf.get("spark.checkpoint.dir", None)
+    master = spark.sparkContext.master
+    if named is None and master != "local" and not master.startswith("local["):
+        raise RuntimeError("spark.checkpoint.dir names no folder that all machines share")
     return (named or f"file://{tempfile.gettempdir()}/checkpoints/paramloom").rstrip("/")
 
 
