@@ -4,8 +4,8 @@ A line is the set of its lower-cased words. Lines stand in the order of doc_id (
 where a doc_id repeats, then of their place; a line is removed if an earlier line of the whole table has a Jaccard
 similarity of 0.8 or more to it, whether or not that one is removed as well.
 
-Lines of equal word sets are one class (grouped with map-side combining, by a 64-bit hash of
-the sorted words and one of their 32-bit hashes). For the others,
+Lines of equal word sets are one class (grouped with map-side combining, by a 64-bit hash of the words' sorted 64-bit
+hashes and, up to SPELT words, one of the sorted words). For the others,
 tokens are ordered by rarity: by how often their hash slot (65,536 of them, a fixed bound) occurs in all distinct lines,
 then by the token. Two lines of similarity t share one of their first n - ceil(t n) + 1 tokens, and of the shorter one's
 first m - ceil(2t / (1 + t) m) + 1; postings of those are joined under the length, the positional and a 128-bit parity
@@ -29,6 +29,8 @@ from .scratch import discard, few, materialize
 SLOTS = 1 << 16
 #: postings of a token up to which its lines are simply joined, and from which on they are dealt into parts of so many
 FEW, SPLIT = 16, 8192
+#: distinct words up to which a second hash of the words themselves tells sets apart
+SPELT = 8
 #: rows of a few longs up to which a side is broadcast after counting it; beyond, both sides are shuffled
 BROADCAST_ROWS = 1_000_000
 
@@ -74,10 +76,12 @@ def removed_lines(docs: DataFrame) -> DataFrame:
     """(_doc, place) of every line that goes; docs: _doc, text, and bits as by _numbered."""
     numbered, bits = docs
     lines = _lines(numbered, bits)
-    sets = lines.where(F.ltrim("line") != "").select("id", words(F.col("line")).alias("w"))  # a filter on w would build it twice
-    # equal sets are told by the words themselves; hashes of single words serve the search
-    sets = sets.select("id", "w", F.transform("w", lambda w: F.hash(w)).alias("t"))
-    sets = sets.select("id", "t", F.size("t").cast("int").alias("n"), F.xxhash64("w").alias("s1"), F.xxhash64(F.lit(5), "t").alias("s2"))
+    plain = F.array_remove(F.split(F.lower("line"), " "), "")
+    sets = lines.where(F.ltrim("line") != "").select("id", plain.alias("w"))  # a filter on w would build it twice
+    # sorted as 64-bit hashes, which are primitives; short sets, of which many differ in one word, are told by the words too
+    sets = sets.select("id", "w", F.sort_array(F.array_distinct(F.transform("w", lambda w: F.xxhash64(w)))).alias("h"))
+    spelt = F.when(F.size("h") <= SPELT, F.xxhash64(F.lit(5), F.sort_array(F.array_distinct("w")))).otherwise(F.xxhash64(F.lit(5), "h"))
+    sets = sets.select("id", F.transform("h", lambda h: F.hash(h)).alias("t"), F.size("h").cast("int").alias("n"), F.xxhash64("h").alias("s1"), spelt.alias("s2"))
     sets = materialize(sets, "lines")
     # lines of equal word sets: all but the first go
     firsts = sets.groupBy("s1", "s2").agg(F.min("id").alias("first"), F.count(F.lit(1)).alias("k")).where("k > 1").select("s1", "s2", "first")
