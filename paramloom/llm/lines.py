@@ -101,15 +101,16 @@ def _near(sets: DataFrame, numbered: DataFrame, bits: int) -> DataFrame:
     counts = sets.select(F.explode_outer("t").alias("x")).groupBy(slot.alias("slot")).count()
     count = [0] * SLOTS
     for r in counts.collect():  # SLOTS rows at most
-        count[r["slot"]] = min(r["count"], (1 << 31) - 1)
+        count[r["slot"]] = min(r["count"], (1 << 31) - 1) << 32
     table = F.expr(f"cast(split('{','.join(map(str, count))}', ',') as array<bigint>)")
-    ranked = lambda x: F.shiftleft(F.get(table, x.bitwiseAND(F.lit(SLOTS - 1))), 32).bitwiseOR(x.cast("bigint").bitwiseAND(F.lit(0xFFFFFFFF)))
+    # by the slot's count, then by the token as a signed number: the lower 32 bits stay the token's
+    ranked = lambda x: F.get(table, x.bitwiseAND(F.lit(SLOTS - 1))) + x.cast("bigint")
     rare = F.sort_array(F.transform("t", lambda x: F.coalesce(ranked(x), F.lit(0).cast("bigint"))))  # never null: sorted as primitives
     # prefix: n - ceil(0.8 n) + 1
     length = F.col("n") - F.floor((4 * F.col("n") + 4) / 5).cast("int") + 1
     # parities of the tokens' counts by 128 hash slots, even and odd ones together and odd ones alone: they differ in
-    # no more slots than the sets in tokens
-    odd = F.aggregate("t", F.lit(0).cast("bigint"), lambda a, x: a.bitwiseXOR(F.call_function("shiftleft", F.shiftright(x, 6).bitwiseAND(F.lit(1)).cast("bigint"), x.bitwiseAND(F.lit(63)))))
+    # no more slots than the sets in tokens; a token's slot is its sign and its lowest six bits, which a shift takes alone
+    odd = F.aggregate("t", F.lit(0).cast("bigint"), lambda a, x: a.bitwiseXOR(F.call_function("shiftleft", F.shiftrightunsigned(x, 31).cast("bigint"), x)))
     maps = [_parity("t").alias("map0"), odd.alias("map1")]
     # parities are made before rows are multiplied; outer, as above: no prefix is empty
     posts = sets.select("id", "n", *maps, F.slice(rare, 1, length).alias("prefix"))
@@ -168,7 +169,7 @@ def _crossed(heavy: DataFrame, found: DataFrame, parts: Column | None = None) ->
 
 def _parity(hashes: Column | str) -> Column:
     """Parities of the hashes' counts by 64 slots (the lowest six bits)."""
-    return F.aggregate(hashes, F.lit(0).cast("bigint"), lambda a, x: a.bitwiseXOR(F.call_function("shiftleft", F.lit(1).cast("bigint"), x.bitwiseAND(F.lit(63)))))
+    return F.aggregate(hashes, F.lit(0).cast("bigint"), lambda a, x: a.bitwiseXOR(F.call_function("shiftleft", F.lit(1).cast("bigint"), x)))
 
 
 def _share(hashes: Column | str, bits: int, q: int) -> Column:
