@@ -120,7 +120,8 @@ def _near(sets: DataFrame, numbered: DataFrame, bits: int) -> DataFrame:
     hot = materialize(sizes.where(F.col("k") > FEW), "hot")
     small = few(hot, BROADCAST_ROWS)
     hot_ = F.broadcast(hot) if small else hot
-    light = posts.join(hot_.select("token"), "token", "left_anti")
+    # both sides of the light join read one shuffle, as in _crossed
+    light = posts.join(hot_.select("token"), "token", "left_anti").where(_known(posts.columns)).repartition("token")
     heavy = posts.join(hot_, "token") if small else materialize(posts.join(hot_, "token"), "heavy")
     star = materialize(heavy.where("id = first").select(*posts.columns), "star")
     star_ = F.broadcast(star) if small else star
@@ -134,6 +135,11 @@ def _near(sets: DataFrame, numbered: DataFrame, bits: int) -> DataFrame:
     return found.unionByName(more).distinct()
 
 
+def _known(columns: list[str]) -> str:
+    """The condition that no column is null, which joins infer for either side: stated before a shuffle that both share."""
+    return " and ".join(f"{c} is not null" for c in columns)
+
+
 def _crossed(heavy: DataFrame, found: DataFrame, parts: Column | None = None) -> DataFrame:
     """Candidates (id, partner) among the postings of a token whose later line is not in found.
 
@@ -148,8 +154,7 @@ def _crossed(heavy: DataFrame, found: DataFrame, parts: Column | None = None) ->
     least = F.col("n") - F.floor((8 * F.col("n") + 8) / 9).cast("int") + 1
     if parts is None:
         # both sides read one shuffle: the conditions that the join infers for either stand here for both
-        whole = " and ".join(f"{c} is not null" for c in columns)
-        dealt = heavy.select(*columns).where(whole).repartition("token").join(lost, "id", "left")
+        dealt = heavy.select(*columns).where(_known(columns)).repartition("token").join(lost, "id", "left")
         longer = dealt.withColumn("part", F.lit(0))
         # zero keeps this filter above the shuffle that both sides read
         shorter = dealt.where(F.col("i") + F.coalesce("zero", F.lit(0)) < least).withColumn("part", F.lit(0))
