@@ -3,15 +3,17 @@
 Targets: sources in code point order (null last) have weights that repeat a cycle; the mix has `share` times
 all words; a source's target stops at `most` times its words and the excess goes to the others by weight.
 A source with target t and size s takes every document floor(t / s) times; the rest of its target comes from a
-sample whose documents have inclusion probability p = (t mod s) / s (scaled by an optional weight): each gets the
-random odds u / (1 - u) over its inclusion odds p / (1 - p), and the smallest ranks are taken until the words
+sample whose documents have inclusion probability p = (t mod s) / s, or with weights p = min(1, c w) where c makes the
+expected words equal the rest (documents with c w >= 1 are certain; c is found for the others, until none is
+added): each gets the random odds u / (1 - u) over its inclusion odds p / (1 - p), and the smallest ranks are taken until the words
 reach the target. u comes from a hash of doc_id and the seed, so reruns agree.
 
 A rank bound is found from per-source histograms over the rank (bins in proportion to the rows), so no source
 is ever sorted in one task: only the one bin that holds the bound is ordered.
 
 Defined cases: null or blank texts have size 0 and take 0; an empty table gives an empty mix; null sources are
-one source; rows that repeat a doc_id are ranked by their text's hash, equal rows in any order.
+one source; rows that repeat a doc_id are ranked by their text's hash, equal rows in any order; weights that are null,
+NaN or negative count as 0, and such documents come last; input columns named like the added ones are replaced.
 """
 
 from __future__ import annotations
@@ -19,11 +21,14 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .scratch import materialize
+from .scratch import discard, materialize
+from .scratch import few as few_rows
 
 WEIGHTS = (3, 1, 2)
 SHARE = 1.5
 MOST = 2
+#: sources up to which their sums, one row each, are broadcast after counting them
+MOST_SOURCES = 100_000
 #: rows a histogram bin holds on average, and the least number of bins
 BIN_ROWS, LEAST_BINS = 2000, 64
 
@@ -63,6 +68,34 @@ def targets(sizes: DataFrame, weights=WEIGHTS, share: float = SHARE, most: float
     return s.select("source", goal.alias("target"))
 
 
+def scales(rated: DataFrame) -> DataFrame:
+    """(_s, _scale): the factor c of each source with sum of min(1, c w) size = _rest; rated: source, size, _w, _rest.
+
+    Starts without certain documents; each round sets those with c w >= 1 apart and shares what is left of _rest among
+    the others, so c and the certain documents only grow, and the rounds end when no source has new ones.
+    """
+    level = rated.groupBy("source").agg(F.lit(0).cast("long").alias("_sure"), (F.max("_rest") / F.nullif(F.sum(F.col("_w") * F.col("size")), F.lit(0.0))).alias("_scale"))
+    level = materialize(level.select(F.col("source").alias("_s"), "_sure", F.coalesce("_scale", F.lit(0.0)).alias("_scale")), "scales")
+    while True:
+        small = few_rows(level, MOST_SOURCES)
+        joined = rated.join(F.broadcast(level) if small else level, F.col("source").eqNullSafe(F.col("_s")))
+        certain = F.col("_scale") * F.col("_w") >= 1
+        sums = joined.groupBy("_s").agg(
+            F.max("_rest").alias("_rest"), F.max("_sure").alias("_old"), F.max("_scale").alias("_last"),
+            F.sum(F.when(certain, F.col("size")).otherwise(0)).alias("_sure"),
+            F.sum(F.when(certain, 0.0).otherwise(F.col("_w") * F.col("size"))).alias("_free"),
+        )
+        scale = F.when(F.col("_free") > 0, F.greatest(F.col("_last"), (F.col("_rest") - F.col("_sure")) / F.col("_free"))).otherwise(F.col("_last"))
+        after = materialize(sums.select("_s", "_sure", "_old", scale.alias("_scale")), "scales")
+        done = few_rows(after.where("_sure > _old"), 0)
+        discard(level)
+        level = after.drop("_old")
+        if done:
+            return level.select("_s", "_scale")
+        level = materialize(level, "scales")
+        discard(after)
+
+
 def mix(docs: DataFrame, seed: str = "mix", weights=WEIGHTS, share: float = SHARE, most: float = MOST, weight: str | None = None) -> DataFrame:
     """docs with size, source_size, target, copies (times the document is taken) and taken (copies * size).
 
@@ -70,23 +103,27 @@ def mix(docs: DataFrame, seed: str = "mix", weights=WEIGHTS, share: float = SHAR
     """
     base = docs.withColumn("size", words(F.col("text"))).withColumn("_u", draw(seed))
     tie = F.xxhash64(F.coalesce(F.col("text").cast("string"), F.lit("")))
-    key = base.select("doc_id", "source", "size", "_u", tie.alias("_tie"), *([F.col(weight).cast("double").alias("_w")] if weight else [F.lit(1.0).alias("_w")]))
+    key = base.select("doc_id", "source", "size", "_u", tie.alias("_tie"), *([F.when(F.isnan(F.col(weight).cast("double")), 0.0).otherwise(F.greatest(F.coalesce(F.col(weight).cast("double"), F.lit(0.0)), F.lit(0.0))).alias("_w")] if weight else [F.lit(1.0).alias("_w")]))
     key = materialize(key, "sizes")
-    stats = key.groupBy("source").agg(F.sum("size").alias("source_size"), F.count(F.lit(1)).alias("_rows"), (F.sum(F.col("_w") * F.col("size")) / F.sum("size")).alias("_mean_w"))
+    stats = key.groupBy("source").agg(F.sum("size").alias("source_size"), F.count(F.lit(1)).alias("_rows"))
     stats = materialize(stats, "sources")
     goals = stats.join(targets(stats.select("source", "source_size"), weights, share, most).withColumnRenamed("source", "_s"), F.col("source").eqNullSafe(F.col("_s"))).drop("_s")
     goals = goals.select(
-        F.col("source").alias("_s"), "source_size", "target", "_mean_w",
+        F.col("source").alias("_s"), "source_size", "target",
         F.greatest(F.lit(LEAST_BINS), F.ceil(F.col("_rows") / BIN_ROWS)).cast("long").alias("_bins"),
     )
     goals = materialize(goals, "targets")
     # one row a source: pre-aggregated; broadcast only below a checked count
-    few = goals.limit(100_001).count() <= 100_000
+    few = few_rows(goals, MOST_SOURCES)
     rated = key.join(F.broadcast(goals) if few else goals, F.col("source").eqNullSafe(F.col("_s"))).drop("_s")
     whole = F.when(F.col("source_size") > 0, F.floor(F.col("target") / F.col("source_size"))).otherwise(F.lit(0)).cast("long")
     rated = rated.withColumn("_whole", whole).withColumn("_rest", F.col("target") - F.col("_whole") * F.col("source_size"))
     share_left = F.when(F.col("source_size") > 0, F.col("_rest") / F.col("source_size")).otherwise(F.lit(0.0))
-    p = F.least(share_left * F.col("_w") / F.coalesce(F.nullif(F.col("_mean_w"), F.lit(0.0)), F.lit(1.0)), F.lit(1.0))
+    p = share_left
+    if weight:
+        scale = scales(rated)
+        rated = rated.join(F.broadcast(scale) if few else scale, F.col("source").eqNullSafe(F.col("_s"))).drop("_s")
+        p = F.least(F.col("_scale") * F.col("_w"), F.lit(1.0))
     # rank = (u / (1 - u)) / (p / (1 - p)); kept as rank / (1 + rank) to lie in [0, 1]
     up, down = F.col("_u") * (1 - F.col("_p")), (1 - F.col("_u")) * F.col("_p")
     rated = rated.withColumn("_p", p).withColumn("_rank", F.when(F.col("_p") <= 0, F.lit(1.0)).otherwise(up / (up + down)))
