@@ -1,12 +1,13 @@
 """URL filters by pattern rules that are indexed by their rarest literal token. DataFrame functions only.
 
 Every rule has literal tokens; it is filed under the one that is rarest over all URLs of the table, and only
-rules filed under a token of the URL run their regular expression on it. The index is a constant of the plan,
-one slot per token hash, so a lookup costs the same for any number of rules and nothing is shuffled.
+rules filed under a token of the URL's host or path run their regular expression on it. Up to MAX_RULES rules the index
+is a constant of the plan, one slot per token hash, so a lookup costs the same for any number of rules and nothing is
+shuffled; more rules are a table that distinct hosts and paths are joined with on the token.
 
 Defined cases: null URLs and URLs without "://" have empty host and path and fit no rule; a path is compared
 literally (an empty path does not start with "/"); the longest fitting rule wins, then the smallest rule text;
-URLs that fit none get the default verdict; repeated rows stay; of the rules at most MAX_RULES are allowed.
+URLs that fit none get the default verdict; repeated rows stay; an empty table gives none; input columns host, path and best are replaced.
 """
 
 from __future__ import annotations
@@ -72,21 +73,33 @@ def parts(url: Column) -> tuple[Column, Column]:
     return F.when(has, F.translate(host, upper, upper.lower())).otherwise(""), F.when(has, path).otherwise("")
 
 
+def tokens_of(host: Column, path: Column) -> Column:
+    """Distinct lower-case tokens of a host and a path."""
+    return F.array_distinct(F.regexp_extract_all(F.lower(F.concat(host, F.lit("\n"), path)), F.lit(f"({TOKEN})"), F.lit(1)))
+
+
 def token_counts(urls: DataFrame, tokens: list[str], column: str = "url") -> dict[str, int]:
     """In how many URLs each of the rules' literal tokens occurs, over the whole table: one row per token at most."""
-    host, _ = parts(F.col(column))
-    seen = F.array_distinct(F.regexp_extract_all(F.lower(host), F.lit(f"({TOKEN})"), F.lit(1)))
-    wanted = F.array(*[F.lit(t) for t in tokens])
-    rows = urls.select(F.explode(F.array_intersect(seen, wanted)).alias("token")).groupBy("token").count().collect()
+    seen = tokens_of(*parts(F.col(column)))
+    if len(tokens) <= 2 * MAX_RULES:
+        found = urls.select(F.explode(F.array_intersect(seen, F.array(*[F.lit(t) for t in tokens]))).alias("token"))
+    else:
+        wanted = urls.sparkSession.createDataFrame([(t,) for t in tokens], "token string")
+        found = urls.select(F.explode(seen).alias("token")).join(wanted, "token", "left_semi")
+    rows = found.groupBy("token").count().collect()
     return {t: 0 for t in tokens} | {r["token"]: r["count"] for r in rows}
 
 
+def rarest(rule: Rule, counts: dict[str, int]) -> str:
+    return min(rule.literals, key=lambda t: (counts.get(t, 0), t))
+
+
 def index(rules: tuple[Rule, ...], counts: dict[str, int]) -> Column:
     """Constant array of slots; slot hash(token) mod size holds the rules filed under that token."""
     size = max(8, 2 * len(rules))
     slots: list[list[tuple[str, Rule]]] = [[] for _ in range(size)]
     for r in rules:
-        token = min(r.literals, key=lambda t: (counts.get(t, 0), t))
+        token = rarest(r, counts)
         slots[sum(map(ord, token)) % size].append((token, r))
     entry = lambda t, r: F.struct(F.lit(t).alias("token"), F.lit(r.pattern).alias("pattern"), F.lit(r.name).alias("name"), F.lit(r.verdict).alias("verdict"), F.lit(r.rank).alias("rank"))
     empty = F.filter(F.array(entry("", Rule("", "", "", (), 0))), lambda e: F.lit(False))
@@ -95,13 +108,13 @@ def index(rules: tuple[Rule, ...], counts: dict[str, int]) -> Column:
 
 def judge(urls: DataFrame, rules: tuple[Rule, ...], default: str = "allow", column: str = "url") -> DataFrame:
     """urls with host, path, and best: the winning rule (token, pattern, name, verdict, rank) or null."""
-    if len(rules) > MAX_RULES:
-        raise ValueError(f"{len(rules)} rules; at most {MAX_RULES} fit a plan constant")
     counts = token_counts(urls, sorted({t for r in rules for t in r.literals}), column)
-    table, size = index(rules, counts)
     host, path = parts(F.col(column))
+    if len(rules) > MAX_RULES:
+        return _joined(urls.withColumns({"host": host, "path": path}).drop("best"), rules, counts)
+    table, size = index(rules, counts)
     slot = lambda t: F.pmod(F.aggregate(F.transform(F.split(t, ""), lambda c: F.ascii(c)), F.lit(0), lambda a, c: a + c), F.lit(size)) + 1
-    tokens = F.array_distinct(F.regexp_extract_all(F.lower(F.col("host")), F.lit(f"({TOKEN})"), F.lit(1)))
+    tokens = tokens_of(F.col("host"), F.col("path"))
     fetched = F.flatten(F.transform(tokens, lambda t: F.filter(F.element_at(table, slot(t)), lambda r: r["token"] == t)))
     subject = F.concat(F.col("host"), F.lit("\n"), F.col("path"))
     fits = F.filter(F.col("_fetched"), lambda r: F.regexp_like(subject, r["pattern"]))
@@ -109,6 +122,18 @@ def judge(urls: DataFrame, rules: tuple[Rule, ...], default: str = "allow", colu
     return urls.withColumns({"host": host, "path": path}).withColumn("_fetched", fetched).withColumn("best", F.get(best, F.lit(0))).drop("_fetched")
 
 
+def _joined(urls: DataFrame, rules: tuple[Rule, ...], counts: dict[str, int]) -> DataFrame:
+    """judge() through a join of distinct hosts and paths with the rules on the token that each is filed under."""
+    rows = [(rarest(r, counts), r.pattern, r.name, r.verdict, r.rank) for r in rules]
+    table = urls.sparkSession.createDataFrame(rows, "token string, pattern string, name string, verdict string, rank int")
+    places = urls.select("host", "path").distinct()
+    fetched = places.withColumn("token", F.explode(tokens_of(F.col("host"), F.col("path")))).join(table, "token")
+    fits = fetched.where(F.regexp_like(F.concat("host", F.lit("\n"), "path"), F.col("pattern")))
+    first = F.min_by(F.struct("token", "pattern", "name", "verdict", "rank"), F.struct(-F.col("rank"), "name"))
+    best = fits.groupBy("host", "path").agg(first.alias("best"))
+    return urls.join(best, ["host", "path"], "left").select(*urls.columns, "best")
+
+
 def op7_url_filters(spark, sf_dir: str) -> DataFrame:
     pages = spark.read.parquet(f"{sf_dir}/pages.parquet").select("page_id", "url")
     found = judge(pages, STATED + PATTERNS)
