@@ -8,6 +8,7 @@ from .lines import op5_line_dedup
 from .mixing import op8_mix_sources
 from .packing import op4_packing
 from .piecewise import op2_document_fingerprints
+from .quality import op11_quality_rules
 from .simhash import op10_simhash_near_dedup
 from .toxicity import op1_toxicity
 from .urlrules import op7_url_filters
@@ -25,5 +26,6 @@ QUERIES = {
     "op8_mix_sources": op8_mix_sources,
     "op9_warc": op9_warc,
     "op10_simhash_near_dedup": op10_simhash_near_dedup,
+    "op11_quality_rules": op11_quality_rules,
 }
 SQL: dict[str, str] = {"op7_url_filters": urlrules.SQL, "op8_mix_sources": mixing.SQL}
