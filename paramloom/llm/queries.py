@@ -14,6 +14,7 @@ from .toxicity import op1_toxicity
 from .urlrules import op7_url_filters
 from .vectors import op3_embedding_range_join
 from .warc import op9_warc
+from .whitening import op13_embedding_whitening
 
 QUERIES = {
     "op1_toxicity": op1_toxicity,
@@ -27,5 +28,6 @@ QUERIES = {
     "op9_warc": op9_warc,
     "op10_simhash_near_dedup": op10_simhash_near_dedup,
     "op11_quality_rules": op11_quality_rules,
+    "op13_embedding_whitening": op13_embedding_whitening,
 }
 SQL: dict[str, str] = {"op7_url_filters": urlrules.SQL, "op8_mix_sources": mixing.SQL}
