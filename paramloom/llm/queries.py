@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from . import mixing, urlrules
+from .alignment import op12_cross_tokenizer_alignment
 from .html import op6_html_extraction
 from .lines import op5_line_dedup
 from .mixing import op8_mix_sources
@@ -28,6 +29,7 @@ QUERIES = {
     "op9_warc": op9_warc,
     "op10_simhash_near_dedup": op10_simhash_near_dedup,
     "op11_quality_rules": op11_quality_rules,
+    "op12_cross_tokenizer_alignment": op12_cross_tokenizer_alignment,
     "op13_embedding_whitening": op13_embedding_whitening,
 }
 SQL: dict[str, str] = {"op7_url_filters": urlrules.SQL, "op8_mix_sources": mixing.SQL}
