@@ -1,16 +1,13 @@
-"""A store of result, metric, journal and artifact tables as Parquet folders."""
+"""A store of result, metric, journal and artifact tables: logs of commits over Parquet folders."""
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.utils import AnalysisException
 
-from ..operators.retention import latest
+from .commits import ConflictError, Table
 
-
-class ConflictError(ValueError):
-    """A record that exists with another body."""
+__all__ = ["ConflictError", "Store", "explode_metrics", "payload", "save_artifacts"]
 
 
 def explode_metrics(results: DataFrame) -> DataFrame:
@@ -20,34 +17,22 @@ def explode_metrics(results: DataFrame) -> DataFrame:
 
 
 class Store:
-    """Append-only versions; reads take the last version of each key. root may be on any file system Spark reads."""
+    """Tables by name, each a log of commits (see commits.py). root may be on any file system Spark reads."""
 
     def __init__(self, spark: SparkSession, root: str) -> None:
         self.spark, self.root = spark, root.rstrip("/")
 
-    def path(self, table: str) -> str:
-        return f"{self.root}/{table}"
-
-    def _raw(self, table: str) -> DataFrame | None:
-        try:
-            return self.spark.read.option("mergeSchema", "false").parquet(self.path(table))
-        except AnalysisException as e:
-            if "PATH_NOT_FOUND" in str(e):
-                return None
-            raise
+    def table(self, name: str) -> Table:
+        return Table(self.spark, f"{self.root}/{name}")
 
     def upsert(self, table: str, rows: DataFrame) -> None:
-        old = self._raw(table)
-        version = 1 + (old.agg(F.max("_version")).first()[0] or 0 if old is not None else 0)
-        rows.withColumns({"_version": F.lit(version), "_deleted": F.lit(False)}).write.mode("append").parquet(self.path(table))
+        self.table(table).upsert(rows)
 
     def delete(self, table: str, rows: DataFrame) -> None:
-        old = self._raw(table)
-        version = 1 + old.agg(F.max("_version")).first()[0]
-        rows.withColumns({"_version": F.lit(version), "_deleted": F.lit(True)}).write.mode("append").parquet(self.path(table))
+        self.table(table).delete(rows)
 
     def read(self, table: str, keys: list[str]) -> DataFrame:
-        return latest(self._raw(table), keys, "_version").where("not _deleted").drop("_version", "_deleted")
+        return self.table(table).read(keys)
 
     def get(self, table: str, keys: list[str], **key) -> DataFrame:
         out = self.read(table, keys)
@@ -57,12 +42,7 @@ class Store:
 
     def save_once(self, table: str, keys: list[str], rows: DataFrame, body: str) -> None:
         """Saving the same body again does nothing; another body is a conflict."""
-        if self._raw(table) is not None:
-            old = self.read(table, keys)
-            if rows.join(old.select(*keys, F.col(body).alias("_old")), keys).where(~F.col(body).eqNullSafe(F.col("_old"))).limit(1).count():
-                raise ConflictError(table)
-            rows = rows.join(old, keys, "left_anti")
-        self.upsert(table, rows)
+        self.table(table).save_once(rows, keys, body)
 
 
 def save_artifacts(old: DataFrame, new: DataFrame, mode: str) -> DataFrame:
