@@ -87,5 +87,17 @@ def test_bits():
         assert bits.rank(at).tolist() == [int((places < k).sum()) for k in at]
 
 
+def test_encoding_by_ranks_equals_the_file():
+    """All characters that are encoded by ranks, beside each other and beside letters, digits, marks and spaces."""
+    t = Tokenizer.from_file(PATHS[0])
+    t.encode_special_tokens = True
+    chars = [chr(c) for c in range(0x250)]
+    rng = random.Random(4)
+    rows = [f"{x}{c}{y}{c}{c} {c}{x}  {c}" for c in chars for x, y in (("a", "b"), ("1", "x"), (".", " "), ("'", "s"), ("\n", "é"))]
+    rows += ["".join(rng.choice(chars) for _ in range(60)) for _ in range(4000)] + ["a" * 5000, " " * 999, "1" * 999, "日本 x", "\U0001f642"]
+    got = alignment.byte_level(PATHS[0]).encode(rows)
+    assert got == [e.ids for e in t.encode_batch([" " + r for r in rows], add_special_tokens=False)]
+
+
 def test_empty_table(spark):
     assert alignment.align_corpus(spark.createDataFrame([], "doc_id long, text string"), PATHS).collect() == []
