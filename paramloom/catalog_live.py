@@ -10,7 +10,7 @@ from .catalog import _sessions, query
 from .sources import views as V
 from .sources.commits import Table
 from .sources.shared import new_folder, written
-from .streaming import live
+from .streaming import kinds, live
 
 # ---- streams: the journal arrives in three slices of time; after each the stream is started anew from its checkpoint ----
 
@@ -69,6 +69,72 @@ def live_subscription(s, d):
     return _streamed(journal, "feed", feed, "append").read([]).select("execution_id", "sequence", "kind", "step_id", "lagged")
 
 
+# ---- event kinds and payloads --------------------------------------------------------------------------------------
+
+_ORDER = list(kinds.KINDS)
+_TYPES = ["signup", "view", "click", "error", "purchase"]
+_EVENT = (
+    "WITH e AS (SELECT event_id, user_id AS execution_id, ts, value, CAST(json_extract_string(props, '$.k') AS BIGINT) AS k, CASE event_type WHEN 'signup' THEN 0 WHEN 'view' THEN 1 WHEN 'click' THEN 2 WHEN 'error' THEN 3 ELSE 4 END AS t FROM events), "
+    "j AS (SELECT *, CASE t * 3 + k % 3 " + " ".join(f"WHEN {i} THEN '{n}'" for i, n in enumerate(_ORDER)) + " END AS kind FROM e) "
+)
+#: each field's value from k, the number in an event's props, and from its value
+_VALUES = {
+    "plan_fingerprint": "'plan-' || k", "checkpoint_id": "'check-' || k % 9", "reason": "CASE WHEN k % 4 > 0 THEN 'because of ' || k ELSE '' END", "graceful": "k % 2 = 0", "success": "value > 20",
+    "duration": "value", "step_id": "'step-' || k", "attempt": "CAST(1 + k % 5 AS INTEGER)", "error": None, "instance_id": "'node-' || k % 7", "from": "'idle'", "to": "CASE WHEN k > 50 THEN 'busy' ELSE 'idle' END",
+    "barrier_id": "'wall-' || k", "waited": "value / 2", "completed_step_count": "CAST(k * 3 AS INTEGER)", "trial_id": "'trial-' || k", "trial_index": "CAST(k AS INTEGER)", "status": "CASE WHEN k % 3 = 2 THEN 'failed' ELSE 'completed' END",
+}
+
+
+def _kinds(s, d):
+    """A journal of all fifteen kinds, its payloads as they are stored: VARIANT columns in Parquet."""
+    k = F.get_json_object("props", "$.k").cast("long")
+    t = F.array_position(F.array(*map(F.lit, _TYPES)), F.col("event_type")) - 1
+    e = V.table(s, d, "events").select("event_id", F.col("user_id").alias("execution_id"), "ts", "value", k.alias("k"), F.get(F.array(*map(F.lit, _ORDER)), (t * 3 + k % 3).cast("int")).alias("kind"))
+    error = F.struct(F.when(F.col("k") % 2 == 0, "timeout").otherwise("crash").alias("kind"), F.concat(F.lit("no. "), F.col("k").cast("string")).alias("message"))
+    value = {n: error if n == "error" else F.expr(v) for n, v in _VALUES.items()}
+    given = {n: F.when(F.col("kind").isin([q for q, fields in kinds.KINDS.items() if n in fields]), v) for n, v in value.items()}
+    return e.select("event_id", "execution_id", "ts", "k", "kind", kinds.payload(given).alias("payload"))
+
+
+_HAVE = {n: ", ".join(f"'{q}'" for q, fields in kinds.KINDS.items() if n in fields) for n in kinds.FIELDS}
+
+
+@query(
+    "journal_payloads",
+    _EVENT + "SELECT event_id, execution_id, kind, " + ", ".join(f'CASE WHEN kind IN ({_HAVE[n]}) THEN {v} END AS "{n}"' for n, v in _VALUES.items() if v)
+    + ", CASE WHEN kind = 'step_failed' THEN CASE WHEN k % 2 = 0 THEN 'timeout' ELSE 'crash' END END AS error_kind, CASE WHEN kind = 'step_failed' THEN 'no. ' || k END AS error_message FROM j",
+    views=False,
+)
+def journal_payloads(s, d):
+    """Every field of every kind, read back from stored payloads."""
+    stored = written(_kinds(s, d).drop("ts", "k"), "payloads")
+    return kinds.wide(stored, "event_id", "execution_id").select("*", F.col("error.kind").alias("error_kind"), F.col("error.message").alias("error_message")).drop("error")
+
+
+@query("journal_step_durations", _EVENT + "SELECT 'step-' || k AS step_id, CAST(1 + k % 5 AS INTEGER) AS attempt, count(*) AS events, max(value) AS longest, sum(CAST(round(value * 100) AS BIGINT)) AS hundredths FROM j WHERE kind = 'step_completed' GROUP BY 1, 2", views=False)
+def journal_step_durations(s, d):
+    """One kind's fields, grouped; the scan reads those only."""
+    stored = written(_kinds(s, d), "payloads")
+    done = kinds.of_kind(stored, "step_completed")
+    return done.groupBy("step_id", "attempt").agg(F.count(F.lit(1)).alias("events"), F.max("duration").alias("longest"), F.sum(F.round(F.col("duration") * 100).cast("long")).alias("hundredths"))
+
+
+@query(
+    "journal_payload_problems",
+    _EVENT + "SELECT event_id, CASE WHEN k % 10 = 0 THEN ['unknown kind'] WHEN k % 10 = 1 AND kind = 'step_completed' THEN ['missing attempt', 'unexpected extra'] WHEN k % 10 = 1 AND kind = 'execution_stopped' THEN ['missing reason', 'missing graceful', 'unexpected attempt', 'unexpected extra', 'unexpected step_id'] END AS problems FROM j WHERE k % 10 = 0 OR (k % 10 = 1 AND kind IN ('step_completed', 'execution_stopped'))",
+    views=False,
+)
+def journal_payload_problems(s, d):
+    """Events of a kind that does not exist, with a field of another type, with another kind's fields."""
+    j = _kinds(s, d)
+    tenth = F.col("k") % 10
+    bad = F.parse_json(F.to_json(F.struct(F.concat(F.lit("step-"), F.col("k").cast("string")).alias("step_id"), F.lit("first").alias("attempt"), F.lit(1.5).alias("duration"), F.lit(1).alias("extra"))))
+    stop = F.parse_json(F.lit('{"step_id": "s", "attempt": 1, "extra": null}'))
+    j = j.withColumn("payload", F.when((tenth == 1) & (F.col("kind") == "step_completed"), bad).when((tenth == 1) & (F.col("kind") == "execution_stopped"), stop).otherwise(F.col("payload")))
+    j = j.withColumn("kind", F.when(tenth == 0, "step_lost").otherwise(F.col("kind")))
+    return j.select("event_id", kinds.problems(F.col("kind")).alias("problems")).where(F.size("problems") > 0)
+
+
 # ---- tables of commits ---------------------------------------------------------------------------------------------
 
 

@@ -5,6 +5,7 @@ from __future__ import annotations
 import datetime as dt
 import hashlib
 
+from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from .catalog import _ID, _LINES, SCHEMA, Q, _lines, query
@@ -319,12 +320,6 @@ def dag_subgraph(s, d):
     return graph.subgraph(n, e, ~F.startswith(F.col("node"), F.lit("r")))[1]
 
 
-_HEX = "CAST(('0x' || substr(sha256({}), 1, 15)) AS HUGEINT)"
-
-
-@query("dag_fingerprint", f"SELECT (SELECT count(*) FROM node) AS nodes, (SELECT count(*) FROM edge) AS edges, CAST((SELECT sum({_HEX.format(chr(39) + 'node|' + chr(39) + ' || node')}) FROM node) + (SELECT sum({_HEX.format(chr(39) + 'edge|' + chr(39) + ' || src || ' + chr(39) + '|' + chr(39) + ' || dst')}) FROM edge) AS VARCHAR) AS fingerprint")
-def dag_fingerprint(s, d):
-    return graph.fingerprint(*V.dag(s, d))
 
 
 #: the longest path to each node, from the edges alone
@@ -344,10 +339,61 @@ def dag_topological(s, d):
     return e.join(a, "src").join(b, "dst").select("src", "dst", (F.col("x") < F.col("y")).alias("forward"))
 
 
-@query("dag_critical_path", _DEPTHS + "SELECT CAST((SELECT max(depth) + 1 FROM deep) AS BIGINT) AS steps")
+@query(
+    "dag_critical_path",
+    _DEPTHS + ", chain AS (SELECT depth, node FROM deep QUALIFY row_number() OVER (ORDER BY depth DESC, node DESC) = 1 UNION ALL SELECT depth, node FROM (SELECT d.depth, d.node FROM chain c JOIN edge e ON e.dst = c.node JOIN deep d ON d.node = e.src QUALIFY row_number() OVER (ORDER BY d.depth DESC, d.node DESC) = 1)) SELECT depth AS position, node FROM chain",
+)
 def dag_critical_path(s, d):
-    path = graph.critical_path(*V.dag(s, d))
-    return s.createDataFrame([(len(path),)], "steps long")
+    return graph.longest_path(*V.dag(s, d))
+
+
+#: set hashes in SQL: by prefixes of four and two digits, then all ({k}: the group's keys with a comma behind)
+_SETS = "SELECT {k} sha256(string_agg(h, '' ORDER BY h)) AS h FROM (SELECT {k} sha256(string_agg(h, '' ORDER BY h)) AS h FROM (SELECT {k} substr(h, 1, 4) AS p, sha256(string_agg(h, '' ORDER BY h)) AS h FROM (SELECT DISTINCT {k} h FROM {t}) GROUP BY ALL) GROUP BY {k} substr(p, 1, 2)) {g}"
+_SETS2 = "SELECT {k}, sha256(string_agg(h, '' ORDER BY h)) AS h FROM (SELECT {k}, substr(h, 1, 2) AS p, sha256(string_agg(h, '' ORDER BY h)) AS h FROM (SELECT DISTINCT {k}, h FROM {t}) GROUP BY ALL) GROUP BY {k}"
+_F = "coalesce(strlen({0}) || ':' || {0}, '-')"
+_NODE = _F.format("node")
+
+
+def _below(wave: int) -> str:
+    """The fingerprints of one wave: its nodes' links to fingerprints of earlier ones."""
+    return (
+        f", l{wave} AS (SELECT e.dst AS node, m.h FROM edge e JOIN deep d ON d.node = e.dst AND d.depth = {wave} JOIN m{wave - 1} m ON m.node = e.src), b{wave} AS ({_SETS2.format(k='node', t=f'l{wave}')}),"
+        f" m{wave} AS (SELECT node, h FROM m{wave - 1} UNION ALL SELECT node, sha256({_NODE} || {_F.format('h')}) FROM b{wave})"
+    )
+
+
+_MERKLE = _DEPTHS + f", m0 AS (SELECT node, sha256({_NODE} || '-') AS h FROM deep WHERE depth = 0)" + _below(1) + _below(2)
+
+
+@query("dag_node_fingerprints", _MERKLE + " SELECT node, h AS fingerprint FROM m2")
+def dag_node_fingerprints(s, d):
+    return graph.node_fingerprints(*V.dag(s, d))
+
+
+@query("dag_fingerprint", _MERKLE + f" SELECT (SELECT count(*) FROM node) AS nodes, (SELECT count(*) FROM edge) AS edges, h AS fingerprint FROM ({_SETS.format(k='', t='m2', g='')})")
+def dag_fingerprint(s, d):
+    return graph.fingerprint(*V.dag(s, d))
+
+
+_PLAN_ROW = "sha256(coalesce(strlen({p}) || ':' || {p}, '-') || {f})"
+
+
+@query(
+    "plan_fingerprints",
+    "WITH p AS (SELECT c_custkey AS plan, c_mktsegment AS name FROM customer), a0 AS (SELECT o_custkey AS plan, CAST(row_number() OVER (PARTITION BY o_custkey ORDER BY o_orderkey) AS VARCHAR) AS place, o_orderpriority AS axis, o_orderstatus AS value FROM orders),"
+    f" a AS (SELECT plan, sha256({_F.format('place')} || {_F.format('axis')} || {_F.format('value')}) AS h FROM a0), b AS (SELECT o_custkey AS plan, sha256('-' || {_F.format('o_orderkey::VARCHAR')} || {_F.format('o_orderstatus')}) AS h FROM orders WHERE o_orderkey % 3 = 0),"
+    f" ra AS ({_SETS2.format(k='plan', t='a')}), rb AS ({_SETS2.format(k='plan', t='b')})"
+    f" SELECT p.plan, sha256({_F.format('name')} || '4:axes' || {_F.format('ra.h')} || '8:bindings' || {_F.format('rb.h')}) AS fingerprint FROM p LEFT JOIN ra ON ra.plan = p.plan LEFT JOIN rb ON rb.plan = p.plan",
+    views=False,
+)
+def plan_fingerprints(s, d):
+    """Every customer a plan: its orders in turn are the axes, every third a binding."""
+    o = V.table(s, d, "orders")
+    place = F.row_number().over(Window.partitionBy("o_custkey").orderBy("o_orderkey"))
+    axes = o.select(F.col("o_custkey").alias("plan"), place.alias("place"), F.col("o_orderpriority").alias("axis"), F.col("o_orderstatus").alias("value"))
+    bindings = o.where("o_orderkey % 3 = 0").select(F.col("o_custkey").alias("plan"), F.lit(None).cast("int").alias("place"), F.col("o_orderkey").alias("coordinate"), F.col("o_orderstatus").alias("value"))
+    plans = V.table(s, d, "customer").select(F.col("c_custkey").alias("plan"), F.col("c_mktsegment").alias("name"))
+    return graph.plan_fingerprints(plans, {"axes": axes, "bindings": bindings})
 
 
 @query("dag_reduced", "SELECT src, dst FROM edge e WHERE NOT EXISTS (SELECT 1 FROM edge f JOIN reach r ON r.src = f.dst AND r.dst = e.dst WHERE f.src = e.src)")

@@ -10,6 +10,8 @@ import tempfile
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..sources.shared import forget, written
+
 
 def _cut(df: DataFrame) -> DataFrame:
     """Cut lineage with checkpoint() in the shared folder; a folder of our own only on a local master without one."""
@@ -45,25 +47,29 @@ def dependencies(edges: DataFrame, nodes: DataFrame) -> DataFrame:
 
 
 def depths(nodes: DataFrame, edges: DataFrame, limit: int = 100_000) -> DataFrame:
-    """(node, depth): longest path from a source; peels one wave per round. Raises on cycles."""
-    left = _cut(nodes.select("node").distinct())
-    edges_left = _cut(edges.select("src", "dst").distinct())
-    done, wave = None, 0
-    while True:
-        ready = _cut(left.join(edges_left.select(F.col("dst").alias("node")).distinct(), "node", "left_anti"))
-        n = ready.count()
-        if not n:
+    """(node, depth): longest path from a source; one round a wave. Raises on cycles.
+
+    A round joins the edges to the last wave only, takes its arrivals off what each node still waits for, and writes one
+    table of nodes in place of the one before."""
+    edges = written(edges.select("src", "dst").distinct(), "edges")
+    waits = edges.groupBy(F.col("dst").alias("node")).agg(F.count(F.lit(1)).alias("left"))
+    start = nodes.select("node").distinct().join(waits, "node", "left").select("node", F.coalesce("left", F.lit(0)).alias("left"))
+    state = written(start.withColumn("depth", F.when(F.col("left") == 0, 0)), "depths")
+    for wave in range(limit + 1):
+        last = state.where(F.col("depth") == wave)
+        if not last.limit(1).count():
             break
-        found = ready.withColumn("depth", F.lit(wave))
-        done = found if done is None else done.unionByName(found)
-        left = _cut(left.join(ready, "node", "left_anti"))
-        edges_left = _cut(edges_left.join(ready.withColumnRenamed("node", "src"), "src", "left_anti"))
-        wave += 1
-        if wave > limit:
-            raise ValueError("too deep")
-    if left.limit(1).count():
+        hits = edges.join(last.select(F.col("node").alias("src")), "src").groupBy(F.col("dst").alias("node")).agg(F.count(F.lit(1)).alias("_n"))
+        after = state.join(hits, "node", "left").withColumn("left", F.col("left") - F.coalesce("_n", F.lit(0)))
+        after = after.select("node", "left", F.coalesce("depth", F.when(F.col("left") == 0, wave + 1)).alias("depth"))
+        state, before = written(after, "depths"), state
+        forget(before)
+    else:
+        raise ValueError("too deep")
+    forget(edges)
+    if state.where("depth is null").limit(1).count():
         raise ValueError("the graph has a cycle")
-    return done if done is not None else nodes.select("node", F.lit(0).alias("depth"))
+    return state.select("node", F.col("depth").cast("int").alias("depth"))
 
 
 def topological_order(nodes: DataFrame, edges: DataFrame) -> DataFrame:
@@ -71,17 +77,37 @@ def topological_order(nodes: DataFrame, edges: DataFrame) -> DataFrame:
     return depths(nodes, edges)
 
 
+def longest_path(nodes: DataFrame, edges: DataFrame) -> DataFrame:
+    """(position, node): one longest chain, from position 0; of equals the largest node, from the end back.
+
+    Every node points at its deepest (then largest) predecessor. The pointers are doubled round by round, and the nodes
+    known to be on the chain add those their pointers reach, so a chain of n nodes takes log2(n) rounds of joins of its
+    own nodes to the pointers; nothing but the largest depth comes to the driver."""
+    deep = written(depths(nodes, edges), "deep")
+    before = deep.select(F.col("node").alias("src"), F.struct("depth", F.col("node").alias("up")).alias("_up"))
+    best = edges.join(before, "src").groupBy(F.col("dst").alias("node")).agg(F.max("_up")["up"].alias("up"))
+    jump = written(deep.join(best, "node").select("node", "up"), "jump")
+    end = deep.agg(F.max(F.struct("depth", "node")).alias("_end"))
+    chain = end.where("_end is not null").select(F.col("_end.node").alias("node"), F.col("_end.depth").alias("position"))
+    last = chain.agg(F.max("position")).first()[0]
+    chain = written(chain, "chain")
+    step = 1
+    while last is not None and step <= last:
+        reached = chain.join(jump, "node").select(F.col("up").alias("node"), (F.col("position") - step).alias("position"))
+        chain, old = written(chain.unionByName(reached), "chain"), [chain]
+        step *= 2
+        if step <= last:
+            further = jump.select(F.col("node").alias("up"), F.col("up").alias("_far"))
+            jump, used = written(jump.join(further, "up").select("node", F.col("_far").alias("up")), "jump"), jump
+            old.append(used)
+        forget(*old)
+    forget(deep, jump)
+    return chain.select("position", "node")
+
+
 def critical_path(nodes: DataFrame, edges: DataFrame) -> list:
-    """One longest chain of nodes; of equals the largest ids, from the end back. One row per step leaves Spark."""
-    deep = _cut(depths(nodes, edges))
-    if not deep.limit(1).count():
-        return []
-    path, at = [], deep.agg(F.max(F.struct("depth", "node"))).first()[0]
-    while at is not None:
-        path.append(at["node"])
-        before = edges.where(F.col("dst") == F.lit(at["node"])).select(F.col("src").alias("node")).join(deep, "node")
-        at = before.agg(F.max(F.struct("depth", "node"))).first()[0]
-    return path[::-1]
+    """The nodes of longest_path() in order, on the driver: for chains that are known to be short."""
+    return [r["node"] for r in longest_path(nodes, edges).orderBy("position").collect()]
 
 
 def neighbours(edges: DataFrame, nodes: DataFrame) -> DataFrame:
@@ -100,11 +126,62 @@ def subgraph(nodes: DataFrame, edges: DataFrame, keep: Column) -> tuple[DataFram
     return kept, inner.select("src", "dst")
 
 
-def fingerprint(nodes: DataFrame, edges: DataFrame) -> DataFrame:
-    """One row: counts and the sum of the rows' SHA-256 (first 60 bits each), which no order of rows changes."""
-    row = lambda *c: F.conv(F.substring(F.sha2(F.concat_ws("|", *c), 256), 1, 15), 16, 10).cast("decimal(38,0)")
-    rows = nodes.select(F.lit("node").alias("kind"), row(F.lit("node"), "node").alias("h")).unionByName(edges.select(F.lit("edge").alias("kind"), row(F.lit("edge"), "src", "dst").alias("h")))
-    return rows.agg(F.count_if(F.col("kind") == "node").alias("nodes"), F.count_if(F.col("kind") == "edge").alias("edges"), F.sum("h").cast("string").alias("fingerprint"))
+def framed(*fields: Column) -> Column:
+    """Fields as one text that tells where each ends: `n:` before its n bytes, `-` for null."""
+    return F.concat(*[F.coalesce(F.concat(F.octet_length(c).cast("string"), F.lit(":"), c), F.lit("-")) for c in (f.cast("string") for f in fields)])
+
+
+def set_hash(rows: DataFrame, by: list[str], hash_column: str, name: str, digits: tuple[int, ...] = (4, 2)) -> DataFrame:
+    """by, name: one SHA-256 of each group's set of hashes, whatever their order.
+
+    A tree over prefixes of the hashes: those of one prefix are sorted, joined and hashed, then the results by a shorter
+    prefix, then all. So no task holds a whole group: with (4, 2) one in 65,536 of its rows, then at most 256 results."""
+    level = rows.select(*by, F.col(hash_column).alias("_h")).distinct().withColumn("_p", F.col("_h"))
+    for n in (*digits, 0):
+        level = level.withColumn("_p", F.substring("_p", 1, n)).groupBy(*by, "_p").agg(F.sha2(F.array_join(F.array_sort(F.collect_list("_h")), ""), 256).alias("_h"))
+    return level.select(*by, F.col("_h").alias(name))
+
+
+def node_fingerprints(nodes: DataFrame, edges: DataFrame, *fields: str) -> DataFrame:
+    """(node, fingerprint): SHA-256 over a node's fields and the fingerprints of what must come before it, so over all of
+    its ancestors and their edges. Bottom-up by waves: equal subgraphs have equal fingerprints wherever they stand."""
+    deep = written(depths(nodes, edges), "deep")
+    last = deep.agg(F.max("depth")).first()[0]
+    own = written(nodes.dropDuplicates(["node"]).join(deep, "node").select("node", "depth", framed(*map(F.col, fields or ("node",))).alias("own")), "own")
+    links = written(edges.select("src", "dst").distinct().join(deep.select(F.col("node").alias("dst"), "depth"), "dst"), "links")
+    none = F.lit(None).cast("string")
+    done = written(own.where("depth = 0").select("node", F.sha2(F.concat("own", framed(none)), 256).alias("fingerprint")), "merkle")
+    for wave in range(1, (last or 0) + 1):
+        before = links.where(F.col("depth") == wave).join(done.withColumnRenamed("node", "src"), "src").select(F.col("dst").alias("node"), "fingerprint")
+        found = own.where(F.col("depth") == wave).join(set_hash(before, ["node"], "fingerprint", "below", (2,)), "node")
+        done, old = written(done.unionByName(found.select("node", F.sha2(F.concat("own", framed(F.col("below"))), 256).alias("fingerprint"))), "merkle"), done
+        forget(old)
+    forget(deep, own, links)
+    return done
+
+
+def fingerprint(nodes: DataFrame, edges: DataFrame, *fields: str) -> DataFrame:
+    """One row: counts and a SHA-256 of the whole graph, which no order of rows changes and every edge does."""
+    edges = edges.select("src", "dst").distinct()
+    root = set_hash(node_fingerprints(nodes, edges, *fields), [], "fingerprint", "fingerprint")
+    counts = nodes.select("node").distinct().agg(F.count(F.lit(1)).alias("nodes")).crossJoin(edges.agg(F.count(F.lit(1)).alias("edges")))
+    return counts.crossJoin(root)  # single rows
+
+
+def plan_fingerprints(plans: DataFrame, parts: dict[str, DataFrame]) -> DataFrame:
+    """(plan, fingerprint) of many plans at once: plans (plan, name, ...) with any fields of their own, and parts by name,
+    tables (plan, place, ...) whose place orders a list (axes, elements) or is null in sets (bindings).
+
+    Each row is hashed with its place, each part by the set of its rows, each plan by its fields and, in the order of
+    their names, its parts; absent parts differ from parts with an empty row. Ids, labels, tags and metadata are left out
+    by not being given."""
+    own = plans.select("plan", framed(*[F.col(c) for c in sorted(plans.columns) if c != "plan"]).alias("_own"))
+    for name in sorted(parts):
+        part = parts[name]
+        row = F.sha2(framed(F.col("place"), *[F.col(c) for c in sorted(part.columns) if c not in ("plan", "place")]), 256)
+        own = own.join(set_hash(part.select("plan", row.alias("_row")), ["plan"], "_row", f"_{name}", (2,)), "plan", "left")
+        own = own.withColumn("_own", F.concat("_own", framed(F.lit(name), F.col(f"_{name}")))).select("plan", "_own")
+    return own.select("plan", F.sha2("_own", 256).alias("fingerprint"))
 
 
 def reduction(edges: DataFrame) -> DataFrame:

@@ -5,10 +5,12 @@ from __future__ import annotations
 import atexit
 import tempfile
 import uuid
+import weakref
 
 from pyspark.sql import DataFrame, SparkSession
 
 _made: list[tuple[SparkSession, str]] = []
+_tables: weakref.WeakKeyDictionary[DataFrame, str] = weakref.WeakKeyDictionary()
 
 
 def root(spark: SparkSession) -> str:
@@ -42,7 +44,17 @@ def written(df: DataFrame, label: str) -> DataFrame:
     """df as Parquet in a shared folder, read back: later work starts from the files."""
     path = new_folder(df.sparkSession, label)
     df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    table = df.sparkSession.read.schema(df.schema).parquet(path)
+    _tables[table] = path
+    return table
+
+
+def forget(*tables: DataFrame) -> None:
+    """Delete tables of written() from which nothing more is read."""
+    for table in tables:
+        path = _tables.pop(table)
+        _made.remove((table.sparkSession, path))
+        delete(table.sparkSession, path)
 
 
 def _at_exit() -> None:
