@@ -3,8 +3,8 @@
 from __future__ import annotations
 
 import hashlib
-import json
 import math
+import struct
 from dataclasses import dataclass
 from functools import reduce
 
@@ -93,12 +93,38 @@ def compile_constraint(c: Constraint, value: Column) -> Column:
     return F.coalesce(test & value.isNotNull(), F.lit(False))
 
 
+#: The tag byte of each operation, by kind, and the order in which they follow each other.
+TAG_ORDER = {
+    "integer": (0x10, "always never min max range in_set not_in_set multiple and or not"),
+    "double": (0x20, "always never min max range and or not"),
+    "boolean": (0x30, "always never eq_to not"),
+    "string": (0x40, "always never regex length_range non_empty in_set not_in_set and or not"),
+    "selection": (0x50, "always never require_all require_any forbid_all min_size max_size and or not"),
+}
+TAGS = {kind: {op: first + k for k, op in enumerate(ops.split())} for kind, (first, ops) in TAG_ORDER.items()}
+_NAN = struct.pack("<Q", 0x7FF8_0000_0000_0000)
+
+
 def encode(c: Constraint) -> bytes:
-    """Canonical bytes: sets sorted, numbers in full precision."""
-    args = [encode(x).decode() if isinstance(x, Constraint) else repr(x) for x in c.args]
-    if c.op in ("in_set", "not_in_set", "require_all", "require_any", "forbid_all"):
-        args = sorted(set(args))
-    return json.dumps([c.kind, c.op, args], ensure_ascii=False, separators=(",", ":")).encode()
+    """Canonical bytes: a tag, then little-endian arguments; texts and lists begin with their length, sets are sorted."""
+    if c.op not in TAGS[c.kind]:
+        raise ValueError(f"{c.kind} constraints have no {c.op}")
+    text = lambda t: struct.pack("<I", len(t.encode())) + t.encode()
+    number = (lambda x: _NAN if math.isnan(x) else struct.pack("<d", x)) if c.kind == "double" else (lambda x: struct.pack("<q", x))
+    if c.op in ("and", "or"):
+        body = struct.pack("<I", len(c.args)) + b"".join(map(encode, c.args))
+    elif c.op == "not":
+        body = encode(c.args[0])
+    elif c.op in ("in_set", "not_in_set", "require_all", "require_any", "forbid_all"):
+        distinct = set(c.args)
+        body = struct.pack("<I", len(distinct)) + b"".join([text(t) for t in sorted(distinct, key=str.encode)] if c.kind != "integer" else map(number, sorted(distinct)))
+    elif c.op == "eq_to":
+        body = bytes([bool(c.args[0])])
+    elif c.op in ("length_range", "min_size", "max_size"):
+        body = struct.pack(f"<{len(c.args)}I", *c.args)
+    else:
+        body = b"".join(text(a) if isinstance(a, str) else number(a) for a in c.args)
+    return bytes([TAGS[c.kind][c.op]]) + body
 
 
 def canonical(c: Constraint) -> Constraint:
