@@ -211,7 +211,7 @@ _ELEMENTS = "WITH e AS (SELECT p_partkey, 'p' || p_partkey AS element, p_type, p
 @query(
     "element_violations",
     _ELEMENTS + "SELECT element, list_filter([CASE WHEN lane = 0 THEN 'no type label' END, CASE WHEN lane <> 0 AND p_type NOT IN ('ECONOMY', 'SMALL') THEN 'unknown type' END, CASE WHEN lane <> 0 AND p_type = 'ECONOMY' AND p_size % 2 = 1 THEN 'required label missing' END,"
-    " CASE WHEN lane <> 0 AND p_type = 'SMALL' AND p_size % 2 = 0 THEN 'forbidden label' END, CASE WHEN lane = 1 THEN 'repeated parameter' END, CASE WHEN lane = 2 THEN 'configuration of no parameter' END, CASE WHEN lane = 3 THEN 'name in two tiers' END,"
+    " CASE WHEN lane <> 0 AND p_type = 'SMALL' AND p_size % 2 = 0 THEN 'forbidden label' END, CASE WHEN lane = 1 THEN 'repeated parameter' END, CASE WHEN lane = 8 THEN 'repeated result parameter' END, CASE WHEN lane = 2 THEN 'configuration of no parameter' END, CASE WHEN lane IN (7, 9) THEN 'repeated port' END, CASE WHEN lane IN (3, 9) THEN 'name in two tiers' END,"
     " CASE WHEN lane = 4 THEN 'parameter named like an attribute' END, CASE WHEN lane = 5 THEN 'concurrency below one' END, CASE WHEN lane = 6 THEN 'group concurrency above all' END], lambda x: x IS NOT NULL) AS violations FROM e",
     views=False,
 )
@@ -221,7 +221,8 @@ def element_violations(s, d):
         F.concat(F.lit("p"), "p_partkey").alias("element"),
         F.map_filter(F.create_map(F.lit("type"), F.when(lane != 0, F.col("p_type")), F.lit("even"), F.when(size % 2 == 0, "y")), lambda k, v: v.isNotNull()).alias("labels"),
         F.create_map(F.lit("team"), F.lit("a")).alias("tags"),
-        F.when(lane == 3, F.array(F.lit("team"))).otherwise(F.array(F.lit("in"))).alias("ports"),
+        F.when(lane == 3, F.array(F.lit("team"))).when(lane == 7, F.array(F.lit("in"), F.lit("in"))).when(lane == 9, F.array(F.lit("team"), F.lit("in"), F.lit("team"))).otherwise(F.array(F.lit("in"))).alias("ports"),
+        F.when(lane == 8, F.array(F.lit("r"), F.lit("r"))).when(lane < 5, F.array(F.lit("r"), F.lit("q"))).alias("result_parameters"),
         F.when(lane == 1, F.array(F.lit("x"), F.lit("x"))).when(lane == 4, F.array(F.lit("x"), F.lit("in"))).otherwise(F.array(F.lit("x"))).alias("parameters"),
         F.when(lane == 2, F.array(F.lit("y"))).otherwise(F.array(F.lit("x"))).alias("config_keys"),
         F.when(lane == 5, 0).when(lane == 6, 2).alias("max_concurrency"), F.when(lane == 6, 3).alias("max_group_concurrency"),
@@ -233,21 +234,42 @@ def element_violations(s, d):
 def _metadata(s, d):
     c = V.table(s, d, "customer")
     scope = F.when(F.col("c_nationkey") % 2 == 0, "execution_plan").otherwise("trial")
-    return c.select(scope.alias("scope"), F.col("c_custkey").alias("id"), F.create_map(F.lit("segment"), "c_mktsegment").alias("labels"), F.create_map(F.lit("nation"), F.col("c_nationkey").cast("string")).alias("tags"), F.lit(1).alias("version"))
+    return c.select(scope.alias("scope"), F.col("c_custkey").alias("id"), F.to_json(F.struct("c_name")).alias("body"), F.create_map(F.lit("segment"), "c_mktsegment").alias("labels"), F.create_map(F.lit("nation"), F.col("c_nationkey").cast("string")).alias("tags"))
 
 
-@query("metadata_upsert", "SELECT CASE WHEN c_nationkey % 2 = 0 THEN 'execution_plan' ELSE 'trial' END AS scope, c_custkey AS id, CASE WHEN c_custkey % 3 = 0 THEN 'again' ELSE c_mktsegment END AS segment FROM customer", views=False)
+_METADATA = (
+    "WITH m AS (SELECT CASE WHEN c_nationkey % 2 = 0 THEN 'execution_plan' ELSE 'trial' END AS scope, c_custkey AS id, '{\"c_name\":\"' || c_name || '\"}' AS body, c_mktsegment AS segment, CAST(c_nationkey AS VARCHAR) AS nation FROM customer), "
+    "k AS (SELECT CASE WHEN s_suppkey % 2 = 0 THEN 'artifact' ELSE 'trial' END AS scope, s_suppkey - 7 AS id, s_name FROM supplier) "
+)
+
+
+def _suppliers(s, d):
+    """Keys of which some have a record already and some have none."""
+    k = V.table(s, d, "supplier")
+    return k.select(F.when(F.col("s_suppkey") % 2 == 0, "artifact").otherwise("trial").alias("scope"), (F.col("s_suppkey") - 7).alias("id"), F.col("s_name").alias("name"))
+
+
+@query(
+    "metadata_upsert",
+    _METADATA + "SELECT coalesce(m.scope, k.scope) AS scope, coalesce(m.id, k.id) AS id, coalesce('{\"by\":\"' || s_name || '\"}', body) AS body, segment, nation FROM m FULL JOIN k ON k.scope = m.scope AND k.id = m.id",
+    views=False,
+)
 def metadata_upsert(s, d):
-    m = _metadata(s, d)
-    new = m.where("id % 3 = 0").withColumns({"labels": F.create_map(F.lit("segment"), F.lit("again")), "version": F.lit(2)})
-    return records.put_metadata(m, new).select("scope", "id", F.col("labels")["segment"].alias("segment"))
+    """Bodies are replaced and made; labels and tags of records that exist stay."""
+    new = _suppliers(s, d).select("scope", "id", F.to_json(F.struct(F.col("name").alias("by"))).alias("body"))
+    return records.put_metadata(_metadata(s, d), new).select("scope", "id", "body", F.col("labels")["segment"].alias("segment"), F.col("tags")["nation"].alias("nation"))
 
 
-@query("metadata_set_labels", "SELECT c_custkey AS id, CASE WHEN c_custkey % 5 = 0 THEN NULL ELSE c_mktsegment END AS segment, CASE WHEN c_custkey % 5 = 0 THEN 'vip' END AS tier, CAST(c_nationkey AS VARCHAR) AS nation FROM customer", views=False)
+@query(
+    "metadata_set_labels",
+    _METADATA + "SELECT coalesce(m.scope, k.scope) AS scope, coalesce(m.id, k.id) AS id, coalesce(body, '{}') AS body, CASE WHEN s_name IS NULL THEN segment END AS segment, s_name AS tier, nation FROM m FULL JOIN k ON k.scope = m.scope AND k.id = m.id",
+    views=False,
+)
 def metadata_set_labels(s, d):
-    m = _metadata(s, d)
-    changes = m.where("id % 5 = 0").select("scope", "id", F.create_map(F.lit("tier"), F.lit("vip")).alias("entries"))
-    return records.set_map(m, "labels", changes).select("id", F.col("labels")["segment"].alias("segment"), F.col("labels")["tier"].alias("tier"), F.col("tags")["nation"].alias("nation"))
+    """Labels are replaced whole; keys without a record get one."""
+    changes = _suppliers(s, d).select("scope", "id", F.create_map(F.lit("tier"), "name").alias("entries"))
+    got = records.set_map(_metadata(s, d), "labels", changes)
+    return got.select("scope", "id", "body", F.col("labels")["segment"].alias("segment"), F.col("labels")["tier"].alias("tier"), F.col("tags")["nation"].alias("nation"))
 
 
 @query("metadata_list", "SELECT c_custkey AS id FROM customer WHERE c_nationkey % 2 = 0 AND c_custkey > 40 ORDER BY 1 LIMIT 25", views=False)

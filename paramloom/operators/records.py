@@ -12,9 +12,10 @@ from functools import reduce
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import MapType
 
 from ..functions.constraints import violations
-from .retention import keep_newest, latest
+from .retention import keep_newest
 
 TERMINAL = ("completed", "failed", "skipped", "cancelled")
 SCOPES = ("test_plan", "execution_plan", "execution", "trial", "artifact")
@@ -107,8 +108,9 @@ def result_violations() -> Column:
 
 
 def element_violations(elements: DataFrame, types: DataFrame) -> DataFrame:
-    """(element, violations): elements (element, labels, tags maps; ports, parameters, config_keys arrays; max_concurrency,
-    max_group_concurrency) against types (type, required, forbidden arrays of label keys)."""
+    """(element, violations): elements (element, labels, tags maps; ports: the names of all plugs and sockets, parameters,
+    result_parameters, config_keys arrays; max_concurrency, max_group_concurrency) against types (type, required,
+    forbidden arrays of label keys). A name is one port only: neither two plugs, two sockets nor one of each share it."""
     e = elements.withColumn("_type", F.col("labels")["type"]).join(types.withColumnRenamed("type", "_known"), F.col("_type") == F.col("_known"), "left")
     keys = F.map_keys("labels")
     tiers = F.concat(keys, F.map_keys("tags"), F.array_distinct("ports"))
@@ -119,7 +121,9 @@ def element_violations(elements: DataFrame, types: DataFrame) -> DataFrame:
         "required label missing": F.size(F.array_except(F.coalesce("required", none), keys)) == 0,
         "forbidden label": ~F.arrays_overlap(F.coalesce("forbidden", none), keys),
         "repeated parameter": F.size(F.array_distinct("parameters")) == F.size("parameters"),
+        "repeated result parameter": F.coalesce(F.size(F.array_distinct("result_parameters")) == F.size("result_parameters"), F.lit(True)),
         "configuration of no parameter": F.size(F.array_except("config_keys", "parameters")) == 0,
+        "repeated port": F.size(F.array_distinct("ports")) == F.size("ports"),
         "name in two tiers": F.size(F.array_distinct(tiers)) == F.size(tiers),
         "parameter named like an attribute": ~F.arrays_overlap("parameters", tiers),
         "concurrency below one": F.coalesce(F.col("max_concurrency") >= 1, F.lit(True)),
@@ -128,18 +132,38 @@ def element_violations(elements: DataFrame, types: DataFrame) -> DataFrame:
     return e.select("element", violations(checks).alias("violations"))
 
 
-# ---- metadata: one row a (scope, id), the last version counts ------------------------------------------------------
+# ---- metadata: one record a (scope, id): body (JSON text), labels, tags ---------------------------------------------
 
+EMPTY_BODY = "{}"
 
-def put_metadata(old: DataFrame, new: DataFrame) -> DataFrame:
-    """Rows (scope, id, labels, tags, version); a later version replaces the whole record."""
-    return latest(old.unionByName(new), ["scope", "id"], "version")
+
+def _one_each(changes: DataFrame, value: str) -> DataFrame:
+    """(scope, id, _new): of changes that repeat a key the one with the largest hash, so that it is always the same."""
+    content = F.array_sort(F.map_entries(value)) if isinstance(changes.schema[value].dataType, MapType) else F.col(value)
+    return changes.groupBy("scope", "id").agg(F.max_by(value, F.xxhash64(content)).alias("_new"), F.lit(True).alias("_given"))
+
+
+def _put(records: DataFrame, changes: DataFrame, value: str, column: str) -> DataFrame:
+    """records with column set where there is a change, and a new record for each change without one."""
+    both = records.join(_one_each(changes, value), ["scope", "id"], "full")
+    none = F.create_map().cast("map<string,string>")
+    empty = {"body": F.lit(EMPTY_BODY), "labels": none, "tags": none}
+    old = {c: F.coalesce(c, empty[c]) for c in empty}
+    return both.select("scope", "id", *[(F.when(F.col("_given"), F.col("_new")).otherwise(old[c]) if c == column else old[c]).alias(c) for c in empty])
+
+
+def put_metadata(records: DataFrame, new: DataFrame) -> DataFrame:
+    """records (scope, id, body, labels, tags) with the bodies of new (scope, id, body); labels and tags stay as they
+    are, a record that is new has none."""
+    return _put(records, new, "body", "body")
 
 
 def set_map(records: DataFrame, column: str, changes: DataFrame) -> DataFrame:
-    """records with `labels` or `tags` replaced where changes (scope, id, entries) has a row; others stay."""
-    out = records.join(changes.select("scope", "id", F.col("entries").alias("_entries")), ["scope", "id"], "left")
-    return out.withColumn(column, F.coalesce("_entries", column)).select(*records.columns)
+    """records with `labels` or `tags` replaced by changes (scope, id, entries); a record that does not exist yet is made,
+    with an empty body and nothing else."""
+    if column not in ("labels", "tags"):
+        raise ValueError(f"no map {column!r}")
+    return _put(records, changes, "entries", column)
 
 
 def list_scope(records: DataFrame, scope: str, cursor=None, size: int = 100) -> DataFrame:
