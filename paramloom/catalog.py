@@ -200,9 +200,11 @@ def domain_contains(s, d):
     return V.table(s, d, "part").select("p_partkey", D.Domain("integer", values=(1, 5, 9, 14)).contains(F.col("p_size")).alias("listed"), D.Domain("integer", 3, 20).contains(F.col("p_size")).alias("ranged"), D.Domain("string", pattern="A").contains(F.col("p_type")).alias("named"))
 
 
-@query("domain_enumerate", "SELECT CAST(i - 5 AS BIGINT) AS value, CAST(i AS BIGINT) AS i FROM range(0, 100) t(i)", views=False)
+@query("domain_enumerate", "SELECT CAST(v AS BIGINT) AS value, CAST(v - low AS BIGINT) AS i FROM (SELECT unnest(range(min(o_orderkey), max(o_orderkey) + 1)) AS v, min(o_orderkey) AS low FROM orders)", views=False)
 def domain_enumerate(s, d):
-    return D.Domain("integer", -5, 94).enumerate(s)
+    """All integers between the first and the last order's number."""
+    low, high = V.table(s, d, "orders").agg(F.min("o_orderkey"), F.max("o_orderkey")).first()
+    return D.Domain("integer", low, high).enumerate(s)
 
 
 @query("domain_boundaries", "SELECT min(p_size) AS low, max(p_size) AS high, CAST(max(p_size) - min(p_size) + 1 AS BIGINT) AS cardinality FROM part", views=False)
@@ -215,59 +217,97 @@ def domain_boundaries(s, d):
 
 # ---- grids ---------------------------------------------------------------------------------------------------------
 
-AXES = [grid.Axis("m", "kind", ("a", "b", "c", "d", "e", "f")), grid.Axis("m", "level", (1, 2, 3, 4, 5)), grid.Axis("n", "rate", tuple(i / 4 for i in range(20)))]
-_GRID = "WITH g AS (SELECT CAST(i AS BIGINT) AS trial, CAST(i // 100 % 6 AS BIGINT) AS o0, CAST(i // 20 % 5 AS BIGINT) AS o1, CAST(i % 20 AS BIGINT) AS o2 FROM range(0, 600) t(i)) "
+_SIZES = "(SELECT count(DISTINCT p_type) FROM part) AS s0, (SELECT count(DISTINCT p_brand) FROM part) AS s1, (SELECT count(DISTINCT s_name) FROM supplier) AS s2"
+_GRID = f"WITH n AS (SELECT {_SIZES}), g AS (SELECT t.i AS trial, t.i // (s1 * s2) % s0 AS o0, t.i // s2 % s1 AS o1, t.i % s2 AS o2, n.* FROM (SELECT unnest(range(s0 * s1 * s2)) AS i FROM n) t, n) "
+_WIDE = "CASE WHEN greatest({0}) <= 16 THEN 1 ELSE greatest(2, length(format('{{:x}}', greatest({0}) - 1))) END"
+_DIGIT = "lpad(format('{{:x}}', {0}), {1}::INT, '0')"
 
 
-@query("grid_offsets", _GRID + "SELECT * FROM g", views=False)
+def _axes(s, d):
+    """Axes of the distinct part types, brands and supplier names."""
+    part, k = V.table(s, d, "part"), V.table(s, d, "supplier")
+    return [grid.TableAxis.of("part", "type", F.col("p_type"), part), grid.TableAxis.of("part", "brand", F.col("p_brand"), part), grid.TableAxis.of("supplier", "name", F.col("s_name"), k)]
+
+
+def _total(s, d):
+    sizes = [V.table(s, d, t).select(c).distinct().count() for t, c in (("part", "p_type"), ("part", "p_brand"), ("supplier", "s_name"))]
+    return sizes[0] * sizes[1] * sizes[2]
+
+
+@query("grid_offsets", _GRID + "SELECT trial, o0, o1, o2 FROM g", views=False)
 def grid_offsets(s, d):
-    return grid.enumerate_grid(s, AXES).select("trial", "o0", "o1", "o2")
+    return grid.enumerate_tables(s, _axes(s, d)).select("trial", "o0", "o1", "o2")
 
 
 @query("grid_index_roundtrip", _GRID + "SELECT trial, trial AS again FROM g", views=False)
 def grid_index_roundtrip(s, d):
-    return grid.enumerate_grid(s, AXES).select("trial", grid.index([F.col("o0"), F.col("o1"), F.col("o2")], [6, 5, 20]).alias("again"))
+    axes = _axes(s, d)
+    return grid.enumerate_tables(s, axes).select("trial", grid.index([F.col("o0"), F.col("o1"), F.col("o2")], [a.size for a in axes]).alias("again"))
 
 
-@query("grid_code8", _GRID + "SELECT trial, '0x' || format('{:02x}', o0) || format('{:02x}', o1) || format('{:02x}', o2) AS code FROM g", views=False)
+@query("grid_code8", _GRID + ", w AS (SELECT *, " + _WIDE.format("s0, s1, s2") + " AS w FROM g) SELECT trial, '0x' || " + " || ".join(_DIGIT.format(f"o{i}", "w") for i in range(3)) + " AS code FROM w", views=False)
 def grid_code8(s, d):
-    return grid.enumerate_grid(s, AXES).select("trial", "code")
+    return grid.enumerate_tables(s, _axes(s, d)).select("trial", "code")
 
 
-@query("grid_code4", "SELECT CAST(i AS BIGINT) AS trial, '0x' || format('{:x}', i // 5) || format('{:x}', i % 5) AS code FROM range(0, 30) t(i)", views=False)
+@query("grid_code4", "WITH n AS (SELECT (SELECT count(DISTINCT p_type) FROM part) AS s0, (SELECT count(DISTINCT o_orderpriority) FROM orders) AS s1) SELECT i AS trial, '0x' || format('{:x}', i // s1) || format('{:x}', i % s1) AS code FROM (SELECT unnest(range(s0 * s1)) AS i, s1 FROM n)", views=False)
 def grid_code4(s, d):
-    return grid.enumerate_grid(s, AXES[:2]).select("trial", "code")
+    """Two short axes: one digit each."""
+    axes = [grid.TableAxis.of("part", "type", F.col("p_type"), V.table(s, d, "part")), grid.TableAxis.of("order", "priority", F.col("o_orderpriority"), V.table(s, d, "orders"))]
+    return grid.enumerate_tables(s, axes).select("trial", "code")
 
 
-@query("grid_assignments", _GRID + "SELECT trial, 'm' AS element, 'level' AS parameter, CAST(o1 + 1 AS VARCHAR) AS value FROM g", views=False)
+@query("grid_assignments", _GRID + ", v AS (SELECT s_name, row_number() OVER (ORDER BY s_name) - 1 AS place FROM (SELECT DISTINCT s_name FROM supplier)) SELECT trial, 'supplier' AS element, 'name' AS parameter, s_name AS value FROM g JOIN v ON v.place = o2", views=False)
 def grid_assignments(s, d):
-    return grid.assignments(grid.enumerate_grid(s, AXES), AXES).where("parameter = 'level'")
+    axes = _axes(s, d)
+    return grid.assignments(grid.enumerate_tables(s, axes), axes).where("parameter = 'name'")
 
 
-@query("order_edge_first", _GRID + ", e AS (SELECT trial, (o0 IN (0, 5))::INT + (o1 IN (0, 4))::INT + (o2 IN (0, 19))::INT AS edges FROM g) SELECT trial, edges, CAST(row_number() OVER (ORDER BY edges DESC, trial) - 1 AS INTEGER) AS position FROM e", views=False)
+@query("order_edge_first", _GRID + ", e AS (SELECT trial, (o0 IN (0, s0 - 1))::INT + (o1 IN (0, s1 - 1))::INT + (o2 IN (0, s2 - 1))::INT AS edges FROM g) SELECT trial, edges, row_number() OVER (ORDER BY edges DESC, trial) - 1 AS position FROM e", views=False)
 def order_edge_first(s, d):
-    return grid.order(grid.enumerate_grid(s, AXES), AXES, "edge_first").select("trial", "edges", "position")
+    axes = _axes(s, d)
+    return grid.order(grid.enumerate_tables(s, axes), axes, "edge_first").select("trial", "edges", "position")
 
 
-@query("order_shuffled", _GRID + "SELECT trial, CAST(row_number() OVER (ORDER BY md5('s:' || trial), trial) - 1 AS INTEGER) AS position FROM g", views=False)
+@query("order_shuffled", _GRID + "SELECT trial, row_number() OVER (ORDER BY md5('s:' || trial), trial) - 1 AS position FROM g", views=False)
 def order_shuffled(s, d):
-    return grid.order(grid.enumerate_grid(s, AXES), AXES, "shuffled", "s").select("trial", "position")
+    axes = _axes(s, d)
+    return grid.order(grid.enumerate_tables(s, axes), axes, "shuffled", "s").select("trial", "position")
 
 
-@query("sample_linspace", "SELECT DISTINCT CAST(i * 599 // 9 AS BIGINT) AS trial FROM range(0, 10) t(i)", views=False)
+@query("sample_linspace", _GRID + ", k AS (SELECT unnest(range(least(40, s0 * s1 * s2))) AS i, s0 * s1 * s2 AS total FROM n) SELECT DISTINCT i * (total - 1) // (least(40, total) - 1) AS trial FROM k", views=False)
 def sample_linspace(s, d):
-    return grid.sample(s, 600, "linspace", 10)
+    return grid.sample(s, _total(s, d), "linspace", 40)
 
 
-@query("sample_random", "SELECT CAST(i AS BIGINT) AS trial FROM range(0, 600) t(i) ORDER BY md5('r:' || i), i LIMIT 25", views=False)
+@query("sample_random", _GRID + "SELECT trial FROM g ORDER BY md5('r:' || trial), trial LIMIT 25", views=False)
 def sample_random(s, d):
-    return grid.sample(s, 600, "random", 25, "r")
+    return grid.sample(s, _total(s, d), "random", 25, "r")
+
+
+#: suppliers as elements: each needs the one of half its number, in three ways by turns; lifelines carry no level
+_LINKS = "'e' || s_suppkey AS src, 'e' || s_suppkey // 2 AS dst, CASE s_suppkey % 3 WHEN 0 THEN 'shared' WHEN 1 THEN 'linear' ELSE 'lifeline' END AS kind"
+_HALVES = f"WITH RECURSIVE l AS (SELECT {_LINKS} FROM supplier WHERE s_suppkey // 2 IN (SELECT s_suppkey FROM supplier)), own AS (SELECT 'e' || s_suppkey AS element, s_suppkey, CAST(sum(s_nationkey % 3) OVER (ORDER BY -s_suppkey) AS BIGINT) AS own FROM supplier)"
 
 
-@query("binding_levels", "SELECT * FROM (VALUES ('a', CAST(1 AS BIGINT), CAST(1 AS BIGINT)), ('b', 2, 2), ('c', 2, 2), ('d', 3, 3), ('e', 3, 3)) t(element, own, effective)", views=False)
+def _elements(s, d):
+    """Suppliers as elements, authored from the last to the first, and their links."""
+    k = V.table(s, d, "supplier")
+    name = lambda c: F.concat(F.lit("e"), c.cast("string"))
+    e = k.select((-F.col("s_suppkey")).alias("pos"), name(F.col("s_suppkey")).alias("element"), (F.col("s_nationkey") % 3).cast("long").alias("axes"), (F.col("s_nationkey") % 4).alias("level"), (F.col("s_suppkey") % 2 == 0).alias("health"))
+    kind = F.when(F.col("s_suppkey") % 3 == 0, "shared").when(F.col("s_suppkey") % 3 == 1, "linear").otherwise("lifeline")
+    links = k.select(name(F.col("s_suppkey")).alias("src"), name(F.expr("s_suppkey div 2")).alias("dst"), kind.alias("kind"))
+    return e, links.join(e.select(F.col("element").alias("dst")), "dst", "left_semi").select("src", "dst", "kind")
+
+
+@query(
+    "binding_levels",
+    _HALVES + ", up AS (SELECT src, dst FROM l WHERE kind <> 'lifeline' UNION SELECT u.src, l.dst FROM up u JOIN l ON l.src = u.dst AND l.kind <> 'lifeline') SELECT o.element, o.own, greatest(o.own, coalesce(max(p.own), o.own)) AS effective FROM own o LEFT JOIN up ON up.src = o.element LEFT JOIN own p ON p.element = up.dst GROUP BY 1, 2",
+    views=False,
+)
 def binding_levels(s, d):
-    e = s.createDataFrame([(0, "a", 1), (1, "b", 1), (2, "c", 0), (3, "d", 1), (4, "e", 0)], "pos int, element string, axes long")
-    return grid.binding_levels(e, s.createDataFrame([("d", "b", "shared"), ("b", "a", "linear"), ("a", "e", "lifeline")], "src string, dst string, kind string"))
+    e, links = _elements(s, d)
+    return grid.binding_levels(e.select("pos", "element", "axes"), links)
 
 
 @query(
@@ -458,30 +498,24 @@ def dag_problems(s, d):
     return graph.problems(n.where("node not like 'r%'"), e)
 
 
-ELEMENTS = [("svc", 0, True), ("db", 1, False), ("job", 2, False)]
-LINKS = [("job", "svc", "shared"), ("job", "db", "shared")]
-
-
-def _plan(s):
-    e = s.createDataFrame(ELEMENTS, "element string, level int, health boolean")
-    return s.range(6).withColumnRenamed("id", "trial"), e, s.createDataFrame(LINKS, "src string, dst string, kind string"), [3, 2]
-
-
-@query("plan_lifecycle", "SELECT kind || ':' || element || ':' || grp AS node, kind, element, CAST(CASE kind WHEN 'deploy' THEN grp * size ELSE (grp + 1) * size - 1 END AS BIGINT) AS trial FROM (VALUES ('svc', 6), ('db', 2), ('job', 1)) e(element, size), range(0, 6) g(grp), (VALUES ('deploy'), ('teardown')) k(kind) WHERE grp < 6 // size", views=False)
+@query(
+    "plan_lifecycle",
+    "WITH n AS (SELECT (SELECT count(DISTINCT o_orderpriority) FROM orders) AS s0, (SELECT count(DISTINCT o_orderstatus) FROM orders) AS s1), e AS (SELECT 'e' || s_suppkey AS element, CASE least(s_nationkey % 4, 2) WHEN 0 THEN s0 * s1 WHEN 1 THEN s1 ELSE 1 END AS size, s0 * s1 AS total FROM supplier, n), g AS (SELECT *, unnest(range((total + size - 1) // size)) AS grp FROM e)"
+    " SELECT kind || ':' || element || ':' || grp AS node, kind, element, CASE kind WHEN 'deploy' THEN grp * size ELSE least((grp + 1) * size, total) - 1 END AS trial FROM g, (VALUES ('deploy'), ('teardown')) k(kind)",
+    views=False,
+)
 def plan_lifecycle(s, d):
-    t, e, _, sizes = _plan(s)
-    return lifecycle.steps(t, e, sizes).select("node", "kind", "element", "trial")
-
-
-@query("plan_compile")
-def plan_compile(s, d):
-    return lifecycle.compile_plan(*_plan(s))[1]
+    """Deploys and teardowns of suppliers over the trials of two axes of orders; levels say who shares an instance."""
+    o = V.table(s, d, "orders")
+    axes = [grid.TableAxis.of("order", "priority", F.col("o_orderpriority"), o), grid.TableAxis.of("order", "status", F.col("o_orderstatus"), o)]
+    e, _ = _elements(s, d)
+    return lifecycle.steps(grid.enumerate_tables(s, axes).select("trial"), e, [a.size for a in axes]).select("node", "kind", "element", "trial")
 
 
-@query("trial_elements", "SELECT 'job' AS element", views=False)
+@query("trial_elements", "SELECT 'e' || s_suppkey AS element FROM supplier WHERE s_suppkey NOT IN (SELECT s_suppkey // 2 FROM supplier)", views=False)
 def trial_elements(s, d):
-    _, e, links, _ = _plan(s)
-    return lifecycle.trial_elements(e, links)
+    """Suppliers that no other one needs."""
+    return lifecycle.trial_elements(*_elements(s, d))
 
 
 _PLUGS = "WITH p AS (SELECT c_custkey AS plug, ['seg:' || c_mktsegment, 'r:' || (c_nationkey % 3)] AS facets FROM customer), k AS (SELECT s_suppkey AS socket, ['r:' || (s_nationkey % 3), 'seg:BUILDING', CASE WHEN s_suppkey % 2 = 0 THEN 'seg:MACHINERY' ELSE 'seg:NONE' END] AS facets FROM supplier), f AS (SELECT plug, socket FROM p, k WHERE list_has_all(k.facets, p.facets)) "
@@ -528,11 +562,6 @@ def sched_fair(s, d):
     return scheduling.pick_order(_queue(s, d), "fair").select("queue", "step", "turn")
 
 
-@query("sched_admission")
-def sched_admission(s, d):
-    return scheduling.admit(scheduling.pick_order(_queue(s, d), "fifo"), 200.0, 1.0)
-
-
 @query("resource_usage", _QUEUE + "SELECT queue, sum(cpu) AS cpu, sum(memory) AS memory FROM q GROUP BY 1", views=False)
 def resource_usage(s, d):
     return scheduling.usage(_queue(s, d), "queue")

@@ -470,10 +470,10 @@ def axis_index(s, d):
     return V.table(s, d, "part").select("p_partkey", axis.index_of(F.col("p_type")).alias("place"), axis.contains(F.col("p_type")).alias("held"))
 
 
-@query("axes_reordered", "SELECT CAST(i AS BIGINT) AS trial, '0x' || format('{:x}', i // 6) || format('{:x}', i % 6) AS code FROM range(0, 30) t(i)", views=False)
+@query("axes_reordered", "WITH n AS (SELECT (SELECT count(DISTINCT p_type) FROM part) AS s0, (SELECT count(DISTINCT o_orderpriority) FROM orders) AS s1) SELECT i AS trial, '0x' || format('{:x}', i // s0) || format('{:x}', i % s0) AS code FROM (SELECT unnest(range(s0 * s1)) AS i, s0 FROM n)", views=False)
 def axes_reordered(s, d):
-    axes = [grid.Axis("m", "kind", ("a", "b", "c", "d", "e", "f")), grid.Axis("m", "level", (1, 2, 3, 4, 5))]
-    return grid.enumerate_grid(s, grid.reordered(axes, [("m", "level"), ("m", "kind")])).select("trial", "code")
+    axes = [grid.TableAxis.of("part", "type", F.col("p_type"), V.table(s, d, "part")), grid.TableAxis.of("order", "priority", F.col("o_orderpriority"), V.table(s, d, "orders"))]
+    return grid.enumerate_tables(s, grid.reordered(axes, [("order", "priority"), ("part", "type")])).select("trial", "code")
 
 
 @query("token_resolution", "SELECT p_partkey, CASE p_partkey % 4 WHEN 0 THEN p_type WHEN 1 THEN 'blue' WHEN 2 THEN NULL ELSE '${x' END AS value FROM part", views=False)

@@ -1,4 +1,4 @@
-"""Scheduler simulations: pick orders, and greedy admission under remaining capacity."""
+"""Orders in which steps of a queue come up, sums of what they allocate, delays before they are tried again."""
 
 from __future__ import annotations
 

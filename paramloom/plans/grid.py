@@ -5,10 +5,12 @@ from __future__ import annotations
 from dataclasses import dataclass
 from math import prod
 
-from pyspark.sql import Column, DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..operators.graph import closure
+from ..operators.ranking import numbered, running
+from ..sources.shared import written
 
 
 @dataclass(frozen=True)
@@ -29,7 +31,7 @@ class Axis:
         return F.coalesce(self.index_of(value).isNotNull(), F.lit(False))
 
 
-def reordered(axes: list[Axis], order: list[tuple[str, str]]) -> list[Axis]:
+def reordered(axes: list, order: list[tuple[str, str]]) -> list:
     """The axes in another order, which must name each of them once."""
     of = {(a.element, a.parameter): a for a in axes}
     if len(order) != len(axes) or set(order) != set(of):
@@ -102,18 +104,48 @@ def enumerate_grid(spark: SparkSession, axes: list[Axis]) -> DataFrame:
     return trials.withColumns({f"v{i}": F.get(F.array(*[F.lit(v) for v in a.values]), F.col(f"o{i}").cast("int")) for i, a in enumerate(axes)})
 
 
-def assignments(trials: DataFrame, axes: list[Axis]) -> DataFrame:
+@dataclass(frozen=True)
+class TableAxis:
+    """An axis whose values are rows: table (place from 0, value) of `size` rows."""
+
+    element: str
+    parameter: str
+    table: DataFrame
+    size: int
+
+    @classmethod
+    def of(cls, element: str, parameter: str, values: Column, rows: DataFrame) -> TableAxis:
+        """The distinct values of rows in ascending order; nulls are no values."""
+        table = written(numbered(rows.select(values.alias("value")).where("value is not null").distinct(), F.col("value"), name="place"), "axis")
+        return cls(element, parameter, table, table.count())
+
+
+def enumerate_tables(spark: SparkSession, axes: list[TableAxis]) -> DataFrame:
+    """enumerate_grid() of axes in tables: trial, code, o0.., v0... Trials come from a range; their digits are joined to
+    each axis by place, so no axis is multiplied with another."""
+    sizes = [a.size for a in axes]
+    n = prod(sizes) if axes else 1
+    if n >= 1 << 63:
+        raise ValueError(f"{n} trials")
+    digits = offsets(F.col("trial"), sizes)
+    out = spark.range(n).withColumnRenamed("id", "trial").withColumns({"code": code(digits, sizes) if axes else F.lit("0x"), **{f"o{i}": d for i, d in enumerate(digits)}})
+    for i, a in enumerate(axes):
+        out = out.join(a.table.select(F.col("place").alias(f"o{i}"), F.col("value").alias(f"v{i}")), f"o{i}")
+    return out.select("trial", "code", *[f"o{i}" for i in range(len(axes))], *[f"v{i}" for i in range(len(axes))])
+
+
+def assignments(trials: DataFrame, axes: list[Axis] | list[TableAxis]) -> DataFrame:
     """Long form: (trial, element, parameter, value as text)."""
     rows = [F.struct(F.lit(a.element).alias("element"), F.lit(a.parameter).alias("parameter"), F.col(f"v{i}").cast("string").alias("value")) for i, a in enumerate(axes)]
     return trials.select("trial", F.explode(F.array(*rows)).alias("a")).select("trial", "a.*")
 
 
-def order(trials: DataFrame, axes: list[Axis], how: str, seed: str = "0", cost: Column | None = None) -> DataFrame:
+def order(trials: DataFrame, axes: list[Axis] | list[TableAxis], how: str, seed: str = "0", cost: Column | None = None) -> DataFrame:
     """trials with `position`: sequential, shuffled (by hash), edge_first (most boundary values first), cost."""
-    edge = sum((F.col(f"v{i}").isin(list(a.boundaries())).cast("int") for i, a in enumerate(axes)), F.lit(0))
-    keys = {"sequential": [], "shuffled": [F.md5(F.concat(F.lit(seed + ":"), F.col("trial").cast("string")))], "edge_first": [F.desc("edges")], "cost": [cost if cost is not None else F.lit(0)]}[how]
-    trials = trials.withColumn("edges", edge)
-    return trials.withColumn("position", F.row_number().over(Window.orderBy(*keys, "trial")) - 1)
+    at_edge = lambda i, a: F.col(f"o{i}").isin(0, a.size - 1) if isinstance(a, TableAxis) else F.col(f"v{i}").isin(list(a.boundaries()))
+    edge = sum((at_edge(i, a).cast("int") for i, a in enumerate(axes)), F.lit(0))
+    keys = {"sequential": [], "shuffled": [F.md5(F.concat(F.lit(seed + ":"), F.col("trial").cast("string")))], "edge_first": [-F.col("edges")], "cost": [cost if cost is not None else F.lit(0)]}[how]
+    return numbered(trials.withColumn("edges", edge), *keys, F.col("trial"))
 
 
 def sample(spark: SparkSession, total: int, how: str, count: int, seed: str = "0") -> DataFrame:
@@ -132,7 +164,7 @@ def sample(spark: SparkSession, total: int, how: str, count: int, seed: str = "0
 def binding_levels(elements: DataFrame, links: DataFrame) -> DataFrame:
     """elements (pos, element, axes), links (src, dst, kind): own level is the running number of axes in authored
     order; the effective one is the largest over shared, exclusive and linear dependencies (src needs dst)."""
-    own = elements.withColumn("own", F.sum("axes").over(Window.orderBy("pos").rowsBetween(Window.unboundedPreceding, 0)))
+    own = written(running(elements, {"own": F.col("axes")}, F.col("pos")), "levels")
     level = own.select("element", F.col("own").alias("level"))
     carry = links.where(F.col("kind").isin("shared", "exclusive", "linear")).select(F.col("src").alias("element"), "dst")
     # the largest own level among all that an element needs, directly or not

@@ -9,17 +9,31 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..operators import graph
+from ..operators.ranking import numbered
 
 
 def steps(trials: DataFrame, elements: DataFrame, sizes: list[int]) -> DataFrame:
     """Deploy and teardown of every element and trial, coalesced to groups of consecutive trials that share an
-    instance: of each group the first deploy and the last teardown stay. trials: (trial)."""
+    instance: of each group the first deploy and the last teardown stay. trials: (trial), numbered from 0."""
     from .grid import group_size
 
-    size = F.element_at(F.array(*[F.lit(group_size(k, sizes)) for k in range(len(sizes) + 1)]), (F.least("level", F.lit(len(sizes))) + 1).cast("int"))
-    every = trials.crossJoin(F.broadcast(elements))  # elements are part of the plan, a handful
-    every = every.withColumn("grp", F.call_function("div", F.col("trial"), size.cast("bigint")))
-    kept = every.groupBy("element", "grp", "level", "health").agg(F.min("trial").alias("first"), F.max("trial").alias("last"))
+    last = trials.agg(F.max("trial")).first()[0]
+    total = 0 if last is None else last + 1
+    spark, kept = trials.sparkSession, None
+    leveled = elements.withColumn("_depth", F.least("level", F.lit(len(sizes))))
+    for k in range(len(sizes) + 1):  # one range of (group, element) a level: groups follow from the trials' number alone
+        size = group_size(k, sizes)
+        some = leveled.where(F.col("_depth") == k)
+        found = numbered(some, F.col("element"), name="_e")
+        many = some.count()
+        if not many:
+            continue
+        groups = -(-total // size)
+        pairs = spark.range(groups * many).select(F.expr(f"id div {many}").alias("grp"), (F.col("id") % many).alias("_e"))
+        part = pairs.join(found, "_e").select("element", "grp", "level", "health", (F.col("grp") * size).alias("first"), F.least((F.col("grp") + 1) * size - 1, F.lit(total - 1)).alias("last"))
+        kept = part if kept is None else kept.unionByName(part)
+    if kept is None:
+        kept = elements.where("false").select("element", F.lit(0).cast("long").alias("grp"), "level", "health", F.lit(0).cast("long").alias("first"), F.lit(0).cast("long").alias("last"))
     row = lambda kind, at: F.struct(F.lit(kind).alias("kind"), F.col(at).alias("trial"), F.concat_ws(":", F.lit(kind), "element", F.col("grp").cast("string")).alias("node"))
     return kept.select("element", "grp", "level", "health", "first", "last", F.explode(F.array(row("deploy", "first"), row("teardown", "last"))).alias("s")).select("element", "grp", "level", "health", "first", "last", "s.*")
 
