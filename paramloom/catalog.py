@@ -581,3 +581,4 @@ def fingerprints(s, d):
 from . import catalog_records  # noqa: E402,F401 - registers further queries here
 from . import catalog_live  # noqa: E402,F401 - registers further queries here
 from . import catalog_values  # noqa: E402,F401 - registers further queries here
+from . import catalog_sources  # noqa: E402,F401 - registers further queries here

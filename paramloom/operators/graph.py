@@ -6,6 +6,7 @@ Iterations run over DataFrames; rounds are checkpointed to the folder that spark
 from __future__ import annotations
 
 import tempfile
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -184,12 +185,76 @@ def plan_fingerprints(plans: DataFrame, parts: dict[str, DataFrame]) -> DataFram
     return own.select("plan", F.sha2("_own", 256).alias("fingerprint"))
 
 
+LABELS = 4
+
+
+def _least_ranks(deep: DataFrame, links: DataFrame, last: int, up: bool) -> DataFrame:
+    """(node, low0.., one a label): the least random ranks among a node and all it reaches (up: all that reach it).
+
+    One round a wave, from the far end: a node's ranks are the least of its own and of its neighbours'."""
+    ranks = [F.xxhash64(F.lit(f"{k}{up}"), "node") for k in range(LABELS)]
+    names = [f"low{k}" for k in range(LABELS)]
+    own = written(deep.select("node", "depth", *[r.alias(n) for r, n in zip(ranks, names)]), "ranks")
+    near, far = ("dst", "src") if up else ("src", "dst")
+    waves = range(last + 1) if up else range(last, -1, -1)
+    done = None
+    for wave in waves:
+        here = own.where(F.col("depth") == wave).drop("depth")
+        if done is not None:
+            below = links.where(F.col(f"{near}_depth") == wave).join(done.withColumnRenamed("node", far), far).select(F.col(near).alias("node"), *names)
+            here = here.unionByName(below).groupBy("node").agg(*[F.min(n).alias(n) for n in names])
+        old = done
+        done = written(here if done is None else done.unionByName(here), "ranks")
+        if old is not None:
+            forget(old)
+    forget(own)
+    return done
+
+
+def reaches(edges: DataFrame, pairs: DataFrame, least: int = 1) -> DataFrame:
+    """The distinct pairs (src, dst) with a path of `least` edges or more from src to dst (at most 2 can be asked for).
+
+    No closure: a pair's search goes forward from src, and is cut wherever labels show that dst cannot be reached. What a
+    node reaches contains what its successors reach, so the least of random ranks over it never rises along a path (nor
+    does the least over its ancestors, backwards), and depth always rises. A pair that is found leaves the search."""
+    if least not in (1, 2):
+        raise ValueError("least is 1 or 2")
+    ends = edges.select(F.explode(F.array("src", "dst")).alias("node")).distinct()
+    deep = written(depths(ends, edges), "deep")
+    last = deep.agg(F.max("depth")).first()[0]
+    pairs = pairs.select("src", "dst").distinct()
+    if last is None:
+        return pairs.where("false")
+    depth = lambda end: deep.select(F.col("node").alias(end), F.col("depth").alias(f"{end}_depth"))
+    links = written(edges.select("src", "dst").distinct().join(depth("src"), "src").join(depth("dst"), "dst"), "links")
+    down, up = _least_ranks(deep, links, last, False), _least_ranks(deep, links, last, True)
+    names = [f"low{k}" for k in range(LABELS)]
+    marks = written(deep.join(down, "node").join(up.select("node", *[F.col(n).alias(f"up{n}") for n in names]), "node"), "marks")
+    mark = lambda end: marks.select(F.col("node").alias(end), *[F.col(c).alias(f"{end}_{c}") for c in marks.columns if c != "node"])
+    can = reduce(lambda a, b: a & b, [(F.col(f"at_{n}") <= F.col(f"dst_{n}")) & (F.col(f"at_up{n}") >= F.col(f"dst_up{n}")) for n in names], F.col("at_depth") < F.col("dst_depth"))
+    open_ = written(pairs.join(mark("dst"), "dst").join(deep.select(F.col("node").alias("src"), F.col("depth").alias("_d")), "src").where(F.col("dst_depth") - F.col("_d") >= least).drop("_d"), "pairs")
+    front = open_.withColumn("at", F.col("src"))
+    found, step, old = None, links.select(F.col("src").alias("at"), F.col("dst").alias("next")), []
+    for k in range(1, last + 1):
+        further = front.join(step, "at").drop("at").withColumnRenamed("next", "at")
+        further = written(further.distinct(), "front")
+        old.append(further)
+        if not further.limit(1).count():
+            break
+        hits = further.where("at = dst").select("src", "dst").distinct()
+        if k >= least:
+            hits = written(hits if found is None else found.unionByName(hits), "found")
+            found = hits
+            further = further.join(hits, ["src", "dst"], "left_anti")
+        front = further.where("at <> dst").join(mark("at"), "at").where(can).drop(*[c for c in mark("at").columns if c != "at"])
+    forget(deep, links, down, up, marks)
+    return pairs.where("false") if found is None else found
+
+
 def reduction(edges: DataFrame) -> DataFrame:
-    """Edges that no other path implies."""
+    """Edges that no other path implies. Only edges that span two waves or more can be implied; those are searched for."""
     edges = edges.select("src", "dst").distinct()
-    reach = closure(edges)
-    via = edges.join(reach.select(F.col("src").alias("dst"), F.col("dst").alias("far")), "dst").select("src", F.col("far").alias("dst")).distinct()
-    return edges.join(via, ["src", "dst"], "left_anti")
+    return edges.join(reaches(edges, edges, 2), ["src", "dst"], "left_anti")
 
 
 def statistics(nodes: DataFrame, edges: DataFrame) -> DataFrame:
