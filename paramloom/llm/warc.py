@@ -8,13 +8,15 @@ Reading: Spark's text reader splits the files at the record magic wherever it st
 piece that starts like a record header is a candidate; tasks emit candidate offset -> successor offset, the end
 that its Content-Length claims. A plain file is read in several splits: their lengths, one row a split, give every
 split's offset, so chains go on from task to task. Pointer jumping from offset 0 of every file then keeps the reachable
-records only. Jumps are first contracted within blocks of a file, so the joined table has a few rows per block. Payloads
-that go on in another split are read again and put together in order.
+records only. Jumps are first contracted within blocks of a file, so the joined table has a few rows per block. Only then are
+payloads read: each split from its first reachable record on, each byte hashed once, however many false heads payloads
+hold and whatever lengths they claim. Payloads that go on in another split are put together in order.
 
 Defined cases: null html is the empty payload; equal payloads shorter than `least` bytes are all responses;
 among rows with a digest's smallest page_id one is the response (the first in the archive's order) and rows that
 repeat it are responses too; a null page_id is the largest; an empty table gives empty archives and no rows; a record
-that the file's end cuts off, and one whose payload doesn't fit its digest, are read with `whole` false.
+that the file's end cuts off, and one whose payload doesn't fit its digest, are read with `whole` false; a head whose
+lengths have over 18 digits is none (such a record could lie in no file); other columns of pages are not read.
 """
 
 from __future__ import annotations
@@ -83,11 +85,22 @@ def _headers(piece: bytes) -> tuple[dict[bytes, bytes], int] | None:
         if not colon:
             return None
         fields[name.strip().lower()] = value.strip()
-    if b"warc-type" not in fields or b"warc-record-id" not in fields or not fields.get(b"content-length", b"").isdigit():
+    if b"warc-type" not in fields or b"warc-record-id" not in fields or _number(fields.get(b"content-length", b"")) is None:
         return None
     return fields, end + 4
 
 
+def _number(digits: bytes) -> int | None:
+    """A length of at most 18 ASCII digits."""
+    return int(digits) if len(digits) <= 18 and digits.isdigit() else None
+
+
+def _extent(fields: dict[bytes, bytes]) -> tuple[int, bool]:
+    """The claimed length of a record's block, and whether an HTTP head stands before its payload."""
+    length = _number(fields[b"content-length"])
+    return length, fields.get(b"content-type", b"").startswith(b"application/http") and length > 0
+
+
 class _Body:
     """SHA-1 and size of a payload that comes in parts; an HTTP block's head is left out."""
 
@@ -107,59 +120,66 @@ class _Body:
         self.size += len(part)
 
 
-_KINDS = {"file": pa.string(), "block": pa.int64(), "at": pa.int64(), "next": pa.int64(), "kind": pa.string(), "page": pa.string(), "refers": pa.string(), "size": pa.int64(), "said": pa.string(), "sha1": pa.binary(), "body_at": pa.int64(), "http": pa.bool_()}
-_FOUND = "file string, block long, at long, next long, kind string, page string, refers string, size long, said string, sha1 binary, body_at long, http boolean"
+_KINDS = {"file": pa.string(), "split": pa.int64(), "at": pa.int64(), "next": pa.int64(), "kind": pa.string(), "page": pa.string(), "refers": pa.string(), "told": pa.int64(), "said": pa.string(), "body_at": pa.int64(), "http": pa.bool_()}
+_FOUND = "file string, split long, at long, next long, kind string, page string, refers string, told long, said string, body_at long, http boolean"
 
 
-def _table(rows: list[tuple]) -> pa.RecordBatch:
-    columns = list(zip(*rows)) or [()] * len(_KINDS)
-    return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, _KINDS.values())], list(_KINDS))
+def _table(rows: list[tuple], kinds: dict = _KINDS) -> pa.RecordBatch:
+    columns = list(zip(*rows)) or [()] * len(kinds)
+    return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, kinds.values())], list(kinds))
 
 
 def _candidates(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Rows (file, split, piece) in file order -> every candidate with its successor and what its payload holds, by
-    offsets within the split; without sha1 where the payload goes on. And a row a split: kind null, `next` its length."""
+    """Rows (file, split, piece) in file order -> every candidate with its successor by offsets within the split, from
+    its head alone. And a row a split: kind null, `next` its length."""
     magic = len(MAGIC)
-    now, at, open_ = None, 0, []
-
-    def row(x: dict) -> tuple:
-        f, body = x["fields"], x["body"]
-        size = f.get(b"x-payload-length", b"%d" % body.size)
-        text = lambda name: f.get(name, b"").decode("latin1")
-        done = body.left == 0
-        return (*now, x["at"], x["next"], f[b"warc-type"].decode("latin1"), text(b"x-page-id"), text(b"x-refers-to-page"), (int(size) if size.isdigit() else 0) if done else None, text(b"warc-payload-digest"), body.sha.digest() if done else None, x["body_at"], x["http"])
-
-    def close() -> list[tuple]:
-        return [] if now is None else [*map(row, open_), (*now, 0, at, *[None] * 8)]
-
+    now, at = None, 0
+    close = lambda: [] if now is None else [(*now, 0, at, *[None] * 7)]
     for b in batches:
         rows = []
         for name, split, piece in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), b.column(2).to_pylist()):
             if (name, split) != now:
                 rows += close()
-                now, at, open_ = (name, split), 0, []
+                now, at = (name, split), 0
             led = split > 0 or at > 0  # the record magic stands before this piece
-            if led:
-                for x in open_:
-                    x["body"].feed(MAGIC.encode())
-            for x in open_:
-                x["body"].feed(piece)
             if led and (found := _headers(piece)):
-                fields, skip = found
-                length = int(fields[b"content-length"])
-                http = fields.get(b"content-type", b"").startswith(b"application/http") and length > 0
-                x = {"at": at - magic, "next": at + skip + length + 4, "fields": fields, "body": _Body(length, http), "body_at": at + skip, "http": http}
-                x["body"].feed(piece[skip:])
-                open_.append(x)
+                f, skip = found
+                length, http = _extent(f)
+                text = lambda name: f.get(name, b"").decode("latin1")  # noqa: B023,E731
+                rows.append((*now, at - magic, at + skip + length + 4, text(b"warc-type"), text(b"x-page-id"), text(b"x-refers-to-page"), _number(f.get(b"x-payload-length", b"")), text(b"warc-payload-digest"), at + skip, http))
             at += len(piece) + magic
-            rows += [row(x) for x in open_ if x["body"].left == 0]
-            open_ = [x for x in open_ if x["body"].left]
         yield _table(rows)
     yield _table(close())
 
 
+_BODIES = {"file": pa.string(), "at": pa.int64(), "size": pa.int64(), "sha1": pa.binary()}
+
+
+def _bodies(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Rows (file, split, start, data, entry, base) in file order, entry: where the split's first record on the chain
+    starts -> (file, at, size, sha1) of the chain's payloads that end in their split."""
+    now, expect, body, at = None, None, None, None
+    for b in batches:
+        rows = []
+        for name, split, start, data, entry, base in zip(*(c.to_pylist() for c in b.columns)):
+            if (name, split) != now:
+                now, expect, body = (name, split), entry, None
+            if body is not None:
+                body.feed(data)
+            elif start == expect and (found := _headers(data[len(MAGIC) :])):
+                f, skip = found
+                length, http = _extent(f)
+                at, skip = start + base, skip + len(MAGIC)
+                expect, body = start + skip + length + 4, _Body(length, http)
+                body.feed(data[skip:])
+            if body is not None and not body.left:
+                rows.append((name, at, body.size, body.sha.digest()))
+                body = None
+        yield _table(rows, _BODIES)
+
+
 def _placed(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """(file, split, piece) -> (file, block, start, data): the bytes of a split with their offsets in it, magic included."""
+    """(file, split, piece) -> (file, split, start, data): the bytes of a split with their offsets in it, magic included."""
     now, at = None, 0
     for b in batches:
         starts, data = [], []
@@ -170,7 +190,7 @@ def _placed(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             starts.append(at - len(MAGIC) if led else at)
             data.append(MAGIC.encode() + piece if led else piece)
             at += len(piece) + len(MAGIC)
-        yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(starts, pa.int64()), pa.array(data, pa.binary())], ["file", "block", "start", "data"])
+        yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(starts, pa.int64()), pa.array(data, pa.binary())], ["file", "split", "start", "data"])
 
 
 def _joined_bodies(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -227,16 +247,16 @@ def _walk(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 def read(spark: SparkSession, path: str) -> DataFrame:
     """The records of all files in path: file, at, kind, page, refers, size, digest, whole (the digest fits the payload)."""
     text = spark.read.option("lineSep", MAGIC).text(path)
-    pieces = text.select(F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_block_start").alias("block"), F.col("value").cast("binary").alias("piece"))
+    pieces = text.select(F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_block_start").alias("split"), F.col("value").cast("binary").alias("piece"))
+    placed = pieces.mapInArrow(_placed, "file string, split long, start long, data binary")
     told = materialize(pieces.mapInArrow(_candidates, _FOUND), "told")
     # where each split's first piece stands: one row a split
-    before = Window.partitionBy("file").orderBy("block").rowsBetween(Window.unboundedPreceding, -1)
-    splits = told.where("kind is null").select("file", "block", F.col("next").alias("length"), F.coalesce(F.sum("next").over(before), F.lit(0)).alias("base"))
+    before = Window.partitionBy("file").orderBy("split").rowsBetween(Window.unboundedPreceding, -1)
+    splits = told.where("kind is null").select("file", "split", F.col("next").alias("length"), F.coalesce(F.sum("next").over(before), F.lit(0)).alias("base"))
     splits = materialize(splits, "splits")
     hint = F.broadcast(splits) if few(splits, 100_000) else splits
-    found = told.where("kind is not null").join(hint.select("file", "block", "base"), ["file", "block"])
-    found = found.withColumns({c: F.col(c) + F.col("base") for c in ("at", "next", "body_at")}).drop("base", "block")
-    found = materialize(found, "candidates")
+    found = told.where("kind is not null").join(hint.select("file", "split", "base"), ["file", "split"])
+    found = materialize(found.withColumns({c: F.col(c) + F.col("base") for c in ("at", "next", "body_at")}), "candidates")
     by_block = F.floor(F.col("at") / BLOCK).cast("long")
     exits = found.select("file", "at", "next").repartition("file", by_block).sortWithinPartitions("file", F.desc("at")).mapInArrow(_contract, "file string, block long, at long, exit long")
     exits = materialize(exits, "exits")
@@ -257,22 +277,30 @@ def read(spark: SparkSession, path: str) -> DataFrame:
         reach = new
     entries = reach.select("file", F.floor(F.col("at") / BLOCK).cast("long").alias("block"), F.col("at").alias("entry"))
     told = found.withColumn("block", by_block).join(entries, ["file", "block"])
-    on_chain = told.select("file", "block", "at", "next", "entry", "kind", "page", "refers", "size", "said", "sha1", "body_at", "http").repartition("file", "block").sortWithinPartitions("file", "at")
+    on_chain = told.select("file", "block", "at", "next", "entry", "kind", "page", "refers", "told", "said", "body_at", "http", "split", "base").repartition("file", "block").sortWithinPartitions("file", "at")
     on_chain = on_chain.mapInArrow(_walk, on_chain.schema)
     on_chain = materialize(on_chain, "chain")
+    entries = materialize(on_chain.groupBy("file", "split", "base").agg(F.min(F.col("at") - F.col("base")).alias("entry")), "entries")  # one row a split
+    if few(entries, 100_000):
+        led = placed.join(F.broadcast(entries), ["file", "split"])  # rows stay in the files' order
+    else:
+        led = placed.join(entries, ["file", "split"]).repartition("file", "split").sortWithinPartitions("file", "split", "start")
+    bodies = materialize(led.select("file", "split", "start", "data", "entry", "base").mapInArrow(_bodies, "file string, at long, size long, sha1 binary"), "bodies")
+    on_chain = materialize(on_chain.join(bodies, ["file", "at"], "left"), "read")
     split = on_chain.where("sha1 is null").select("file", "at", "body_at", (F.col("next") - 4).alias("body_end"), "http")
     if split.limit(1).count():  # payloads that go on in other splits; a split holds parts of two of them at most
         wanted = split.join(splits, "file").where((F.col("body_at") < F.col("base") + F.col("length")) & (F.col("body_end") > F.col("base") - len(MAGIC)))
         wanted = materialize(wanted, "wanted")
         hint = F.broadcast(wanted) if few(wanted, 100_000) else wanted
-        parts = pieces.mapInArrow(_placed, "file string, block long, start long, data binary").join(hint, ["file", "block"])
+        parts = placed.join(hint, ["file", "split"])
         start = F.col("start") + F.col("base")
         low, high = F.greatest(start, F.col("body_at")), F.least(start + F.octet_length("data"), F.col("body_end"))
         cut = F.substring(F.col("data"), (low - start + 1).cast("int"), (high - low).cast("int"))
-        parts = parts.where(high > low).select("file", "at", low.alias("low"), (F.col("body_end") - F.col("body_at")).cast("int").alias("left"), "http", cut.alias("data"))
+        parts = parts.where(high > low).select("file", "at", low.alias("low"), (F.col("body_end") - F.col("body_at")).alias("left"), "http", cut.alias("data"))
         parts = parts.repartition("file", "at").sortWithinPartitions("file", "at", "low").select("file", "at", "left", "http", "data")
         whole = parts.mapInArrow(_joined_bodies, "file string, at long, full_size long, full_sha1 binary")
         on_chain = on_chain.join(whole, ["file", "at"], "left").withColumns({"size": F.coalesce("size", "full_size"), "sha1": F.coalesce("sha1", "full_sha1")})
+    on_chain = on_chain.withColumn("size", F.when(F.col("sha1").isNotNull(), F.coalesce("told", "size")))
     digest = F.regexp_extract("said", r"^sha1:([A-Z2-7]{32})$", 1)
     fits = F.coalesce((F.col("kind") != "response") | (digest == _base32_of_binary(F.col("sha1"))), F.lit(False)) & F.col("sha1").isNotNull()
     return on_chain.select("file", "at", "kind", "page", "refers", F.coalesce("size", F.lit(0)).alias("size"), digest.alias("digest"), fits.alias("whole"))
