@@ -6,7 +6,7 @@ block size. Fingerprints compare by edit distance where their block sizes are eq
 
 Defined cases: null text is the empty text, whose fingerprint is "1::"; equal texts have equal fingerprints and
 likeness 1; a document's successor is the next row by doc_id (nulls first), rows of one doc_id by text, and the
-first row follows the last; a lone document follows itself; an empty table gives no rows.
+first row follows the last; a lone document follows itself; an empty table gives no rows; other columns are not read.
 """
 
 from __future__ import annotations
@@ -20,7 +20,7 @@ import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-WINDOW, LETTERS_GOAL, LEAST_LETTERS, COMMON = 7, 64, 32, 5
+WINDOW, LETTERS_GOAL, LEAST_LETTERS = 7, 64, 32
 ALPHABET = np.frombuffer(b"ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789+/", np.uint8)
 #: rows of a doc_id range, and the most ranges (their bounds are held by the driver)
 RANGE_ROWS, MOST_RANGES = 1000, 20_000
@@ -100,10 +100,6 @@ def distance(a: str, b: str) -> int:
 def _alike(a: str, b: str) -> float:
     if a == b:
         return 1.0
-    if min(len(a), len(b)) > 3 * COMMON and {a[i : i + COMMON] for i in range(len(a) - COMMON + 1)}.isdisjoint(
-        b[i : i + COMMON] for i in range(len(b) - COMMON + 1)
-    ):
-        return 0.0  # nothing of some length in common
     return 1.0 - distance(a, b) / max(len(a), len(b), 1)
 
 
