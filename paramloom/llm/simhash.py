@@ -1,5 +1,8 @@
 """SimHash near-dedup: fingerprints compared in vertical bit planes with carry-save counters.
 
+Every comparison is bit-sliced. In cells of a word's lanes or more each row is held against all lanes; smaller cells lie
+one behind another in common planes, which are held against themselves shifted by one lane, two lanes and so on.
+
 Fingerprints that differ in at most `radius` bits agree on some choice of blocks (pigeonhole), so every
 link falls into at least one bucket (choice, block value). A bucket's rows are compared in bounded cells;
 a cell emits a spanning forest of its links, never all pairs.
@@ -143,13 +146,57 @@ def within(query: np.ndarray, table: np.ndarray, n: int, radius: int, step: int
                     yield at + i, hit_pos[cuts[i] : cuts[i + 1]]
 
 
+def within_runs(cell: np.ndarray, fp: np.ndarray, radius: int, step: int = 8) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """Positions (i, j) of all pairs within the radius whose rows lie in one run of equal cell numbers, by distance in lanes.
+
+    A word compares 64 neighbouring rows with those d lanes on. Lanes whose two rows lie in different runs are beyond
+    from the start, words without another lane are never looked at, and runs of at most d rows leave the planes."""
+    place = np.arange(len(fp))
+    depth = (radius + 1).bit_length()
+    full = np.uint64(0xFFFFFFFFFFFFFFFF)
+    first = (1 << depth) - radius - 1
+    cuts = np.concatenate(([0], np.nonzero(np.diff(cell))[0] + 1, [len(cell)]))
+    size = np.repeat(np.diff(cuts), np.diff(cuts))
+    table = None
+    for d in range(1, int(size.max(initial=1))):
+        alive = size > d
+        if table is None or 2 * alive.sum() < len(alive):
+            cell, fp, place, size = cell[alive], fp[alive], place[alive], size[alive]
+            table = np.pad(planes(fp), ((0, 0), (0, d // 64 + 66)))
+        same = np.zeros(-(-len(fp) // 64) * 64, bool)
+        same[: len(fp) - d] = cell[:-d] == cell[d:]
+        beyond = ~np.packbits(same, bitorder="little").view(np.uint64)
+        words = np.nonzero(beyond != full)[0]
+        beyond = beyond[words]
+        count = [np.full(len(words), full if first >> k & 1 else 0, np.uint64) for k in range(depth)]
+        skip, low = d // 64, np.uint64(d % 64)
+        for bit in range(BITS):
+            moved = table[bit][words + skip] >> low
+            if low:
+                moved |= table[bit][words + skip + 1] << (np.uint64(64) - low)
+            carry = table[bit][words] ^ moved
+            for k in range(depth):
+                count[k], carry = count[k] ^ carry, count[k] & carry
+            beyond |= carry
+            if bit % step == step - 1:
+                live = beyond != full
+                if not live.any():
+                    words = words[:0]
+                    break
+                if live.sum() < 0.7 * len(live):
+                    words, beyond = words[live], beyond[live]
+                    count = [c[live] for c in count]
+        if len(words):
+            near = np.unpackbits((~beyond).view(np.uint8).reshape(-1, 8), axis=1, bitorder="little")
+            w, lane = np.nonzero(near)
+            at = words[w] * 64 + lane
+            yield place[at], place[at + d]
+
+
 def link_cell(fp: np.ndarray, ids: np.ndarray, radius: int, forest: Forest) -> None:
     """Join all rows of one bounded cell that lie within the radius of each other."""
     if len(fp) < 64:  # less than one word of lanes
-        for d in range(1, len(fp)):
-            for i in np.nonzero(np.bitwise_count(fp[:-d] ^ fp[d:]) <= radius)[0]:
-                forest.join(int(ids[i]), int(ids[i + d]))
-        return
+        return link_runs(np.zeros(len(fp), np.int64), fp, ids, radius, forest)
     table = planes(fp)
     for i, hits in within(fp, table, len(fp), radius):
         mine = int(ids[i])
@@ -157,6 +204,13 @@ def link_cell(fp: np.ndarray, ids: np.ndarray, radius: int, forest: Forest) -> N
             forest.join(mine, int(ids[j]))
 
 
+def link_runs(cell: np.ndarray, fp: np.ndarray, ids: np.ndarray, radius: int, forest: Forest) -> None:
+    """Join all rows of each cell that lie within the radius of each other; a cell's rows lie together."""
+    for i, j in within_runs(cell, fp, radius):
+        for a, b in zip(ids[i].tolist(), ids[j].tolist()):
+            forest.join(a, b)
+
+
 def link_batches(radius: int):
     """mapInArrow over rows (cell, fp, id) sorted by cell: a spanning forest of the links of each cell."""
 
@@ -170,11 +224,7 @@ def link_batches(radius: int):
                 s = slice(cuts[i], cuts[i + 1])
                 link_cell(fp[s], ids[s], radius, forest)
             small = np.repeat(size < 64, size)
-            cell, fp, ids = cell[small], fp[small], ids[small]
-            for d in range(1, int(size[size < 64].max(initial=1))):
-                same = np.nonzero((cell[:-d] == cell[d:]) & (np.bitwise_count(fp[:-d] ^ fp[d:]) <= radius))[0]
-                for i in same:
-                    forest.join(int(ids[i]), int(ids[i + d]))
+            link_runs(cell[small], fp[small], ids[small], radius, forest)
 
         def out() -> pa.RecordBatch:
             a, b = forest.edges()

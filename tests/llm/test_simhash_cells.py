@@ -3,7 +3,7 @@
 import numpy as np
 
 from paramloom.llm.components import Forest
-from paramloom.llm.simhash import fingerprint, index_plan, link_cell, planes, within
+from paramloom.llm.simhash import fingerprint, index_plan, link_cell, planes, within, within_runs
 
 
 def _near(n, radius, seed):
@@ -24,6 +24,20 @@ def test_within_equals_popcount():
             assert got.get(i, set()) == set(np.nonzero(np.bitwise_count(fp ^ fp[i]) <= radius)[0].tolist())
 
 
+def test_small_cells_behind_each_other_equal_popcount():
+    rng = np.random.default_rng(5)
+    for radius in (0, 3, 9):
+        for most in (1, 2, 5, 63, 200):
+            sizes = rng.integers(1, most + 1, 120)
+            cell = np.repeat(rng.permutation(120), sizes)
+            fp = _near(len(cell), radius, most)
+            fp = fp[rng.permutation(len(fp))] & np.uint64(0xFFFF)
+            got = {(int(a), int(b)) for i, j in within_runs(cell, fp, radius) for a, b in zip(i, j)}
+            want = {(i, j) for i in range(len(cell)) for j in range(i + 1, min(i + most, len(cell))) if cell[i] == cell[j] and int(fp[i] ^ fp[j]).bit_count() <= radius}
+            assert got == want and all(a < b for a, b in got)
+    assert list(within_runs(np.zeros(0, np.int64), np.zeros(0, np.uint64), 3)) == []
+
+
 def test_cells_of_any_size_join_the_same():
     for n in (2, 10, 63, 64, 65, 300):
         fp, forest = _near(n, 3, n), Forest()
