@@ -296,7 +296,7 @@ def _elements(s, d):
     name = lambda c: F.concat(F.lit("e"), c.cast("string"))
     e = k.select((-F.col("s_suppkey")).alias("pos"), name(F.col("s_suppkey")).alias("element"), (F.col("s_nationkey") % 3).cast("long").alias("axes"), (F.col("s_nationkey") % 4).alias("level"), (F.col("s_suppkey") % 2 == 0).alias("health"))
     kind = F.when(F.col("s_suppkey") % 3 == 0, "shared").when(F.col("s_suppkey") % 3 == 1, "linear").otherwise("lifeline")
-    links = k.select(name(F.col("s_suppkey")).alias("src"), name(F.expr("s_suppkey div 2")).alias("dst"), kind.alias("kind"))
+    links = k.where("s_suppkey div 2 <> s_suppkey").select(name(F.col("s_suppkey")).alias("src"), name(F.expr("s_suppkey div 2")).alias("dst"), kind.alias("kind"))
     return e, links.join(e.select(F.col("element").alias("dst")), "dst", "left_semi").select("src", "dst", "kind")
 
 
@@ -582,3 +582,4 @@ from . import catalog_records  # noqa: E402,F401 - registers further queries her
 from . import catalog_live  # noqa: E402,F401 - registers further queries here
 from . import catalog_values  # noqa: E402,F401 - registers further queries here
 from . import catalog_sources  # noqa: E402,F401 - registers further queries here
+from . import catalog_access  # noqa: E402,F401 - registers further queries here

@@ -172,15 +172,68 @@ def binding_levels(elements: DataFrame, links: DataFrame) -> DataFrame:
     return own.join(up, "element", "left").select("element", "own", F.greatest("own", F.coalesce("up", "own")).alias("effective"))
 
 
-def resolve(needed: DataFrame, axis: DataFrame, bindings: DataFrame, configs: DataFrame, defaults: DataFrame) -> DataFrame:
-    """needed (trial, element, parameter) with value and source: axis, then binding, configuration, default, unresolved."""
+def _level(table: DataFrame, name: str, tokens: DataFrame | None) -> DataFrame:
+    """(element, parameter, name): a level's values, tokens `${key}` replaced by what tokens (key, parameter, text) has
+    for the key and the parameter, else for the key and any parameter (null); tokens without an answer give null."""
+    rows = table.select("element", "parameter", F.col("value").alias(name))
+    if tokens is None:
+        return rows
+    key = F.regexp_extract(name, r"^\$\{([^${}]+)\}$", 1)
+    is_token = F.startswith(F.col(name), F.lit("${")) & F.endswith(F.col(name), F.lit("}"))
+    own = tokens.where("parameter is not null").select(F.col("key").alias("_key"), "parameter", F.col("text").alias("_own"))
+    every = tokens.where("parameter is null").select(F.col("key").alias("_key"), F.col("text").alias("_every"))
+    out = rows.withColumn("_key", key).join(own, ["_key", "parameter"], "left").join(every, "_key", "left")
+    return out.select("element", "parameter", F.when(is_token, F.coalesce("_own", "_every")).otherwise(F.col(name)).alias(name))
+
+
+def resolve(needed: DataFrame, axis: DataFrame, bindings: DataFrame, configs: DataFrame, defaults: DataFrame, tokens: DataFrame | None = None) -> DataFrame:
+    """needed (trial, element, parameter) with value and source: axis, then binding, configuration, default, unresolved.
+
+    With tokens, a binding, configuration or default that is a token counts by what it resolves to for its parameter; one
+    that resolves to nothing lets the next level answer."""
     out = needed.join(axis.withColumnRenamed("value", "_axis"), ["trial", "element", "parameter"], "left")
     for table, name in ((bindings, "_binding"), (configs, "_config"), (defaults, "_default")):
-        out = out.join(table.select("element", "parameter", F.col("value").alias(name)), ["element", "parameter"], "left")
+        out = out.join(_level(table, name, tokens), ["element", "parameter"], "left")
     source = F.when(F.col("_axis").isNotNull(), "axis").when(F.col("_binding").isNotNull(), "binding").when(F.col("_config").isNotNull(), "config").when(F.col("_default").isNotNull(), "default").otherwise("unresolved")
     return out.select("trial", "element", "parameter", F.coalesce("_axis", "_binding", "_config", "_default").alias("value"), source.alias("source"))
 
 
+def axis_boundaries(values: DataFrame, edges: DataFrame | None = None) -> DataFrame:
+    """(axis, value) of every axis: its explicit edges (axis, value) where it has some, else its first and last value by
+    values (axis, place, value)."""
+    ends = values.groupBy("axis").agg(F.min_by("value", "place").alias("first"), F.max_by("value", "place").alias("last"))
+    ends = ends.select("axis", F.explode(F.array_distinct(F.array("first", "last"))).alias("value"))
+    if edges is None:
+        return ends
+    return ends.join(edges.select("axis").distinct(), "axis", "left_anti").unionByName(edges.select("axis", "value").distinct())
+
+
+def axis_problems(axes: DataFrame, values: DataFrame, edges: DataFrame, parameters: DataFrame, bindings: DataFrame) -> DataFrame:
+    """(axis, problem) of many axes at once: axes (axis, element, parameter), values and edges (axis, kind, value),
+    parameters (element, parameter, kind, derived), bindings (element, parameter)."""
+    problem = lambda rows, text: rows.select("axis", F.lit(text).alias("problem")).distinct()
+    target = ["element", "parameter"]
+    known = axes.join(parameters, target, "left")
+    kinds = values.join(known.select("axis", F.col("kind").alias("_kind")), "axis")
+    names = axes.groupBy("axis").count().where("count > 1")
+    targets = axes.groupBy(*target).agg(F.count_distinct("axis").alias("n")).where("n > 1")
+    found = [
+        problem(axes.join(values, "axis", "left_anti"), "no values"),
+        problem(values.groupBy("axis", "value").count().where("count > 1"), "repeated values"),
+        problem(edges.join(values.select("axis", "value"), ["axis", "value"], "left_anti"), "boundary values outside the axis"),
+        problem(names, "name of several axes"),
+        problem(axes.join(targets, target, "left_semi"), "target of several axes"),
+        problem(known.where("kind is null"), "unknown parameter"),
+        problem(known.where("derived"), "derived parameter"),
+        problem(kinds.where("kind <> _kind"), "values of another kind"),
+        problem(axes.join(bindings.select(*target), target, "left_semi"), "both axis and binding"),
+    ]
+    out = found[0]
+    for f in found[1:]:
+        out = out.unionByName(f)
+    return out
+
+
 def group_size(level: int, sizes: list[int]) -> int:
     """Trials that share an instance at a binding level."""
     return max(1, prod(sizes)) if level <= 0 else 1 if level >= len(sizes) else strides(sizes)[level - 1]

@@ -101,3 +101,27 @@ def trial_elements(elements: DataFrame, links: DataFrame, on: DataFrame | None =
 def owners_with_conflict(links: DataFrame) -> DataFrame:
     """Elements that several others use exclusively (warning W002)."""
     return links.where("kind = 'exclusive'").groupBy("dst").agg(F.count_distinct("src").alias("users")).where("users > 1")
+
+
+#: how dependencies may be
+LINK_KINDS = ("shared", "exclusive", "dedicated", "linear", "lifeline")
+
+
+def diagnostics(elements: DataFrame, links: DataFrame) -> DataFrame:
+    """(problem, element, other): needs of elements that are not declared, of themselves, of unknown kinds, needs that are
+    stated twice, and elements that several others use exclusively."""
+    row = lambda rows, text, a="src", b="dst": rows.select(F.lit(text).alias("problem"), F.col(a).alias("element"), F.col(b).alias("other"))
+    names = elements.select(F.col("element").alias("dst")).distinct()
+    conflict = links.join(owners_with_conflict(links).select("dst"), "dst", "left_semi").where("kind = 'exclusive'")
+    found = [
+        row(links.join(names, "dst", "left_anti"), "undeclared"),
+        row(links.join(names.withColumnRenamed("dst", "src"), "src", "left_anti"), "declared by none"),
+        row(links.where("src = dst"), "needs itself"),
+        row(links.where(~F.coalesce(F.col("kind").isin(*LINK_KINDS), F.lit(False))), "unsupported kind"),
+        row(links.groupBy("src", "dst").count().where("count > 1"), "stated twice"),
+        row(conflict, "exclusive use by several"),
+    ]
+    out = found[0]
+    for f in found[1:]:
+        out = out.unionByName(f)
+    return out.distinct()

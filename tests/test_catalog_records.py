@@ -8,7 +8,7 @@ import pytest
 from paramloom import catalog
 
 SF = "/root/testdata/sf0.001"
-NAMES = sorted(n for n, f in catalog.queries().items() if f.__module__ in ("paramloom.catalog_records", "paramloom.catalog_live", "paramloom.catalog_values", "paramloom.catalog_sources") or n.split("_")[0] in ("grid", "order", "sample", "domain", "binding", "plan", "trial"))
+NAMES = sorted(n for n, f in catalog.queries().items() if f.__module__ in ("paramloom.catalog_records", "paramloom.catalog_live", "paramloom.catalog_values", "paramloom.catalog_sources", "paramloom.catalog_access") or n.split("_")[0] in ("grid", "order", "sample", "domain", "binding", "plan", "trial"))
 
 
 def _value(x):
