@@ -5,13 +5,13 @@ model is fitted to how often voters fire, and fire together, over ALL documents:
 of independent voters is a product a_i * a_j, so a rank-one fit gives each voter's accuracies and what it leaves
 gives the pairs that are correlated beyond the class; those are discounted. A given label is one more voter: its
 accuracy comes from the same fit (over the labelled rows of the sample), and it abstains elsewhere. The posterior
-labels of a bounded sample of labelled and unlabelled documents outside the held-out fold then train a linear
-classifier on words and word prefixes that tell the posteriors apart; it scores every whole text. Without labels the
-path is the same, with lexicons and patterns as the only voters.
+labels of a bounded sample of labelled documents outside the held-out fold then train a linear classifier on words, word
+prefixes and how many words of a text share a prefix; it scores every whole text. Without labels the path is the same,
+with lexicons and patterns as the only voters and a sample of all documents outside the fold.
 
 Defined cases: null text is the empty text and gets the classifier's base score; documents without labels are scored
 like all others; where no voter fires the lexicons' words keep a weight of their own; rows that repeat a doc_id are
-scored each; a doc_id with contrary labels counts once with each; other columns, of whatever name, play no part; an
+scored each, and train once if their texts are equal; a doc_id with contrary labels counts once with each; other columns, of whatever name, play no part; an
 empty table gives no rows.
 """
 
@@ -26,16 +26,16 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .scratch import materialize
+from .scratch import few, materialize
 
-#: Bounds of the training sample: labelled rows (stems are mined from them as well), and other documents.
-SAMPLE_ROWS, OTHER_ROWS = 20_000, 10_000
+#: Bound of the training sample: labelled rows (stems are mined from them as well); any rows where no label is given.
+SAMPLE_ROWS = 20_000
 #: Feature slots, the most features kept, and the evidence (nats) a feature needs against chance.
 SLOTS, MOST_FEATURES, EVIDENCE = 1 << 22, 3000, 10.0
-#: the strongest stems mined from labelled rows, each a voter
-MINED_VOTERS = 40
-#: share of the class where no labels tell it
-PRIOR = 0.1
+#: the strongest stems mined from labelled rows, each a voter, and the share of the class they need among rows with them
+MINED_VOTERS, PURE = 40, 0.9
+#: share of the class where no labels tell it, and the accuracy below which pairs of voters tell too little
+PRIOR, LEAST_ACCURACY = 0.1, 0.3
 FOLDS, HELD_OUT = 5, 0
 
 LEXICONS = {
@@ -58,6 +58,8 @@ _PATTERNS = (
 _NEEDED = (("idiot", "moron", "stupid", "pathetic", "loser", "trash", "scum", "clown", "worthless", "disgusting"), ("kill ", "hurt ", "find "))
 _LETTERS = re.compile(r"[^\W\d_]+")
 PREFIXES = (3, 4, 5, 6, 7, 8)
+#: how many different words of a prefix make a feature of their own: one may be chance, three are a habit
+LEVELS = (2, 3, 5)
 
 
 def slots(word: str) -> list[int]:
@@ -67,22 +69,30 @@ def slots(word: str) -> list[int]:
     return [x & (SLOTS - 1) for x in found]
 
 
+def at_level(slot, level: int):
+    """The slot (or array of slots) of `level` different words of a text that share a slot."""
+    return (slot * 2654435761 + level * 2654435769 & 0xFFFFFFFF) >> 32 - SLOTS.bit_length() + 1
+
+
 def remainder() -> Column:
     """crc32 of doc_id as text, modulo the folds."""
     return F.pmod(F.crc32(F.coalesce(F.col("doc_id").cast("string"), F.lit("")).cast("binary")), F.lit(FOLDS))
 
 
 class _Words(dict):
-    """Word -> its slots that a table knows, remembered for frequent words."""
+    """Word -> its slots that a table knows, and those it knows at a level; remembered for frequent words."""
 
     def __init__(self, table: Container[int]) -> None:
         super().__init__()
         self.table = table
 
-    def look(self, word: str) -> tuple[int, ...]:
-        return tuple(s for s in slots(word) if s in self.table)
+    def look(self, word: str) -> tuple[tuple[int, ...], tuple[int, ...]] | None:
+        own = slots(word)
+        plain = tuple(s for s in own if s in self.table)
+        counted = tuple(s for s in own if any(at_level(s, k) in self.table for k in LEVELS))
+        return (plain, counted) if plain or counted else None
 
-    def __missing__(self, word: str) -> tuple[int, ...]:
+    def __missing__(self, word: str):
         found = self.look(word)
         if len(self) > 500_000:
             self.clear()
@@ -92,21 +102,36 @@ class _Words(dict):
     def of(self, low: str) -> set[int]:
         """What the words of a lower-case text have in the table."""
         hits: set[int] = set()
-        for x in filter(None, map(self.__getitem__, set(_LETTERS.findall(low)))):
-            hits.update(x)
+        times: dict[int, int] = {}
+        for plain, counted in filter(None, map(self.__getitem__, set(_LETTERS.findall(low)))):
+            hits.update(plain)
+            for s in counted:
+                times[s] = times.get(s, 0) + 1
+        for s, n in times.items():
+            hits.update(x for k in LEVELS if n >= k and (x := at_level(s, k)) in self.table)
         return hits
 
 
 class _Votes(_Words):
-    """Word -> the voters it makes fire: its lexicon, and the mined stems it has (slot -> voter)."""
+    """Votes of a text: its lexicons (but for quiet words), patterns, and the mined stems it has (slot -> voter)."""
 
-    def look(self, word: str) -> tuple[int, ...]:
-        found = tuple(self.table[s] for s in super(_Votes, self).look(word))
-        return found if (k := _OF_WORD.get(word)) is None else (*found, k)
+    def __init__(self, table: dict[int, int], quiet: frozenset[str] = frozenset()) -> None:
+        super().__init__(table)
+        self.quiet = quiet
+
+    def look(self, word: str):
+        found = super().look(word)
+        k = None if word in self.quiet else _OF_WORD.get(word)
+        if k is None:
+            return found
+        plain, counted = found or ((), ())
+        return (*plain, -1 - k), counted  # below zero: a lexicon
 
     def mask(self, low: str) -> int:
         """Bit mask of the voters that fire on a lower-case text."""
-        mask = sum(1 << k for k in self.of(low))
+        mask = 0
+        for s in self.of(low):
+            mask |= 1 << (-1 - s if s < 0 else self.table[s])
         for k, pattern in enumerate(_PATTERNS):
             if "!!!" in low if k == 2 else any(map(low.__contains__, _NEEDED[k])):
                 if pattern.search(low):
@@ -114,24 +139,27 @@ class _Votes(_Words):
         return mask
 
 
-def _mine(sample: DataFrame, weigh: Callable[[str, bool | None], float]) -> tuple[list[int], float, float]:
-    """Slots with clear evidence for the class, strongest first, and the rows' weights for and against it."""
+def _mine(sample: DataFrame, weigh: Callable[[str, bool | None], float]) -> tuple[list[tuple[int, float, float]], float, float, frozenset[str]]:
+    """Slots with clear evidence for the class, strongest first, with the weights of rows for and against it that have
+    them; the weights of all rows; and the lexicons' words that stand against it more than for it (in other languages
+    such words mean something else)."""
 
     def count(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         known: dict[str, list[int]] = {}
         sums, n = np.zeros((2, SLOTS), np.float32), [0.0, 0.0]
         for b in batches:
             for text, toxic in zip(b.column(0).to_pylist(), b.column(1).to_pylist()):
-                own: set[int] = set()
+                own: list[int] = []
                 low = text.lower()
                 for w in set(_LETTERS.findall(low)):
                     if w not in known:
                         if len(known) > 300_000:
                             known.clear()
                         known[w] = slots(w)
-                    own.update(known[w])
+                    own += known[w]
                 share = weigh(low, toxic)
-                at = np.fromiter(own, np.int64, len(own))
+                at, times = np.unique(np.array(own, np.int64), return_counts=True)
+                at = np.unique(np.concatenate([at, *[at_level(at[times >= k], k) for k in LEVELS]]))
                 for side, part in ((1, share), (0, 1 - share)):
                     if part:
                         sums[side, at] += part
@@ -147,14 +175,16 @@ def _mine(sample: DataFrame, weigh: Callable[[str, bool | None], float]) -> tupl
     whole = sums.where("slot = -1").first()
     bad, good = (float(whole["bad"]), float(whole["good"])) if whole else (0.0, 0.0)
     if bad < 1e-6 or good < 1e-6:
-        return [], bad, good
+        return [], bad, good, frozenset()
     base = bad / (bad + good)
     n, share = F.col("bad") + F.col("good"), F.col("bad") / (F.col("bad") + F.col("good"))
     some = lambda x: F.when(x > 1e-9, x * F.log(F.greatest(x, F.lit(1e-9)))).otherwise(0.0)
     gain = n * (some(share) + some(1 - share) - share * float(np.log(base)) - (1 - share) * float(np.log(1 - base)))
     rows = sums.where((F.col("slot") >= 0) & (F.col("bad") >= 2.5)).withColumn("gain", gain).where((share > min(0.5, 3 * base)) & (F.col("gain") > EVIDENCE))
     rows = rows.orderBy(F.desc("gain"), "slot").limit(MOST_FEATURES).collect()  # bounded
-    return [r["slot"] for r in rows], bad, good
+    words = {slots(w)[0]: w for w in _OF_WORD}
+    seen = sums.where(F.col("slot").isin(list(words))).collect()  # a row a word of the lexicons at most
+    return [(r["slot"], r["bad"], r["good"]) for r in rows], bad, good, frozenset(words[r["slot"]] for r in seen if r["good"] > r["bad"])
 
 
 class LabelModel:
@@ -190,6 +220,7 @@ class LabelModel:
         spread = a * scale
         self.fires_bad = np.clip(mean + np.sqrt((1 - prior) / prior) * spread, 1e-6, 1 - 1e-6)
         self.fires_good = np.clip(mean - np.sqrt(prior / (1 - prior)) * spread, 1e-6, 1 - 1e-6)
+        self.mean, self.scale = mean, scale
         # a voter's say is shared with those that merely repeat it
         self.say = np.where(fired, 1 / (1 + self.correlation.sum(1)), 0)
         self.accuracy = a
@@ -199,13 +230,23 @@ class LabelModel:
         return np.stack([(masks >> np.uint64(k) & np.uint64(1)).astype(float) for k in range(len(self.say))], 1)
 
     def add_labels(self, masks: np.ndarray, toxic: np.ndarray) -> None:
-        """The given labels of some rows as a voter: its accuracy is what makes its correlations products a * a_j."""
+        """The given labels of some rows as a voter: its accuracy is what makes its correlations products a * a_j.
+
+        Voters that hardly fire beside others (those of another language, say) have no pairs that tell their accuracy;
+        theirs follows from the pair with this voter. How often any voter fires outside the class is not put below what the
+        rows labelled so show."""
         bits, mean = self.bits(masks), float(toxic.mean())
         scale = np.sqrt(max(mean * (1 - mean), 1e-12))
         spread = bits.std(0)
         rho = np.where(spread > 0, ((bits - bits.mean(0)) * (toxic - mean)[:, None]).mean(0) / np.maximum(spread * scale, 1e-9), 0)
         weight = self.say * self.accuracy
         self.gold_accuracy = float(np.clip((weight * rho).sum() / max((weight * self.accuracy).sum(), 1e-9), 0.0, 0.98))
+        weak = (self.accuracy < LEAST_ACCURACY) & (spread > 0)
+        own = np.where(weak, np.clip(rho / max(self.gold_accuracy, 1e-3), 0, 1), self.accuracy)
+        least = (bits[toxic < 0.5].sum(0) + 0.5) / ((toxic < 0.5).sum() + 1)
+        inside = np.clip(self.mean + np.sqrt((1 - self.prior) / self.prior) * own * self.scale, 1e-6, 1 - 1e-6)
+        outside = np.clip(self.mean - np.sqrt(self.prior / (1 - self.prior)) * own * self.scale, least, 1 - 1e-6)
+        self.accuracy, self.fires_bad, self.fires_good = own, np.maximum(inside, outside), outside
         bad = np.clip(mean + np.sqrt((1 - self.prior) / self.prior) * self.gold_accuracy * scale, 1e-3, 1 - 1e-3)
         good = np.clip(mean - np.sqrt(self.prior / (1 - self.prior)) * self.gold_accuracy * scale, 1e-3, 1 - 1e-3)
         self.gold = (float(np.log((1 - bad) / (1 - good))), float(np.log(bad / good)))
@@ -236,22 +277,29 @@ def train_linear(rows: np.ndarray, columns: np.ndarray, soft: np.ndarray, width:
     return bias, w
 
 
-def fit(docs: DataFrame, labels: DataFrame, sample_rows: int = SAMPLE_ROWS, other_rows: int = OTHER_ROWS) -> tuple[float, dict[int, float]]:
+def fit(docs: DataFrame, labels: DataFrame, sample_rows: int = SAMPLE_ROWS) -> tuple[float, dict[int, float]]:
     """Bias and slot weights of the classifier. labels: (doc_id, toxic); only rows outside the held-out fold count."""
     texts = docs.select(F.col("doc_id").cast("long"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"))
     known = labels.select(F.col("doc_id").cast("long"), (F.col("toxic") > 0).alias("toxic")).where(F.col("toxic").isNotNull() & (remainder() != HELD_OUT))
     known = materialize(known.orderBy(F.xxhash64("doc_id"), "doc_id", "toxic").limit(sample_rows), "known")  # bounded by sample_rows
-    labelled = texts.join(F.broadcast(known), "doc_id").select("doc_id", "text", "toxic")
-    others = texts.where(remainder() != HELD_OUT).join(F.broadcast(known.select("doc_id")), "doc_id", "left_anti").select("doc_id").orderBy(F.xxhash64("doc_id", F.lit(7)), "doc_id").limit(other_rows)
-    others = materialize(others.distinct(), "others")  # bounded by other_rows
-    others = texts.join(F.broadcast(others), "doc_id", "left_semi").dropDuplicates(["doc_id"]).select("doc_id", "text", F.lit(None).cast("boolean").alias("toxic"))
-    sample = materialize(labelled.unionByName(others).repartition(24), "sample")
-    stems, bad, good = _mine(sample.where("toxic is not null"), lambda _, toxic: float(toxic))
-    mined = {s: len(LEXICONS) + len(_PATTERNS) + i for i, s in enumerate(stems[:MINED_VOTERS])}
+    if few(known, 0):
+        rows = texts.where(remainder() != HELD_OUT).withColumn("toxic", F.lit(None).cast("boolean"))
+    else:
+        rows = texts.join(F.broadcast(known), "doc_id")
+    # one row of a doc_id, text and label, sample_rows of them, whatever is repeated how often
+    keyed = rows.withColumns({"_text": F.xxhash64("text"), "_toxic": F.coalesce(F.col("toxic").cast("int"), F.lit(-1)), "_id": F.coalesce("doc_id", F.lit(0))})
+    names = ["_id", "_text", "_toxic"]
+    drawn = materialize(keyed.select(*names).distinct().orderBy(F.xxhash64("_id", "_text"), *names).limit(sample_rows), "drawn")
+    sample = keyed.join(F.broadcast(drawn), names, "left_semi").dropDuplicates(names).select("doc_id", "text", "toxic")
+    sample = materialize(sample.repartition(24), "sample")
+    stems, bad, good, quiet = _mine(sample.where("toxic is not null"), lambda _, toxic: float(toxic))
+    # of stems that fire on equally many rows of both sides (prefixes of one word) one is a voter
+    alone = list({(b, g): s for s, b, g in reversed(stems) if b >= PURE * (b + g)}.values())[::-1]
+    mined = {s: len(LEXICONS) + len(_PATTERNS) + i for i, s in enumerate(alone[:MINED_VOTERS])}
     count = len(LEXICONS) + len(_PATTERNS) + len(mined)
 
     def moments(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        words, sums, n = _Votes(mined), np.zeros((count, count), np.int64), 0
+        words, sums, n = _Votes(mined, quiet), np.zeros((count, count), np.int64), 0
         for b in batches:
             masks = np.array([words.mask(t.as_py().lower()) for t in b.column(0)], np.uint64)
             n += len(masks)
@@ -271,7 +319,7 @@ def fit(docs: DataFrame, labels: DataFrame, sample_rows: int = SAMPLE_ROWS, othe
     model = LabelModel(joint, n, float(np.clip(bad / (bad + good) if bad and good else PRIOR, 0.01, 0.5)))
 
     def told(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        words = _Votes(mined)
+        words = _Votes(mined, quiet)
         for b in batches:
             masks = np.array([words.mask(t.as_py().lower()) for t in b.column(0)], np.uint64)
             yield pa.RecordBatch.from_arrays([pa.array(masks.view(np.int64)), b.column(1)], ["mask", "toxic"])
@@ -281,7 +329,7 @@ def fit(docs: DataFrame, labels: DataFrame, sample_rows: int = SAMPLE_ROWS, othe
         model.add_labels(got.column("mask").to_numpy().view(np.uint64), got.column("toxic").to_numpy(zero_copy_only=False).astype(float))
 
     def weigh() -> Callable[[str, bool | None], float]:
-        words = _Votes(mined)
+        words = _Votes(mined, quiet)
         known: dict[tuple, float] = {}  # as many as there are different sets of votes
 
         def of(low: str, toxic: bool | None) -> float:
@@ -292,9 +340,9 @@ def fit(docs: DataFrame, labels: DataFrame, sample_rows: int = SAMPLE_ROWS, othe
 
         return of
 
-    found, _, _ = _mine(sample, weigh())
+    found = _mine(sample, weigh())[0]
     lexicon_slots = {slots(w)[0] for w in _OF_WORD}
-    features = {s: i for i, s in enumerate(dict.fromkeys([*found, *sorted(lexicon_slots)]))}
+    features = {s: i for i, s in enumerate(dict.fromkeys([*(f[0] for f in found), *sorted(lexicon_slots)]))}
 
     def vectors(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         words, share = _Words(features), weigh()
@@ -304,7 +352,7 @@ def fit(docs: DataFrame, labels: DataFrame, sample_rows: int = SAMPLE_ROWS, othe
             soft = [share(t, x) for t, x in zip(lows, b.column(1).to_pylist())]
             yield pa.RecordBatch.from_arrays([pa.array(hits, pa.list_(pa.int32())), pa.array(soft, pa.float64())], ["hits", "soft"])
 
-    # at most sample_rows + other_rows short lists; in an order of their own, so that reruns agree
+    # at most sample_rows short lists; in an order of their own, so that reruns agree
     got = sorted((tuple(r["hits"]), r["soft"]) for r in sample.select("text", "toxic").mapInArrow(vectors, "hits array<int>, soft double").collect())
     weights = np.zeros(len(features))
     bias = float(np.log(model.prior / (1 - model.prior)))
