@@ -286,11 +286,19 @@ def dedup(docs: DataFrame, width: int = 5) -> DataFrame:
     """The rows of docs that stay: of each group the row with the smallest doc_id (of repeated rows, one).
 
     Groups are the components of an exact Jaccard similarity of 0.8 or more of five-word shingles, not of SimHash
-    distances. Rows without a doc_id stay.
+    distances. Rows without a doc_id stay. Rows of one doc_id with different texts are documents of their own.
     """
-    kept = near_copies(docs, width).where("doc_id = component_id").select("doc_id").distinct()
-    first = docs.where("doc_id is not null").dropDuplicates(["doc_id"])
-    return first.join(kept, "doc_id", "left_semi").select(*docs.columns).unionByName(docs.where("doc_id is null"))
+    named, none = docs.where("doc_id is not null"), docs.where("doc_id is null")
+    repeated = named.groupBy("doc_id").agg(F.count(F.lit(1)).alias("_n")).where("_n > 1")
+    if few(repeated, 0):
+        kept = near_copies(named, width).where("doc_id = component_id").select("doc_id")
+        return named.join(kept, "doc_id", "left_semi").select(*docs.columns).unionByName(none)
+    # numbers of their own, written so that they stay the same; the row that stays is still that of the smallest doc_id
+    numbered = materialize(named.withColumn("_key", F.monotonically_increasing_id()), "numbered")
+    groups = near_copies(numbered.select(F.col("_key").alias("doc_id"), "text"), width).withColumnRenamed("doc_id", "_key")
+    order = F.struct("doc_id", F.xxhash64("text"), "_key")
+    first = groups.join(numbered, "_key").groupBy("component_id").agg(F.min(order)["_key"].alias("_key"))
+    return numbered.join(first, "_key", "left_semi").select(*docs.columns).unionByName(none)
 
 
 def op10_simhash_near_dedup(spark, sf_dir: str) -> DataFrame:
