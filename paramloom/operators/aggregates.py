@@ -48,20 +48,46 @@ def aggregate(results: DataFrame, a: Aggregation, metrics: DataFrame | None = No
     return out
 
 
+BINS = 1024
+
+
 def percentile(rows: DataFrame, keys: list[str], value: str, p: float) -> DataFrame:
     """The element at index floor(p * (n - 1)) of the sorted values; no interpolation.
 
-    Values are counted first (map-side), so a group is ordered by its distinct values, not by its rows.
+    Values are counted first (map-side). Each group's range is then cut into BINS: the bin of the index follows from the
+    bins' counts, and only that bin's distinct values are put in order. So a window sees a group's BINS counts, or the
+    values of one bin, never all values of a group. NaN comes last, as in Spark's order, in a bin of its own.
     """
     p = min(1.0, max(0.0, p))
     counts = rows.groupBy(*keys, value).agg(F.count(F.lit(1)).alias("_n"))
+    number = ~F.isnan(value) & (F.abs(F.col(value)) != float("inf"))
+    ends = counts.groupBy(*keys).agg(F.min(F.when(number, F.col(value))).alias("_low"), F.max(F.when(number, F.col(value))).alias("_high"), F.sum("_n").alias("_all"))
+    ends = ends.withColumn("_at", F.floor(F.lit(p) * (F.col("_all") - 1)))
+    # halves first: the span of two doubles can be beyond the largest one
+    share = (F.col(value) / 2 - F.col("_low") / 2) / F.nullif(F.col("_high") / 2 - F.col("_low") / 2, F.lit(0.0))
+    inner = F.coalesce(F.floor(share * BINS), F.lit(0)).cast("int")
+    bin_ = F.when(F.isnan(value), BINS + 1).when(F.col(value) == float("inf"), BINS).when(F.col(value) == float("-inf"), -1).otherwise(F.least(inner, F.lit(BINS - 1)))
+    dealt = _joined(counts, ends, keys).withColumn("_bin", bin_)
     part = Window.partitionBy(*keys) if keys else Window.partitionBy(F.lit(0))
-    upto = F.sum("_n").over(part.orderBy(value).rowsBetween(Window.unboundedPreceding, 0))
-    at = F.floor(F.lit(p) * (F.sum("_n").over(part) - 1))
-    hit = counts.withColumns({"_upto": upto, "_at": at}).where((F.col("_upto") > F.col("_at")) & (F.col("_upto") - F.col("_n") <= F.col("_at")))
+    upto = F.sum("_n").over(part.orderBy("_bin").rowsBetween(Window.unboundedPreceding, 0))
+    bins = dealt.groupBy(*keys, "_bin", "_at").agg(F.sum("_n").alias("_n")).withColumn("_upto", upto)
+    bins = bins.where((F.col("_upto") > F.col("_at")) & (F.col("_upto") - F.col("_n") <= F.col("_at"))).select(*keys, "_bin", (F.col("_upto") - F.col("_n")).alias("_before"))
+    some = _joined(dealt, bins.withColumnRenamed("_bin", "_wanted"), keys).where(F.col("_bin") == F.col("_wanted"))
+    upto = F.col("_before") + F.sum("_n").over(part.orderBy(value).rowsBetween(Window.unboundedPreceding, 0))
+    hit = some.withColumn("_upto", upto).where((F.col("_upto") > F.col("_at")) & (F.col("_upto") - F.col("_n") <= F.col("_at")))
     return hit.select(*keys, F.col(value).alias("value"))
 
 
+def _joined(rows: DataFrame, per_group: DataFrame, keys: list[str]) -> DataFrame:
+    """rows with their group's row (null keys are one group); without keys per_group is a single row."""
+    if not keys:
+        return rows.crossJoin(per_group)
+    names = {k: f"_g{i}" for i, k in enumerate(keys)}
+    other = per_group.withColumnsRenamed(names)
+    same = [F.col(k).eqNullSafe(F.col(g)) for k, g in names.items()]
+    return rows.join(other, same).drop(*names.values())
+
+
 def summary(results: DataFrame, *keys: str) -> DataFrame:
     """Counts by outcome per execution."""
     is_ = lambda s: F.count_if(F.col("status") == s).alias(s)
