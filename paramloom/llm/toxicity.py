@@ -19,7 +19,7 @@ from __future__ import annotations
 
 import re
 import zlib
-from collections.abc import Callable, Container, Iterable, Iterator
+from collections.abc import Callable, Collection, Iterable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -70,8 +70,8 @@ def slots(word: str) -> list[int]:
 
 
 def at_level(slot, level: int):
-    """The slot (or array of slots) of `level` different words of a text that share a slot."""
-    return (slot * 2654435761 + level * 2654435769 & 0xFFFFFFFF) >> 32 - SLOTS.bit_length() + 1
+    """The slot (or array of slots) of `level` different words of a text that share a slot: behind all plain ones."""
+    return slot + SLOTS * (1 + LEVELS.index(level))
 
 
 def remainder() -> Column:
@@ -82,14 +82,15 @@ def remainder() -> Column:
 class _Words(dict):
     """Word -> its slots that a table knows, and those it knows at a level; remembered for frequent words."""
 
-    def __init__(self, table: Container[int]) -> None:
+    def __init__(self, table: Collection[int]) -> None:
         super().__init__()
         self.table = table
+        self.counted = {s % SLOTS for s in table if s >= SLOTS}
 
     def look(self, word: str) -> tuple[tuple[int, ...], tuple[int, ...]] | None:
         own = slots(word)
-        plain = tuple(s for s in own if s in self.table)
-        counted = tuple(s for s in own if any(at_level(s, k) in self.table for k in LEVELS))
+        plain = tuple([s for s in own if s in self.table])
+        counted = tuple([s for s in own if s in self.counted]) if self.counted else ()
         return (plain, counted) if plain or counted else None
 
     def __missing__(self, word: str):
@@ -146,7 +147,7 @@ def _mine(sample: DataFrame, weigh: Callable[[str, bool | None], float]) -> tupl
 
     def count(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         known: dict[str, list[int]] = {}
-        sums, n = np.zeros((2, SLOTS), np.float32), [0.0, 0.0]
+        sums, n = np.zeros((2, SLOTS * (1 + len(LEVELS))), np.float32), [0.0, 0.0]
         for b in batches:
             for text, toxic in zip(b.column(0).to_pylist(), b.column(1).to_pylist()):
                 own: list[int] = []
