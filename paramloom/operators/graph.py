@@ -211,50 +211,97 @@ def _least_ranks(deep: DataFrame, links: DataFrame, last: int, up: bool) -> Data
     return done
 
 
-def reaches(edges: DataFrame, pairs: DataFrame, least: int = 1) -> DataFrame:
-    """The distinct pairs (src, dst) with a path of `least` edges or more from src to dst (at most 2 can be asked for).
+#: rows up to which a table is broadcast
+SMALL = 500_000
 
-    No closure: a pair's search goes forward from src, and is cut wherever labels show that dst cannot be reached. What a
-    node reaches contains what its successors reach, so the least of random ranks over it never rises along a path (nor
-    does the least over its ancestors, backwards), and depth always rises. A pair that is found leaves the search."""
-    if least not in (1, 2):
-        raise ValueError("least is 1 or 2")
-    ends = edges.select(F.explode(F.array("src", "dst")).alias("node")).distinct()
-    deep = written(depths(ends, edges), "deep")
+
+def _few(table: DataFrame) -> DataFrame:
+    return F.broadcast(table) if table.limit(SMALL + 1).count() <= SMALL else table
+
+
+def _marks(edges: DataFrame) -> tuple[DataFrame, list[str]]:
+    """(node, depth, low0.., uplow0..) of all nodes, written; the names of the first ranks."""
+    deep = written(depths(edges.select(F.explode(F.array("src", "dst")).alias("node")).distinct(), edges), "deep")
     last = deep.agg(F.max("depth")).first()[0]
-    pairs = pairs.select("src", "dst").distinct()
-    if last is None:
-        return pairs.where("false")
     depth = lambda end: deep.select(F.col("node").alias(end), F.col("depth").alias(f"{end}_depth"))
-    links = written(edges.select("src", "dst").distinct().join(depth("src"), "src").join(depth("dst"), "dst"), "links")
+    links = written(edges.join(depth("src"), "src").join(depth("dst"), "dst"), "links")
     down, up = _least_ranks(deep, links, last, False), _least_ranks(deep, links, last, True)
     names = [f"low{k}" for k in range(LABELS)]
     marks = written(deep.join(down, "node").join(up.select("node", *[F.col(n).alias(f"up{n}") for n in names]), "node"), "marks")
-    mark = lambda end: marks.select(F.col("node").alias(end), *[F.col(c).alias(f"{end}_{c}") for c in marks.columns if c != "node"])
-    can = reduce(lambda a, b: a & b, [(F.col(f"at_{n}") <= F.col(f"dst_{n}")) & (F.col(f"at_up{n}") >= F.col(f"dst_up{n}")) for n in names], F.col("at_depth") < F.col("dst_depth"))
-    open_ = written(pairs.join(mark("dst"), "dst").join(deep.select(F.col("node").alias("src"), F.col("depth").alias("_d")), "src").where(F.col("dst_depth") - F.col("_d") >= least).drop("_d"), "pairs")
-    front = open_.withColumn("at", F.col("src"))
-    found, step, old = None, links.select(F.col("src").alias("at"), F.col("dst").alias("next")), []
-    for k in range(1, last + 1):
-        further = front.join(step, "at").drop("at").withColumnRenamed("next", "at")
-        further = written(further.distinct(), "front")
-        old.append(further)
-        if not further.limit(1).count():
+    forget(deep, links, down, up)
+    return marks, names
+
+
+def reaches(edges: DataFrame, pairs: DataFrame, least: int = 1) -> DataFrame:
+    """The distinct pairs (src, dst) with a path of `least` edges or more from src to dst (at most 2 can be asked for).
+
+    No closure: a row (src, dst, lo, hi) asks whether lo reaches hi. It is looked up among the edges, which expands nothing;
+    if that fails, one side goes on by one edge: lo forward or hi backward, whichever has fewer edges. Between two ends
+    of a path lie inner nodes only (with edges in and out), so only edges from and to those are followed, and only while
+    the depth of an inner node is left between lo and hi. Where inner nodes lead to inner nodes, rows are cut by labels as
+    well: what a node reaches contains what its successors reach, so the least of random ranks over it never rises along a
+    path (nor does the least over its ancestors, backwards). A pair that is found leaves the search."""
+    if least not in (1, 2):
+        raise ValueError("least is 1 or 2")
+    return _reaches(written(edges.select("src", "dst").distinct(), "edges"), pairs.select("src", "dst").distinct(), least)
+
+
+def _reaches(edges: DataFrame, pairs: DataFrame, least: int) -> DataFrame:
+    """reaches() of distinct edges in a table and distinct pairs."""
+    inner = written(edges.select(F.col("dst").alias("node")).distinct().join(edges.select(F.col("src").alias("node")).distinct(), "node", "left_semi"), "inner")
+    at = lambda nodes, end: nodes.withColumnRenamed("node", end)
+    some = _few(inner)
+    into = written(edges.join(at(some, "dst"), "dst", "left_semi").select("src", "dst"), "into")
+    out = written(edges.join(at(some, "src"), "src", "left_semi").select("src", "dst"), "out")
+    core = written(into.join(at(some, "src"), "src", "left_semi").select("src", "dst"), "core")
+    chained = core.limit(1).count() > 0
+    deep = written(depths(inner, core), "deep") if chained else inner.withColumn("depth", F.lit(0))
+    last = deep.agg(F.max("depth")).first()[0] or 0
+    marks, names = _marks(edges) if chained else (None, [])
+    beyond = (F.lit(-1), F.lit(last + 1))
+    fan = lambda links, end, n: _few(written(links.groupBy(end).agg(F.count(F.lit(1)).alias(n)), n))
+    ahead, behind = fan(into, "src", "ahead"), fan(out, "dst", "behind")
+    depth = lambda end: deep.select(F.col("node").alias(end), F.col("depth").alias(f"{end}_depth"))
+    deeper = lambda links, end: links.join(_few(depth(end)), end) if chained else links.withColumn(f"{end}_depth", F.lit(0))
+    forward = deeper(into, "dst").select(F.lit(True).alias("_f"), F.col("src").alias("_key"), F.col("dst").alias("_via"), F.col("dst_depth").alias("_d"))
+    backward = deeper(out, "src").select(F.lit(False).alias("_f"), F.col("dst").alias("_key"), F.col("src").alias("_via"), F.col("src_depth").alias("_d"))
+    steps = forward.unionByName(backward)
+    links = edges.select(F.col("src").alias("lo"), F.col("dst").alias("hi"))
+    rows = pairs.select("src", "dst", F.col("src").alias("lo"), F.col("dst").alias("hi"))
+    found = [written(pairs.join(edges, ["src", "dst"], "left_semi"), "found")] if least == 1 else []
+    if found:
+        rows = rows.join(found[0], ["src", "dst"], "left_anti")
+    # depths of ends that are no inner nodes: before the first and after the last
+    for end, other in zip(("lo", "hi"), beyond):
+        rows = rows.join(_few(depth(end)), end, "left").withColumn(f"{end}_depth", F.coalesce(f"{end}_depth", other)) if chained else rows.withColumn(f"{end}_depth", F.lit(None).cast("int"))
+    if not chained:  # an inner end has no inner node beside it and falls out by its fan
+        rows = rows.withColumn("lo_depth", beyond[0]).withColumn("hi_depth", beyond[1])
+    for k in range(last + 1):
+        # a node between lo and hi is missing where either has no inner neighbour on that side
+        rows = rows.join(behind.select(F.col("dst").alias("hi"), "behind"), "hi").join(ahead.select(F.col("src").alias("lo"), "ahead"), "lo")
+        rows = rows.withColumn("_f", F.col("ahead") <= F.col("behind")).withColumn("_key", F.when(F.col("_f"), F.col("lo")).otherwise(F.col("hi")))
+        more = rows.join(steps, ["_f", "_key"]).where((F.col("_d") > F.col("lo_depth")) & (F.col("_d") < F.col("hi_depth")))
+        side = lambda end, here, value: F.when(F.col("_f") == F.lit(here), F.col(value)).otherwise(F.col(end)).alias(end)
+        more = more.select("src", "dst", side("lo", True, "_via"), side("hi", False, "_via"), side("lo_depth", True, "_d"), side("hi_depth", False, "_d"))
+        if k < last:
+            more = written(more.distinct(), "front")
+        hits = written(more.join(links, ["lo", "hi"], "left_semi").select("src", "dst").distinct(), "found")
+        found.append(hits)
+        if k == last:
+            break
+        rows = more.where("hi_depth - lo_depth > 1").join(hits, ["src", "dst"], "left_anti")
+        low, high = [marks.select(F.col("node").alias(end), *[F.col(c).alias(f"{end}_{c}") for c in marks.columns if c != "node"]).drop(f"{end}_depth") for end in ("lo", "hi")]
+        can = reduce(lambda a, b: a & b, [(F.col(f"lo_{n}") <= F.col(f"hi_{n}")) & (F.col(f"lo_up{n}") >= F.col(f"hi_up{n}")) for n in names])
+        rows = written(rows.join(low, "lo").join(high, "hi").where(can).select("src", "dst", "lo", "hi", "lo_depth", "hi_depth"), "rows")
+        if not rows.limit(1).count():
             break
-        hits = further.where("at = dst").select("src", "dst").distinct()
-        if k >= least:
-            hits = written(hits if found is None else found.unionByName(hits), "found")
-            found = hits
-            further = further.join(hits, ["src", "dst"], "left_anti")
-        front = further.where("at <> dst").join(mark("at"), "at").where(can).drop(*[c for c in mark("at").columns if c != "at"])
-    forget(deep, links, down, up, marks)
-    return pairs.where("false") if found is None else found
+    return reduce(DataFrame.unionByName, found).distinct()
 
 
 def reduction(edges: DataFrame) -> DataFrame:
     """Edges that no other path implies. Only edges that span two waves or more can be implied; those are searched for."""
-    edges = edges.select("src", "dst").distinct()
-    return edges.join(reaches(edges, edges, 2), ["src", "dst"], "left_anti")
+    edges = written(edges.select("src", "dst").distinct(), "edges")
+    return edges.join(_reaches(edges, edges, 2), ["src", "dst"], "left_anti")
 
 
 def statistics(nodes: DataFrame, edges: DataFrame) -> DataFrame:
