@@ -42,8 +42,8 @@ def _streamed(journal, name, make, mode="update"):
     "SELECT execution_id, step_id AS trial, CASE WHEN bool_or(kind = 'step_failed') THEN 'failed' ELSE 'completed' END AS status, min(ts) FILTER (kind = 'execution_started') AS started_at, max(ts) FILTER (kind = 'step_skipped') AS completed_at, arg_max(value, sequence) FILTER (kind = 'step_completed') AS last_value FROM journal GROUP BY 1, 2 HAVING bool_or(kind = 'step_skipped')",
 )
 def live_trial_synthesis(s, d):
-    table = _streamed(_sessions(s, d), "trials", live.trials)
-    got = table.read(["execution_id", "trial"])
+    table = _streamed(_sessions(s, d), "trials", live.trial_parts)
+    got = live.trial_results(table.read(["execution_id", "trial", "metric"]))
     return got.select("execution_id", "trial", "status", F.col("started_at").cast("timestamp_ntz"), F.col("completed_at").cast("timestamp_ntz"), F.col("metrics")["value"].alias("last_value"))
 
 

@@ -4,6 +4,8 @@
 * Trial synthesis is keyed state by execution and trial (start, end, failure, last write of each metric), put out whenever
   it changes once the trial has ended; with a grace time, an event-time timer puts it out for the last time and drops the
   state.
+  For journals of many trials trial_parts() keeps the same by trial and metric in built-in aggregates; trial_results()
+  puts the parts together when the table is read.
 * A subscription is keyed state by execution: the last sequence that was given out. It starts from now (or from the
   sequences it is handed), gives events in order and once, and if more than `buffer` events of an execution are waiting,
   drops the oldest and says how many, as a row of its own.
@@ -99,6 +101,26 @@ def trials(events: DataFrame, grace: str | None = None, delay: str = "0 seconds"
     return keyed.withWatermark("ts", delay).groupBy("execution_id", "trial").transformWithStateInPandas(_Trial(grace_ms), TRIALS, "Update", "EventTime")
 
 
+def trial_parts(events: DataFrame) -> DataFrame:
+    """A stream of what is known of each trial by metric (null: events without one), from built-in aggregates: state is one
+    row an execution, trial and metric, and nothing of a trial goes through Python. trial_results() puts the last row of
+    each part together."""
+    at = lambda kind, column: F.when(F.col("kind") == kind, F.col(column))
+    write = F.when(F.col("metric").isNotNull(), F.struct("sequence", "value"))
+    return events.groupBy("execution_id", "trial", "metric").agg(
+        F.min(at("trial_start", "ts")).alias("started_at"), F.max(at("trial_end", "ts")).alias("completed_at"), F.coalesce(F.bool_or(F.col("kind") == "step_failed"), F.lit(False)).alias("failed"), F.max(write)["value"].alias("value")
+    )
+
+
+def trial_results(parts: DataFrame) -> DataFrame:
+    """Ended trials, as synthesize() gives them, from the last row of each part: a table of trial_parts() read by
+    execution_id, trial and metric. A null trial is a key like others."""
+    entry = F.when(F.col("metric").isNotNull(), F.struct("metric", "value"))
+    whole = parts.groupBy("execution_id", "trial").agg(F.min("started_at").alias("started_at"), F.max("completed_at").alias("completed_at"), F.bool_or("failed").alias("failed"), F.array_sort(F.collect_list(entry)).alias("_metrics"))
+    metrics = F.when(F.size("_metrics") > 0, F.map_from_entries("_metrics")).alias("metrics")
+    return whole.where("completed_at is not null").select("execution_id", "trial", F.when(F.col("failed"), "failed").otherwise("completed").alias("status"), "started_at", "completed_at", metrics)
+
+
 class _Feed(StatefulProcessor):
     """The events of one execution in order, each once."""
 
@@ -112,7 +134,8 @@ class _Feed(StatefulProcessor):
         self.last.update((int(initialState["sequence"].max()),))
 
     def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
-        last = self.last.get()[0] if self.last.exists() else None
+        state = self.last.get()
+        last = None if state is None else state[0]
         waiting: list[tuple] = []  # a heap: the oldest goes first
         held, dropped = set(), 0
         for part in rows:
@@ -128,12 +151,11 @@ class _Feed(StatefulProcessor):
             return
         waiting.sort(key=lambda e: e[0])
         self.last.update((waiting[-1][0],))
-        lag = [(waiting[0][0], None, None, pd.NaT, dropped)] if dropped else []
-        out = pd.DataFrame([*lag, *[(*e, None) for e in waiting]], columns=["sequence", "kind", "step_id", "ts", "lagged"])
-        out.insert(0, "execution_id", key[0])
-        out["lagged"] = out["lagged"].astype("Int64")
-        out["ts"] = pd.to_datetime(out["ts"])
-        yield out
+        if dropped:
+            waiting.insert(0, (waiting[0][0], None, None, pd.NaT))
+        sequences, kinds, steps, times = zip(*waiting)
+        lagged = pd.array([dropped if dropped and not i else None for i in range(len(waiting))], dtype="Int64")
+        yield pd.DataFrame({"execution_id": key[0], "sequence": sequences, "kind": kinds, "step_id": steps, "ts": pd.DatetimeIndex(times), "lagged": lagged})
 
     def close(self) -> None:
         pass
