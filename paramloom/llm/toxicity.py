@@ -32,6 +32,8 @@ from .scratch import few, materialize
 SAMPLE_ROWS = 20_000
 #: Feature slots, the most features kept, and the evidence (nats) a feature needs against chance.
 SLOTS, MOST_FEATURES, EVIDENCE = 1 << 22, 3000, 10.0
+#: Bounds of a worker's memory: words remembered, and slots of texts held before their sums are put out.
+KNOWN_WORDS, HELD_SLOTS = 100_000, 1_000_000
 #: the strongest stems mined from labelled rows, each a voter, and the share of the class they need among rows with them
 MINED_VOTERS, PURE = 40, 0.9
 #: share of the class where no labels tell it, and the accuracy below which pairs of voters tell too little
@@ -95,7 +97,7 @@ class _Words(dict):
 
     def __missing__(self, word: str):
         found = self.look(word)
-        if len(self) > 500_000:
+        if len(self) > KNOWN_WORDS:
             self.clear()
         self[word] = found
         return found
@@ -140,34 +142,50 @@ class _Votes(_Words):
         return mask
 
 
+def _evidence(at: np.ndarray, bad: np.ndarray, good: np.ndarray) -> pa.RecordBatch:
+    return pa.RecordBatch.from_arrays([pa.array(at, pa.int64()), pa.array(bad, pa.float64()), pa.array(good, pa.float64())], ["slot", "bad", "good"])
+
+
 def _mine(sample: DataFrame, weigh: Callable[[str, bool | None], float]) -> tuple[list[tuple[int, float, float]], float, float, frozenset[str]]:
     """Slots with clear evidence for the class, strongest first, with the weights of rows for and against it that have
     them; the weights of all rows; and the lexicons' words that stand against it more than for it (in other languages
     such words mean something else)."""
 
     def count(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        known: dict[str, list[int]] = {}
-        sums, n = np.zeros((2, SLOTS * (1 + len(LEVELS))), np.float32), [0.0, 0.0]
+        known: dict[str, bytes] = {}
+        n, held, shares, size = [0.0, 0.0], [], [], 0
+
+        def sums() -> Iterator[pa.RecordBatch]:
+            at, place = np.unique(np.concatenate(held), return_inverse=True)
+            share = np.repeat(shares, [len(x) for x in held])
+            bad, good = np.bincount(place, share), np.bincount(place, 1 - share)
+            for k in range(0, len(at), 1 << 16):
+                s = slice(k, k + (1 << 16))
+                yield _evidence(at[s], bad[s], good[s])
+
         for b in batches:
-            for text, toxic in zip(b.column(0).to_pylist(), b.column(1).to_pylist()):
-                own: list[int] = []
-                low = text.lower()
+            for text, toxic in zip(b.column(0), b.column(1)):
+                own = bytearray()
+                low = text.as_py().lower()
                 for w in set(_LETTERS.findall(low)):
                     if w not in known:
-                        if len(known) > 300_000:
+                        if len(known) > KNOWN_WORDS:
                             known.clear()
-                        known[w] = slots(w)
+                        known[w] = np.array(slots(w), np.int32).tobytes()
                     own += known[w]
-                share = weigh(low, toxic)
-                at, times = np.unique(np.array(own, np.int64), return_counts=True)
-                at = np.unique(np.concatenate([at, *[at_level(at[times >= k], k) for k in LEVELS]]))
-                for side, part in ((1, share), (0, 1 - share)):
-                    if part:
-                        sums[side, at] += part
+                share = weigh(low, toxic.as_py())
+                at, times = np.unique(np.frombuffer(own, np.int32), return_counts=True)
+                held.append(np.concatenate([at, *[at_level(at[times >= k], k) for k in LEVELS]]))
+                shares.append(share)
                 n[1] += share
                 n[0] += 1 - share
-        at = np.nonzero(sums.any(0))[0]
-        yield pa.RecordBatch.from_arrays([pa.array(np.append(at, -1), pa.int64()), pa.array(np.append(sums[1, at], n[1]).astype(float)), pa.array(np.append(sums[0, at], n[0]).astype(float))], ["slot", "bad", "good"])
+                size += len(held[-1])
+                if size > HELD_SLOTS:
+                    yield from sums()
+                    held, shares, size = [], [], 0
+        if held:
+            yield from sums()
+        yield _evidence(np.array([-1]), np.array([n[1]]), np.array([n[0]]))
 
     # rounded before they are added: sums of any order agree
     exact = lambda c: F.sum(F.round(F.col(c) * 1024).cast("long")).cast("double") / 1024
@@ -348,9 +366,11 @@ def fit(docs: DataFrame, labels: DataFrame, sample_rows: int = SAMPLE_ROWS) -> t
     def vectors(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         words, share = _Words(features), weigh()
         for b in batches:
-            lows = [t.as_py().lower() for t in b.column(0)]
-            hits = [sorted(features[s] for s in words.of(t)) for t in lows]
-            soft = [share(t, x) for t, x in zip(lows, b.column(1).to_pylist())]
+            hits, soft = [], []
+            for text, toxic in zip(b.column(0), b.column(1)):
+                low = text.as_py().lower()
+                hits.append(sorted(features[s] for s in words.of(low)))
+                soft.append(share(low, toxic.as_py()))
             yield pa.RecordBatch.from_arrays([pa.array(hits, pa.list_(pa.int32())), pa.array(soft, pa.float64())], ["hits", "soft"])
 
     # at most sample_rows short lists; in an order of their own, so that reruns agree
