@@ -132,7 +132,9 @@ def journal_payload_problems(s, d):
     stop = F.parse_json(F.lit('{"step_id": "s", "attempt": 1, "extra": null}'))
     j = j.withColumn("payload", F.when((tenth == 1) & (F.col("kind") == "step_completed"), bad).when((tenth == 1) & (F.col("kind") == "execution_stopped"), stop).otherwise(F.col("payload")))
     j = j.withColumn("kind", F.when(tenth == 0, "step_lost").otherwise(F.col("kind")))
-    return j.select("event_id", kinds.problems(F.col("kind")).alias("problems")).where(F.size("problems") > 0)
+    # a filter goes down through what is merely selected, and would make the payload anew wherever a check reads it
+    found = j.select("event_id", F.explode_outer(F.array(kinds.problems(F.col("kind")))).alias("problems"))
+    return found.where(F.size("problems") > 0)
 
 
 # ---- tables of commits ---------------------------------------------------------------------------------------------
