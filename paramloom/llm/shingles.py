@@ -7,6 +7,9 @@ fixed bound) occurs in all documents, then by the hash. Two sets of similarity t
 n - ceil(t n) + 1 shingles; postings of those are joined under the length and the positional filter (both exact), and
 the survivors' whole sets are compared.
 
+Near fingerprints may propose pairs first (SimHash, by `propose`); those that the whole sets confirm are links, and the
+join need not compare within their components.
+
 Postings first meet the earliest document of their shingle only (a star, not all pairs); pairs that those links have
 put into one component need no comparison any more, all others follow. So the components are those of all links.
 
@@ -16,7 +19,7 @@ shingle; rows that repeat a doc_id are one document with the links of each of it
 
 from __future__ import annotations
 
-from collections.abc import Iterable, Iterator
+from collections.abc import Callable, Iterable, Iterator
 from itertools import repeat
 
 import numpy as np
@@ -50,6 +53,31 @@ def shingle_set(text: str | None, width: int) -> np.ndarray:
     return np.unique(np.array(shingle_hashes(text, width), np.uint64))
 
 
+def majority(hashes: np.ndarray, sizes: np.ndarray) -> np.ndarray:
+    """Per document the bits set in over half of its hashes; sizes: hashes of each document, in order.
+
+    Eight byte-wide counters share a word and are emptied every 255 rows, before they overflow.
+    """
+    out = np.zeros(len(sizes), np.uint64)
+    full = np.nonzero(sizes)[0]
+    if not len(full):
+        return out
+    n = sizes[full]
+    parts = -(-n // 255)
+    begins = np.cumsum(n) - n
+    first = np.cumsum(parts) - parts
+    cuts = np.repeat(begins, parts) + 255 * (np.arange(parts.sum()) - np.repeat(first, parts))
+    lanes = np.uint64(0x0101010101010101)
+    bits = np.zeros(len(full), np.uint64)
+    for k in range(8):
+        counts = np.add.reduceat(hashes >> np.uint64(k) & lanes, cuts).view(np.uint8).reshape(-1, 8)
+        ones = np.add.reduceat(counts.astype(np.int64), first, axis=0)
+        for byte in range(8):
+            bits |= (2 * ones[:, byte] > n).astype(np.uint64) << np.uint64(8 * byte + k)
+    out[full] = bits
+    return out
+
+
 def _columns(docs: DataFrame) -> DataFrame:
     return docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string"))
 
@@ -73,16 +101,18 @@ def _slot_counts(docs: DataFrame, width: int) -> np.ndarray:
 
 
 def _prefixes(docs: DataFrame, width: int) -> DataFrame:
-    """(id, n, s1, s2, prefix): size and 128-bit hash of each document's set, and its rarest shingles."""
+    """(id, n, s1, s2, fp, prefix): size and 128-bit hash of each document's set, SimHash of its shingles, and its rarest ones."""
     count = _slot_counts(docs, width)
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for whole in batches:
             for at in range(0, whole.num_rows, 256):
                 b = whole.slice(at, 256)
-                sizes, one, two, prefix = [], [], [], []
+                sizes, one, two, fp, prefix = [], [], [], [], []
                 for t in b.column(1):
-                    h = shingle_set(t.as_py(), width)
+                    every = np.array(shingle_hashes(t.as_py(), width), np.uint64)
+                    h = np.unique(every)
+                    fp.append(majority(every, np.array([len(every)])).view(np.int64)[0])
                     key = xxhash.xxh3_128_digest(h.tobytes())
                     sizes.append(len(h))
                     one.append(int.from_bytes(key[:8], "little", signed=True))
@@ -91,9 +121,9 @@ def _prefixes(docs: DataFrame, width: int) -> DataFrame:
                     order = np.argsort(count[(h % np.uint64(SLOTS)).astype(np.int64)], kind="stable")
                     prefix.append(h[order[: len(h) - (4 * len(h) + 4) // 5 + 1]].view(np.int64))
                 lists = pa.ListArray.from_arrays(pa.array(np.cumsum([0, *map(len, prefix)]), pa.int32()), pa.array(np.concatenate(prefix)))
-                yield pa.RecordBatch.from_arrays([b.column(0), pa.array(sizes, pa.int32()), pa.array(one, pa.int64()), pa.array(two, pa.int64()), lists], ["id", "n", "s1", "s2", "prefix"])
+                yield pa.RecordBatch.from_arrays([b.column(0), pa.array(sizes, pa.int32()), pa.array(one, pa.int64()), pa.array(two, pa.int64()), pa.array(fp, pa.int64()), lists], ["id", "n", "s1", "s2", "fp", "prefix"])
 
-    return _columns(docs).mapInArrow(run, "id long, n int, s1 long, s2 long, prefix array<long>")
+    return _columns(docs).mapInArrow(run, "id long, n int, s1 long, s2 long, fp long, prefix array<long>")
 
 
 def _sets(docs: DataFrame, width: int) -> DataFrame:
@@ -132,7 +162,15 @@ def _fits() -> Column:
     return (5 * low >= 4 * high) & (9 * most >= 4 * (F.col("n") + F.col("m")))
 
 
-def near_copies(docs: DataFrame, width: int = 5) -> DataFrame:
+def _proposed(ours: DataFrame, docs: DataFrame, width: int, propose: Callable[[DataFrame], DataFrame]) -> DataFrame:
+    """The links among pairs that propose() makes of (fp, id), an id a fingerprint, and of those ids and others of their fingerprint."""
+    firsts = materialize(ours.groupBy("fp").agg(F.min("id").alias("id"), F.count(F.lit(1)).alias("k")), "fps")
+    more = firsts.where("k > 1").select("fp", F.col("id").alias("b"))
+    equal = ours.join(F.broadcast(more) if few(more, BROADCAST_ROWS) else more, "fp").where("id <> b").select(F.col("id").alias("a"), "b")
+    return _verified(propose(firsts.select("fp", "id")).where("a <> b").unionByName(equal), docs, width)
+
+
+def near_copies(docs: DataFrame, width: int = 5, propose: Callable[[DataFrame], DataFrame] | None = None) -> DataFrame:
     """(doc_id, component_id) of every row with a doc_id; component_id: the smallest doc_id reachable."""
     docs = docs.where("doc_id is not null")
     marks = materialize(_prefixes(docs, width), "prefixes")
@@ -144,7 +182,17 @@ def near_copies(docs: DataFrame, width: int = 5) -> DataFrame:
     hint = F.broadcast(heads) if few(heads, BROADCAST_ROWS) else heads
     shared = materialize(posts.join(hint, "token"), "shared")
     discard(posts)
-    star = _verified(shared.where("id <> first").where(_fits()).select(F.col("id").alias("a"), F.col("first").alias("b")), docs, width)
+    pairs = shared.where("id <> first").where(_fits()).select(F.col("id").alias("a"), F.col("first").alias("b"))
+    if propose:
+        proposed = _proposed(ours.select("id", "fp"), docs, width, propose)
+        known = materialize(connected_components(proposed), "known")
+        hint = F.broadcast(known) if few(known, BROADCAST_ROWS) else known
+        for end in ("a", "b"):
+            pairs = pairs.join(hint.select(F.col("node").alias(end), F.col("component").alias(f"in_{end}")), end, "left")
+        apart = F.coalesce("in_a", "a") != F.coalesce("in_b", "b")
+        star = _verified(pairs.where(apart).select("a", "b"), docs, width).unionByName(proposed)
+    else:
+        star = _verified(pairs, docs, width)
     # the others: pairs without the star's centre that are not in one component already
     group = connected_components(star).select(F.col("node").alias("id"), F.col("component").alias("group"))
     group = materialize(group, "groups")

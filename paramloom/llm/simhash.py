@@ -25,35 +25,12 @@ from pyspark.sql import functions as F
 
 from .components import Forest, connected_components
 from .scratch import few, materialize
-from .shingles import near_copies, shingle_hashes
+from .shingles import majority, near_copies, shingle_hashes
 
 BITS = 64
 CELL = 2048
-
-
-def majority(hashes: np.ndarray, sizes: np.ndarray) -> np.ndarray:
-    """Per document the bits set in over half of its hashes; sizes: hashes of each document, in order.
-
-    Eight byte-wide counters share a word and are emptied every 255 rows, before they overflow.
-    """
-    out = np.zeros(len(sizes), np.uint64)
-    full = np.nonzero(sizes)[0]
-    if not len(full):
-        return out
-    n = sizes[full]
-    parts = -(-n // 255)
-    begins = np.cumsum(n) - n
-    first = np.cumsum(parts) - parts
-    cuts = np.repeat(begins, parts) + 255 * (np.arange(parts.sum()) - np.repeat(first, parts))
-    lanes = np.uint64(0x0101010101010101)
-    bits = np.zeros(len(full), np.uint64)
-    for k in range(8):
-        counts = np.add.reduceat(hashes >> np.uint64(k) & lanes, cuts).view(np.uint8).reshape(-1, 8)
-        ones = np.add.reduceat(counts.astype(np.int64), first, axis=0)
-        for byte in range(8):
-            bits |= (2 * ones[:, byte] > n).astype(np.uint64) << np.uint64(8 * byte + k)
-    out[full] = bits
-    return out
+#: differing bits up to which the pipeline takes two fingerprints as candidates; links of others are found by prefixes
+NEAR = 3
 
 
 def fingerprint(text: str | None, width: int) -> int:
@@ -285,17 +262,19 @@ def near_duplicates(docs: DataFrame, width: int = 3, radius: int = 3) -> DataFra
 def dedup(docs: DataFrame, width: int = 5) -> DataFrame:
     """The rows of docs that stay: of each group the row with the smallest doc_id (of repeated rows, one).
 
-    Groups are the components of an exact Jaccard similarity of 0.8 or more of five-word shingles, not of SimHash
-    distances. Rows without a doc_id stay. Rows of one doc_id with different texts are documents of their own.
+    Fingerprints that lie near each other (bit planes, as in near_duplicates) make candidates; a pair is linked if its
+    five-word shingles have an exact Jaccard similarity of 0.8 or more. As many such pairs have fingerprints that lie
+    further apart, the prefix join looks for all links between what is then still apart: groups are exact. Rows without a doc_id stay. Rows of one doc_id with different texts are documents of their own.
     """
     named, none = docs.where("doc_id is not null"), docs.where("doc_id is null")
+    propose = lambda classes: links(classes, NEAR)
     repeated = named.groupBy("doc_id").agg(F.count(F.lit(1)).alias("_n")).where("_n > 1")
     if few(repeated, 0):
-        kept = near_copies(named, width).where("doc_id = component_id").select("doc_id")
+        kept = near_copies(named, width, propose).where("doc_id = component_id").select("doc_id")
         return named.join(kept, "doc_id", "left_semi").select(*docs.columns).unionByName(none)
     # numbers of their own, written so that they stay the same; the row that stays is still that of the smallest doc_id
     numbered = materialize(named.withColumn("_key", F.monotonically_increasing_id()), "numbered")
-    groups = near_copies(numbered.select(F.col("_key").alias("doc_id"), "text"), width).withColumnRenamed("doc_id", "_key")
+    groups = near_copies(numbered.select(F.col("_key").alias("doc_id"), "text"), width, propose).withColumnRenamed("doc_id", "_key")
     order = F.struct("doc_id", F.xxhash64("text"), "_key")
     first = groups.join(numbered, "_key").groupBy("component_id").agg(F.min(order)["_key"].alias("_key"))
     return numbered.join(first, "_key", "left_semi").select(*docs.columns).unionByName(none)
