@@ -33,6 +33,8 @@ FEW, SPLIT = 16, 8192
 SPELT = 8
 #: rows of a few longs up to which a side is broadcast after counting it; beyond, both sides are shuffled
 BROADCAST_ROWS = 1_000_000
+#: writer's options for columns of hashes, for which dictionaries are made in vain
+HASHES = {"parquet.enable.dictionary": "false"}
 
 
 def words(line: Column) -> Column:
@@ -82,7 +84,7 @@ def removed_lines(docs: DataFrame) -> DataFrame:
     sets = sets.select("id", "w", F.sort_array(F.array_distinct(F.transform("w", lambda w: F.xxhash64(w)))).alias("h"))
     spelt = F.when(F.size("h") <= SPELT, F.xxhash64(F.lit(5), F.sort_array(F.array_distinct("w")))).otherwise(F.xxhash64(F.lit(5), "h"))
     sets = sets.select("id", F.transform("h", lambda h: F.hash(h)).alias("t"), F.size("h").cast("int").alias("n"), F.xxhash64("h").alias("s1"), spelt.alias("s2"))
-    sets = materialize(sets, "lines")
+    sets = materialize(sets, "lines", **HASHES)
     # lines of equal word sets: all but the first go
     firsts = sets.groupBy("s1", "s2").agg(F.min("id").alias("first"), F.count(F.lit(1)).alias("k")).where("k > 1").select("s1", "s2", "first")
     firsts = materialize(firsts, "firsts")
@@ -112,10 +114,10 @@ def _near(sets: DataFrame, numbered: DataFrame, bits: int) -> DataFrame:
     # no more slots than the sets in tokens; a token's slot is its sign and its lowest six bits, which a shift takes alone
     odd = F.aggregate("t", F.lit(0).cast("bigint"), lambda a, x: a.bitwiseXOR(F.call_function("shiftleft", F.shiftrightunsigned(x, 31).cast("bigint"), x)))
     maps = [_parity("t").alias("map0"), odd.alias("map1")]
-    # parities are made before rows are multiplied; outer, as above: no prefix is empty
-    posts = sets.select("id", "n", *maps, F.slice(rare, 1, length).alias("prefix"))
-    posts = posts.select("id", "n", "map0", "map1", F.posexplode_outer("prefix").alias("i", "token"))
-    posts = materialize(posts.select(F.col("token").bitwiseAND(F.lit(0xFFFFFFFF)).cast("bigint").alias("token"), "id", "n", "i", "map0", "map1"), "postings")
+    # written a row a set, and multiplied as it is read; outer, as above: no prefix is empty
+    held = materialize(sets.select("id", "n", *maps, F.slice(rare, 1, length).alias("prefix")), "postings", **HASHES)
+    posts = held.select("id", "n", "map0", "map1", F.posexplode_outer("prefix").alias("i", "token"))
+    posts = posts.select(F.col("token").bitwiseAND(F.lit(0xFFFFFFFF)).cast("bigint").alias("token"), "id", "n", "i", "map0", "map1")
     sizes = posts.groupBy("token").agg(F.count(F.lit(1)).alias("k"), F.min("id").alias("first"))
     hot = materialize(sizes.where(F.col("k") > FEW), "hot")
     small = few(hot, BROADCAST_ROWS)
@@ -131,7 +133,7 @@ def _near(sets: DataFrame, numbered: DataFrame, bits: int) -> DataFrame:
     if giant:
         rest = rest.unionByName(_crossed(heavy.where(F.col("k") > SPLIT), found, F.ceil(F.col("k") / SPLIT)))
     more = _verified(rest.distinct(), sets, numbered, bits)
-    discard(posts, hot, star, *([] if small else [heavy]))
+    discard(held, hot, star, *([] if small else [heavy]))
     return found.unionByName(more).distinct()
 
 
