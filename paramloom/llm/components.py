@@ -13,7 +13,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .scratch import materialize
+from .scratch import discard, materialize
 
 
 class Forest:
@@ -83,7 +83,8 @@ def connected_components(edges: DataFrame, max_rounds: int = 60) -> DataFrame:
         if state[0] == 0 or tuple(state) == seen:
             break
         seen = tuple(state)
-        now = materialize(_small_star(_large_star(now)), "stars")
+        last, now = now, materialize(_small_star(_large_star(now)), "stars")
+        discard(last)
     else:
         raise RuntimeError(f"components did not converge in {max_rounds} rounds")
     return now.select(F.col("a").alias("node"), F.col("b").alias("component")).unionByName(

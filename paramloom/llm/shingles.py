@@ -175,16 +175,22 @@ def near_copies(docs: DataFrame, width: int = 5, propose: Callable[[DataFrame],
     docs = docs.where("doc_id is not null")
     marks = materialize(_prefixes(docs, width), "prefixes")
     classes = materialize(marks.groupBy("s1", "s2").agg(F.min("id").alias("first")), "classes")
-    ours = marks.where("n > 0").join(classes, ["s1", "s2"]).where("id = first")
-    posts = materialize(ours.select("id", "n", F.posexplode("prefix").alias("i", "token")).distinct(), "postings")
+    # rows that repeat a doc_id and a set go here, not as postings; by doc_id too, as a set may have many copies
+    same = ["id", "s1", "s2"]
+    ours = marks.where("n > 0").join(classes.withColumnRenamed("first", "id"), same, "left_semi").dropDuplicates(same)
+    held = materialize(ours.select("id", "n", "fp", "prefix"), "ours")
+    names = materialize(marks.select("id", "s1", "s2"), "names")
+    discard(marks)
+    posts = held.select("id", "n", F.posexplode("prefix").alias("i", "token"))
     heads = posts.groupBy("token").agg(F.count(F.lit(1)).alias("k"), F.min(F.struct("id", "n", "i")).alias("head")).where("k > 1")
     heads = materialize(heads.select("token", "k", F.col("head.id").alias("first"), F.col("head.n").alias("m"), F.col("head.i").alias("j")), "heads")
     hint = F.broadcast(heads) if few(heads, BROADCAST_ROWS) else heads
     shared = materialize(posts.join(hint, "token"), "shared")
-    discard(posts)
+    ours = materialize(held.select("id", "fp"), "prints")
+    discard(held, heads)
     pairs = shared.where("id <> first").where(_fits()).select(F.col("id").alias("a"), F.col("first").alias("b"))
     if propose:
-        proposed = _proposed(ours.select("id", "fp"), docs, width, propose)
+        proposed = _proposed(ours, docs, width, propose)
         known = materialize(connected_components(proposed), "known")
         hint = F.broadcast(known) if few(known, BROADCAST_ROWS) else known
         for end in ("a", "b"):
@@ -198,15 +204,15 @@ def near_copies(docs: DataFrame, width: int = 5, propose: Callable[[DataFrame],
     group = materialize(group, "groups")
     hint = F.broadcast(group) if few(group, BROADCAST_ROWS) else group
     rest = shared.where("k > 2 and id <> first").select("token", "id", "n", "i").join(hint, "id", "left")
-    rest = materialize(rest.withColumn("group", F.coalesce("group", "id")), "rest")
+    rest = rest_ = materialize(rest.withColumn("group", F.coalesce("group", "id")), "rest")
     # shingles whose postings lie in one component have nothing left to compare
     open_ = rest.groupBy("token").agg(F.min("group").alias("low"), F.max("group").alias("high")).where("low <> high").select("token")
     rest = rest.join(open_, "token", "left_semi")
     other = rest.select("token", F.col("id").alias("b"), F.col("n").alias("m"), F.col("i").alias("j"), F.col("group").alias("other"))
     pairs = rest.join(other, "token").where((F.col("id") > F.col("b")) & (F.col("group") != F.col("other"))).where(_fits())
     more = _verified(pairs.select(F.col("id").alias("a"), "b"), docs, width)
-    discard(heads, shared)
+    discard(shared, rest_)
     found = connected_components(star.unionByName(more))
     moved = found.where("node <> component").withColumnRenamed("node", "first")
     table = materialize(classes.join(moved, "first", "left").select("s1", "s2", F.coalesce("component", "first").alias("component_id")), "membership")
-    return marks.join(table, ["s1", "s2"]).select(F.col("id").alias("doc_id"), "component_id")
+    return names.join(table, ["s1", "s2"]).select(F.col("id").alias("doc_id"), "component_id")

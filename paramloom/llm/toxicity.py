@@ -26,7 +26,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .scratch import few, materialize
+from .scratch import discard, few, materialize
 
 #: Bound of the training sample: labelled rows (stems are mined from them as well); any rows where no label is given.
 SAMPLE_ROWS = 20_000
@@ -203,6 +203,7 @@ def _mine(sample: DataFrame, weigh: Callable[[str, bool | None], float]) -> tupl
     rows = rows.orderBy(F.desc("gain"), "slot").limit(MOST_FEATURES).collect()  # bounded
     words = {slots(w)[0]: w for w in _OF_WORD}
     seen = sums.where(F.col("slot").isin(list(words))).collect()  # a row a word of the lexicons at most
+    discard(sums)
     return [(r["slot"], r["bad"], r["good"]) for r in rows], bad, good, frozenset(words[r["slot"]] for r in seen if r["good"] > r["bad"])
 
 
@@ -373,23 +374,33 @@ def fit(docs: DataFrame, labels: DataFrame, sample_rows: int = SAMPLE_ROWS) -> t
                 soft.append(share(low, toxic.as_py()))
             yield pa.RecordBatch.from_arrays([pa.array(hits, pa.list_(pa.int32())), pa.array(soft, pa.float64())], ["hits", "soft"])
 
-    # at most sample_rows short lists; in an order of their own, so that reruns agree
-    got = sorted((tuple(r["hits"]), r["soft"]) for r in sample.select("text", "toxic").mapInArrow(vectors, "hits array<int>, soft double").collect())
+    # at most sample_rows short lists
+    rows, columns, soft = _design(sample.select("text", "toxic").mapInArrow(vectors, "hits array<int>, soft double").toArrow())
     weights = np.zeros(len(features))
     bias = float(np.log(model.prior / (1 - model.prior)))
-    columns = np.zeros(0, np.int64)
-    if len(got):
-        rows = np.repeat(np.arange(len(got)), [len(h) for h, _ in got])
-        columns = np.array([x for h, _ in got for x in h], np.int64)
-        bias, weights = train_linear(rows, columns, np.array([p for _, p in got]), len(features))
+    if len(soft):
+        bias, weights = train_linear(rows, columns, soft, len(features))
     # lexicon words that the sample does not show keep a prior weight of their own
     unseen = np.bincount(columns, minlength=len(features)) == 0
     for s in lexicon_slots:
         if unseen[features[s]]:
             weights[features[s]] = 1.5
+    discard(known, drawn, sample)
     return bias, dict(zip(features, weights.tolist()))
 
 
+def _design(got: pa.Table) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Row and column numbers of the hits, and soft labels; rows in an order of their own (by hits, then label), so that reruns agree."""
+    hits, soft = got.column("hits").combine_chunks(), got.column("soft").to_numpy()
+    sizes, flat = hits.value_lengths().to_numpy(zero_copy_only=False), hits.flatten().to_numpy()
+    ends = np.cumsum(sizes, dtype=np.int64)
+    raw = flat.astype(">i4").tobytes()  # big-endian: bytes are in the order of the lists
+    order = sorted(range(len(soft)), key=lambda i: (raw[4 * (ends[i] - sizes[i]) : 4 * ends[i]], soft[i]))
+    columns = [flat[ends[i] - sizes[i] : ends[i]] for i in order]
+    rows = np.repeat(np.arange(len(soft)), sizes[order])
+    return rows, np.concatenate(columns).astype(np.int64) if columns else np.zeros(0, np.int64), soft[order]
+
+
 def score(docs: DataFrame, bias: float, weights: dict[int, float], *keep: str) -> DataFrame:
     """The columns named in keep and score, the classifier's probability for the whole text."""
     kept = docs.select(*keep, F.coalesce(F.col("text").cast("string"), F.lit("")).alias("_text"))
