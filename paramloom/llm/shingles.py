@@ -20,6 +20,7 @@ shingle; rows that repeat a doc_id are one document with the links of each of it
 from __future__ import annotations
 
 from collections.abc import Callable, Iterable, Iterator
+from functools import reduce
 from itertools import repeat
 
 import numpy as np
@@ -34,6 +35,9 @@ from .scratch import discard, few, materialize
 SEED = 42
 SLOTS = 1 << 16
 BROADCAST_ROWS = 1_000_000
+#: pairs up to which they are verified at once; more are dealt into parts, one after the other, MOST_PARTS at most
+PART_PAIRS = 200_000
+MOST_PARTS = 16
 
 
 def shingle_hashes(text: str | None, width: int) -> list[int]:
@@ -148,8 +152,18 @@ def _verified(pairs: DataFrame, docs: DataFrame, width: int) -> DataFrame:
     sets = materialize(_sets(docs.join(hint, "doc_id", "left_semi"), width), "sets")
     a, b = sets.withColumnRenamed("id", "a"), sets.select(F.col("id").alias("b"), F.col("t").alias("u"))
     overlap = F.size(F.array_intersect("t", "u"))
-    found = pairs.join(a, "a").join(b, "b").where(9 * overlap >= 4 * (F.size("t") + F.size("u")))
-    found = materialize(found.select("a", "b").distinct(), "links")
+    # a join writes the sets of either end and a set a pair to disk, which goes with each part's end: two parts a set a pair
+    parts = 1 if few(pairs, PART_PAIRS) else min(MOST_PARTS, -(-2 * pairs.count() // max(1, wanted.count())))
+    found = []
+    for part in range(parts):
+        mine, ours, theirs = pairs, a, b
+        if parts > 1:
+            own = F.pmod(F.xxhash64("a", F.lit(3)), F.lit(parts)) == part
+            mine, ours = pairs.where(own), a.where(own)
+            theirs = b.join(mine.select("b").distinct(), "b", "left_semi")
+        close = mine.join(ours, "a").join(theirs, "b").where(9 * overlap >= 4 * (F.size("t") + F.size("u")))
+        found.append(materialize(close.select("a", "b").distinct(), "links"))
+    found = reduce(DataFrame.unionByName, found)
     discard(pairs, wanted, sets)
     return found
 
