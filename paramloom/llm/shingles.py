@@ -99,8 +99,10 @@ def _slot_counts(docs: DataFrame, width: int) -> np.ndarray:
         yield pa.RecordBatch.from_arrays([pa.array(at, pa.int64()), pa.array(count[at])], ["slot", "n"])
 
     count = np.zeros(SLOTS, np.int64)
-    for slot, n in _columns(docs).mapInArrow(run, "slot long, n long").groupBy("slot").agg(F.sum("n")).collect():  # SLOTS rows at most
+    sums = materialize(_columns(docs).mapInArrow(run, "slot long, n long").groupBy("slot").agg(F.sum("n")), "slots")
+    for slot, n in sums.collect():  # SLOTS rows at most
         count[slot] = n
+    discard(sums)
     return count
 
 

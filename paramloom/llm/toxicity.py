@@ -331,7 +331,8 @@ def fit(docs: DataFrame, labels: DataFrame, sample_rows: int = SAMPLE_ROWS) -> t
         yield pa.RecordBatch.from_arrays([pa.array(at, pa.int64()), pa.array(np.append(sums[i, j], n), pa.int64())], ["at", "n"])
 
     joint, n = np.zeros((count, count)), 0
-    for r in texts.select("text").mapInArrow(moments, "at long, n long").groupBy("at").agg(F.sum("n").alias("n")).collect():  # count^2 rows at most
+    sums = materialize(texts.select("text").mapInArrow(moments, "at long, n long").groupBy("at").agg(F.sum("n").alias("n")), "moments")
+    for r in sums.collect():  # count^2 rows at most
         if r["at"] < 0:
             n = r["n"]
         else:
@@ -385,7 +386,7 @@ def fit(docs: DataFrame, labels: DataFrame, sample_rows: int = SAMPLE_ROWS) -> t
     for s in lexicon_slots:
         if unseen[features[s]]:
             weights[features[s]] = 1.5
-    discard(known, drawn, sample)
+    discard(known, drawn, sample, sums)
     return bias, dict(zip(features, weights.tolist()))
 
 
@@ -408,7 +409,7 @@ def score(docs: DataFrame, bias: float, weights: dict[int, float], *keep: str) -
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         words = _Words(weights)
-        for b in batches:
+        for b in (whole.slice(at, 256) for whole in batches for at in range(0, whole.num_rows, 256)):
             sums = np.array([bias + sum(map(weights.__getitem__, words.of(t.as_py().lower()))) for t in b.column(len(keep))])
             yield pa.RecordBatch.from_arrays([*b.columns[: len(keep)], pa.array(_sigmoid(sums), pa.float64())], [*keep, "score"])
 
