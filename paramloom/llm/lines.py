@@ -6,8 +6,8 @@ similarity of 0.8 or more to it, whether or not that one is removed as well.
 
 Lines of equal word sets are one class (grouped with map-side combining, by a 64-bit hash of the words' sorted 64-bit
 hashes and, up to SPELT words, one of the sorted words). For the others,
-tokens are ordered by rarity: by how often their hash slot (65,536 of them, a fixed bound) occurs in all distinct lines,
-then by the token. Two lines of similarity t share one of their first n - ceil(t n) + 1 tokens, and of the shorter one's
+tokens are ordered by rarity: by how often their hash slot (65,536 of them, a fixed bound) occurs in all distinct lines
+(in classes, eight to a doubling), then by the token. Two lines of similarity t share one of their first n - ceil(t n) + 1 tokens, and of the shorter one's
 first m - ceil(2t / (1 + t) m) + 1; postings of those are joined under the length, the positional and a 128-bit parity
 filter, a 256-bit one follows (all exact). Tokens with many postings first meet their earliest line only (a star, not
 all pairs); lines which that removes need no more partners. Tokens with very many are dealt into parts.
@@ -21,6 +21,8 @@ in doc_id and text are one document and keep the same lines; a text whose lines
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -79,10 +81,11 @@ def removed_lines(docs: DataFrame) -> DataFrame:
     numbered, bits = docs
     lines = _lines(numbered, bits)
     plain = F.array_remove(F.split(F.lower("line"), " "), "")
-    sets = lines.where(F.ltrim("line") != "").select("id", plain.alias("w"))  # a filter on w would build it twice
     # sorted as 64-bit hashes, which are primitives; short sets, of which many differ in one word, are told by the words too
-    sets = sets.select("id", "w", F.sort_array(F.array_distinct(F.transform("w", lambda w: F.xxhash64(w)))).alias("h"))
-    spelt = F.when(F.size("h") <= SPELT, F.xxhash64(F.lit(5), F.sort_array(F.array_distinct("w")))).otherwise(F.xxhash64(F.lit(5), "h"))
+    hashes = F.sort_array(F.array_distinct(F.transform(plain, lambda w: F.xxhash64(w))))
+    sets = lines.where(F.ltrim("line") != "").select("id", "line", hashes.alias("h"))  # a filter on h would build it twice
+    # the words of short sets are split once more, so that no row carries the words of all
+    spelt = F.when(F.size("h") <= SPELT, F.xxhash64(F.lit(5), words(F.col("line")))).otherwise(F.xxhash64(F.lit(5), "h"))
     sets = sets.select("id", F.transform("h", lambda h: F.hash(h)).alias("t"), F.size("h").cast("int").alias("n"), F.xxhash64("h").alias("s1"), spelt.alias("s2"))
     sets = materialize(sets, "lines", **HASHES)
     # lines of equal word sets: all but the first go
@@ -101,12 +104,12 @@ def _near(sets: DataFrame, numbered: DataFrame, bits: int) -> DataFrame:
     """id of each set that an earlier one (smaller id) is similar to."""
     slot = F.col("x").bitwiseAND(F.lit(SLOTS - 1))
     counts = sets.select(F.explode_outer("t").alias("x")).groupBy(slot.alias("slot")).count()
-    count = [0] * SLOTS
+    class_ = [_class(0)] * SLOTS
     for r in counts.collect():  # SLOTS rows at most
-        count[r["slot"]] = min(r["count"], (1 << 31) - 1) << 32
-    table = F.expr(f"cast(split('{','.join(map(str, count))}', ',') as array<bigint>)")
-    # by the slot's count, then by the token as a signed number: the lower 32 bits stay the token's
-    ranked = lambda x: F.get(table, x.bitwiseAND(F.lit(SLOTS - 1))) + x.cast("bigint")
+        class_[r["slot"]] = _class(r["count"])
+    table = F.expr(f"cast(split('{','.join(map(str, class_))}', ',') as array<bigint>)")
+    # by the slot's class, then by the token as a signed number: the lower 32 bits stay the token's
+    ranked = lambda x: F.shiftleft(F.get(table, x.bitwiseAND(F.lit(SLOTS - 1))), 32) + x.cast("bigint")
     rare = F.sort_array(F.transform("t", lambda x: F.coalesce(ranked(x), F.lit(0).cast("bigint"))))  # never null: sorted as primitives
     # prefix: n - ceil(0.8 n) + 1
     length = F.col("n") - F.floor((4 * F.col("n") + 4) / 5).cast("int") + 1
@@ -137,6 +140,11 @@ def _near(sets: DataFrame, numbered: DataFrame, bits: int) -> DataFrame:
     return found.unionByName(more).distinct()
 
 
+def _class(count: int) -> int:
+    """A count as one of 256 classes, eight to a doubling: small numbers, of which the JVM keeps one object each, so that the table stays in cache."""
+    return min(255, int(8 * math.log2(count + 1))) - 128
+
+
 def _known(columns: list[str]) -> str:
     """The condition that no column is null, which joins infer for either side: stated before a shuffle that both share."""
     return " and ".join(f"{c} is not null" for c in columns)
