@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from .catalog import _ID, _LINES, SCHEMA, Q, _lines, query
 from .functions import domains as D
-from .functions.expressions import compile_expr, lift
+from .functions.expressions import Call, If, compile_expr, lift
 from .operators import graph, records, wiring
 from .operators.filters import apply_filter, where
 from .plans import grid, lifecycle
@@ -498,12 +498,15 @@ def domain_generate(s, d):
     return V.table(s, d, "part").select("p_partkey", dom.generate(F.when(F.col("p_size") % 4 == 0, F.col("p_size").cast("bigint")), draw).alias("value"), dom.boundary(draw).alias("edge"))
 
 
-_ZERO = -(Q * 0.0)
+#: a zero of the other sign than q, also where q is infinite, NaN (at least 0) or null (not so); q is bounded rather than
+#: replaced by 1 and -1, as Spark takes branches of the constants -0.0 and 0.0 for alike
+_ZERO = -(If(Q >= 0.0, Call("min", (Q, lift(1.0))), Call("max", (Q, lift(-1.0)))) * 0.0)
 
 
 @query("expr_signed_zero", _LINES.format("CASE WHEN q >= 0 THEN '-Infinity'::DOUBLE ELSE 'Infinity'::DOUBLE END AS a, q >= 0 AS c, q >= 0 AS e, true AS f"), views=False)
 def expr_signed_zero(s, d):
-    found = {"a": lift(1.0) / _ZERO, "c": _ZERO < lift(0.0), "e": lift(0.0) > _ZERO, "f": _ZERO <= lift(0.0)}
+    unknown = Q < Q  # null where q is, else false
+    found = {"a": lift(1.0) / _ZERO, "c": (_ZERO < lift(0.0)) | unknown, "e": (lift(0.0) > _ZERO) | unknown, "f": _ZERO <= lift(0.0)}
     return _lines(s, d).select(*_ID, *[compile_expr(x, SCHEMA).alias(n) for n, x in found.items()])
 
 
